@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from webgrain.llm import bpe_prefix, chat_format, hash_tree
 from webgrain.llm._spark import read_table
+from webgrain.llm.url_filter_query import OP7_SQL, op7_url_filter
 
 #: Texts full of control strings, added to the conversations.
 PROBE_CONV, PROBE_TEXT = -7, r"\### Assistant: </turn> ok"
@@ -96,9 +97,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
         "op4_hash_tree": op4_hash_tree,
+        "op7_url_filter": op7_url_filter,
         "op10_byte_bpe": op10_byte_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL}
+    return {"op1_chat_format": OP1_SQL, "op7_url_filter": OP7_SQL}
