@@ -77,13 +77,28 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text_col: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most so many bytes of text, or one row."""
+def codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts on end, and the offsets of each (a null text is empty)."""
+    data, at = text_bytes(texts)
+    starts = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    return np.frombuffer(data.tobytes().decode().encode("utf-32-le"), dtype="<u4"), starts[at]
+
+
+def per_text(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many of the flags are set in each text."""
+    sums = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
+    return sums[at[1:]] - sums[at[:-1]]
+
+
+def slices(
+    batches: Iterator[pa.RecordBatch], text_col: str, most: int = SLICE_BYTES, rows: int = 1 << 20
+) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most so many bytes of text and rows, or one row."""
     for batch in batches:
         _, at = text_bytes(batch.column(text_col))
         row = 0
         while row < batch.num_rows:
-            upto = max(row + 1, int(np.searchsorted(at, at[row] + most, side="right")) - 1)
+            upto = max(row + 1, min(row + rows, int(np.searchsorted(at, at[row] + most, side="right")) - 1))
             yield batch.slice(row, upto - row)
             row = upto
 

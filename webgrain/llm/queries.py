@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from webgrain.llm import bpe_prefix, chat_format, hash_tree
 from webgrain.llm._spark import read_table
+from webgrain.llm.classifier_queries import op2_language_id, op3_quality_lr
 from webgrain.llm.url_filter_query import OP7_SQL, op7_url_filter
 
 #: Texts full of control strings, added to the conversations.
@@ -96,6 +97,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
+        "op2_language_id": op2_language_id,
+        "op3_quality_lr": op3_quality_lr,
         "op4_hash_tree": op4_hash_tree,
         "op7_url_filter": op7_url_filter,
         "op10_byte_bpe": op10_byte_bpe,
