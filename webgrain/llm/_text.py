@@ -103,6 +103,16 @@ def slices(
             row = upto
 
 
+def run_hashes(data: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of runs of bytes that stand on end, each of a size above 0."""
+    first = np.cumsum(size) - size
+    power = np.full(int(size.max()), _BASE, dtype=U64)
+    power[0] = 1
+    own = data.astype(U64) + U64(1)
+    own *= np.cumprod(power, dtype=U64)[np.arange(own.size) - np.repeat(first, size)]
+    return mix(np.add.reduceat(own, first) + size.astype(U64) * _MIX2)
+
+
 def words(texts: pa.Array, table: np.ndarray, lower: bool) -> Words:
     data, at = text_bytes(texts)
     inside = table[data]
@@ -120,14 +130,7 @@ def words(texts: pa.Array, table: np.ndarray, lower: bool) -> Words:
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     size = end - start
     doc = np.searchsorted(at, start, side="right") - 1
-    own = (_LOWER[data] if lower else data)[inside].astype(U64) + U64(1)
-    first = np.cumsum(size) - size
-    power = np.empty(int(size.max()), dtype=U64)
-    power[0] = 1
-    power[1:] = _BASE
-    power = np.cumprod(power, dtype=U64)
-    own *= power[np.arange(own.size) - np.repeat(first, size)]
-    hashed = mix(np.add.reduceat(own, first) + size.astype(U64) * _MIX2)
+    hashed = run_hashes((_LOWER[data] if lower else data)[inside], size)
     return Words(hashed, doc, start - at[doc], end - at[doc])
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from webgrain.llm import bpe_prefix, chat_format, hash_tree
 from webgrain.llm._spark import read_table
 from webgrain.llm.classifier_queries import op2_language_id, op3_quality_lr
+from webgrain.llm.decontamination_query import OP6_SQL, op6_positional_index
+from webgrain.llm.dedup_queries import op9_cdc_dedup
 from webgrain.llm.url_filter_query import OP7_SQL, op7_url_filter
 
 #: Texts full of control strings, added to the conversations.
@@ -100,10 +102,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_language_id": op2_language_id,
         "op3_quality_lr": op3_quality_lr,
         "op4_hash_tree": op4_hash_tree,
+        "op6_positional_index": op6_positional_index,
         "op7_url_filter": op7_url_filter,
+        "op9_cdc_dedup": op9_cdc_dedup,
         "op10_byte_bpe": op10_byte_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op7_url_filter": OP7_SQL}
+    return {"op1_chat_format": OP1_SQL, "op6_positional_index": OP6_SQL, "op7_url_filter": OP7_SQL}
