@@ -13,6 +13,7 @@ from webgrain.llm._spark import read_table
 from webgrain.llm.classifier_queries import op2_language_id, op3_quality_lr
 from webgrain.llm.decontamination_query import OP6_SQL, op6_positional_index
 from webgrain.llm.dedup_queries import op9_cdc_dedup
+from webgrain.llm.lm_query import op5_lm_bloom
 from webgrain.llm.url_filter_query import OP7_SQL, op7_url_filter
 
 #: Texts full of control strings, added to the conversations.
@@ -102,6 +103,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_language_id": op2_language_id,
         "op3_quality_lr": op3_quality_lr,
         "op4_hash_tree": op4_hash_tree,
+        "op5_lm_bloom": op5_lm_bloom,
         "op6_positional_index": op6_positional_index,
         "op7_url_filter": op7_url_filter,
         "op9_cdc_dedup": op9_cdc_dedup,
