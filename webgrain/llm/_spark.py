@@ -51,3 +51,18 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
 def crc_fold(id_col: str, folds: int) -> Column:
     """crc32 of the id as text, modulo folds; a null id falls in fold 1."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds, F.lit(1).cast("long"))
+
+
+#: So many rows of keys (a few numbers each) are broadcast; more are shuffled.
+MAX_KEYS = 1 << 20
+
+
+def few(keys: DataFrame) -> DataFrame:
+    """keys, to be broadcast if they are counted to be few."""
+    return F.broadcast(keys) if keys.limit(MAX_KEYS + 1).count() <= MAX_KEYS else keys
+
+
+def without_keys(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows whose row_key is in keys (one column row_key)."""
+    keyed = docs.withColumn("_key", row_key(id_col, text_col))
+    return keyed.join(few(keys.withColumnRenamed("row_key", "_key")), "_key", "left_anti").select(*docs.columns)

@@ -12,7 +12,7 @@ from webgrain.llm import bpe_prefix, chat_format, hash_tree
 from webgrain.llm._spark import read_table
 from webgrain.llm.classifier_queries import op2_language_id, op3_quality_lr
 from webgrain.llm.decontamination_query import OP6_SQL, op6_positional_index
-from webgrain.llm.dedup_queries import op9_cdc_dedup
+from webgrain.llm.dedup_queries import OP8_SQL, op8_jaccard_join, op9_cdc_dedup
 from webgrain.llm.lm_query import op5_lm_bloom
 from webgrain.llm.url_filter_query import OP7_SQL, op7_url_filter
 
@@ -106,10 +106,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_lm_bloom": op5_lm_bloom,
         "op6_positional_index": op6_positional_index,
         "op7_url_filter": op7_url_filter,
+        "op8_jaccard_join": op8_jaccard_join,
         "op9_cdc_dedup": op9_cdc_dedup,
         "op10_byte_bpe": op10_byte_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op6_positional_index": OP6_SQL, "op7_url_filter": OP7_SQL}
+    return {"op1_chat_format": OP1_SQL, "op6_positional_index": OP6_SQL, "op7_url_filter": OP7_SQL, "op8_jaccard_join": OP8_SQL}
