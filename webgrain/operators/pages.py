@@ -1,0 +1,159 @@
+"""Features of HTML pages, by native expressions on the markup.
+
+Regular expressions reach what these features need (titles, headings, links,
+footers, fonts); they build no document tree.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from webgrain.functions import contact
+from webgrain.functions import url as U
+from webgrain.functions.base import distinct_capped, distinct_ignoring_case, trim
+
+ASSET = r"(?i)\.(pdf|zip|jpe?g|png|gif|webp|svg|ico|css|js|mp[34]|docx?|xlsx?)([?#]|$)"
+
+
+def _all(html: Column, pattern: str, group: int = 1) -> Column:
+    return F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(pattern), F.lit(group))
+
+
+def _first(html: Column, pattern: str) -> Column:
+    return F.regexp_extract(F.coalesce(html, F.lit("")), pattern, 1)
+
+
+def plain_text(html: Column) -> Column:
+    """Text without tags, scripts and styles, common entities decoded, white space squeezed."""
+    bare = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style|noscript|svg)\b.*?</\1>|<!--.*?-->|<[^>]*>", " ")
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        bare = F.replace(bare, F.lit(name), F.lit(char))
+    return trim(F.regexp_replace(bare, r"[\s ]+", " "))
+
+
+def title(html: Column) -> Column:
+    return plain_text(_first(html, r"(?is)<title[^>]*>(.*?)</title>"))
+
+
+def heading(html: Column) -> Column:
+    return plain_text(_first(html, r"(?is)<h1[^>]*>(.*?)</h1>"))
+
+
+def meta(html: Column, name: str) -> Column:
+    """The content of a meta tag by name or property, '' if there is none."""
+    tag = _first(html, rf"""(?is)(<meta\b[^>]*\b(?:name|property)=["']{name}["'][^>]*>)""")
+    return plain_text(_first(tag, r"""(?is)\bcontent=["']([^"']*)["']"""))
+
+
+def footer_text(html: Column, most: int = 2000) -> Column:
+    """Texts of footer elements of 20 characters or more, joined."""
+    texts = F.filter(F.transform(_all(html, r"(?is)<footer\b[^>]*>(.*?)</footer>"), plain_text), lambda t: F.length(t) >= 20)
+    return F.substring(F.array_join(texts, "\n"), 1, most)
+
+
+def hrefs(html: Column) -> Column:
+    return _all(html, r"""(?is)<a\b[^>]*\bhref=["']([^"']*)["']""")
+
+
+def mail_links(html: Column) -> Column:
+    return contact.distinct_emails(F.filter(hrefs(html), lambda h: h.rlike("^(?i)mailto:")))
+
+
+def phone_links(html: Column) -> Column:
+    return contact.distinct_phones(F.filter(hrefs(html), lambda h: h.rlike("^(?i)tel:")))
+
+
+def font_families(html: Column) -> Column:
+    """Families of font-family declarations and of Google font links, distinct, without keywords."""
+    css = F.flatten(F.transform(_all(html, r"(?i)font-family\s*:\s*([^;}\"]+)"), lambda f: F.split(f, ",")))
+    google = F.transform(_all(html, r"(?i)fonts\.googleapis\.com/css2?\?family=([^:&\"']+)"), lambda f: F.replace(f, F.lit("+"), F.lit(" ")))
+    names = F.transform(F.concat(google, css), lambda f: trim(F.regexp_replace(f, "[\"']", "")))
+    keep = F.filter(names, lambda f: (f != "") & ~f.rlike(r"^(?i)(inherit|initial|unset|serif|sans-serif|monospace|cursive|system-ui|var\(.*|[\d.]+(px|em|rem|%)?)$"))
+    return F.slice(distinct_ignoring_case(keep), 1, 14)
+
+
+def style_guess(families: Column) -> Column:
+    """playful, technical, serif or sans, from font families."""
+    f = F.lower(F.array_join(families, " "))
+    serif = F.size(F.filter(families, lambda x: F.lower(x).rlike("serif|georgia|times|garamond|playfair|merriweather|lora") & ~F.lower(x).contains("sans")))
+    return (
+        F.when(F.size(families) == 0, "unknown")
+        .when(f.rlike("comic|pacifico|lobster|fredoka|baloo"), "playful")
+        .when(f.rlike("mono|code|courier|consolas"), "technical")
+        .when(serif * 2 > F.size(families), "serif")
+        .otherwise("sans")
+    )
+
+
+def absolute(href: Column, base: Column) -> Column:
+    """An http(s) address from a link and its page's address; null for other schemes. Dot segments stay."""
+    root = F.regexp_extract(base, r"^(?i)(https?://[^/?#]+)", 1)
+    folder = F.regexp_extract(F.regexp_replace(base, r"[?#].*$", ""), r"^(?i)(https?://[^/]+/(?:.*/)?)", 1)
+    h = trim(href)
+    return (
+        F.when(h.rlike("^(?i)https?://"), h)
+        .when(h.startswith("//"), F.concat(F.regexp_extract(base, r"^(?i)(https?:)", 1), h))
+        .when(h.rlike(r"^(?i)[a-z][a-z0-9+.\-]*:") | (h == "") | h.startswith("#"), F.lit(None).cast("string"))
+        .when(h.startswith("/"), F.concat(root, h))
+        .when(h.startswith("?"), F.concat(F.regexp_replace(base, r"[?#].*$", ""), h))
+        .otherwise(F.concat(F.when(folder == "", F.concat(root, F.lit("/"))).otherwise(folder), h))
+    )
+
+
+def site_links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Links of each page to other pages of its host, distinct: page, url, at, score, page_type, rank.
+
+    rank orders a page's links by falling score, then place. Links are numbered
+    inside their page's row, so nothing but short rows is shuffled.
+    """
+    home = U.page_key(F.col(url_col))
+    links = F.transform(hrefs(F.col(html_col)), lambda h, i: F.struct(absolute(h, F.col(url_col)).alias("url"), i.alias("at")))
+    each = pages.select(F.col(id_col), F.col(url_col).alias("_base"), home.alias("_home"), F.explode(links).alias("l"))
+    each = each.select(id_col, "_base", "_home", F.col("l.url").alias("url"), F.col("l.at").alias("at"), U.page_key(F.col("l.url")).alias("key"))
+    kept = each.filter(U.same_host(F.col("url"), F.col("_base")) & ~F.col("url").rlike(ASSET) & (F.col("key") != F.col("_home")))
+    first = kept.groupBy(id_col, "key").agg(F.min("at").alias("at"), F.min_by("url", "at").alias("url"))
+    path = F.regexp_extract("url", r"^(?i)https?://[^/?#]+([^?#]*)", 1)
+    rest = F.regexp_extract("url", r"^(?i)https?://[^/?#]+([^#]*)", 1)
+    scored = first.select(id_col, "url", "at", U.link_score(rest).alias("score"), U.page_type(path).alias("page_type"))
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("score"), "at")))
+
+
+def pick_extra_pages(links: DataFrame, id_col: str = "page_id", most: int = 3) -> DataFrame:
+    """Of each page up to three links: the best of about, services, contact and portfolio, then the best of the rest."""
+    kind = F.array_position(F.array(*(F.lit(t) for t in ("about", "services", "contact", "portfolio"))), F.col("page_type"))
+    in_kind = F.row_number().over(Window.partitionBy(id_col, "page_type").orderBy("rank"))
+    turn = F.when((kind > 0) & (in_kind == 1), kind).otherwise(5)
+    picked = links.withColumn("turn", turn).withColumn("pick", F.row_number().over(Window.partitionBy(id_col).orderBy("turn", "rank")))
+    return picked.filter(F.col("pick") <= most)
+
+
+def page_features(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Every page with its features in place of the markup; a null page has empty ones."""
+    h = F.col(html_col)
+    new = {
+        "title": title(h), "heading": heading(h), "description": meta(h, "description"), "og_title": meta(h, "og:title"),
+        "footer": footer_text(h), "emails": distinct_capped(mail_links(h), 16), "phones": distinct_capped(phone_links(h), 16),
+        "fonts": font_families(h), "n_links": F.size(hrefs(h)), "text": plain_text(h),
+        "page_type": U.page_type(F.regexp_extract(url_col, r"^(?i)https?://[^/?#]+([^?#]*)", 1)),
+    }
+    return pages.select(*(c for c in pages.columns if c not in (*new, html_col)), *(v.alias(k) for k, v in new.items()))
+
+
+def within_budget(pages: DataFrame, site_col: str, seq_col: str, text_col: str = "text", budget: int = 18_000, first: int = 8_000, later: int = 4_000) -> DataFrame:
+    """Texts cut to a site's running budget: so much for its first page, less for each later one."""
+    order = Window.partitionBy(site_col).orderBy(seq_col)
+    own = F.least(F.length(text_col), F.when(F.row_number().over(order) == 1, first).otherwise(later))
+    sized = pages.withColumn("_own", own)
+    before = F.coalesce(F.sum("_own").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    left = F.greatest(F.lit(0), F.least(F.col("_own"), budget - F.col("_before"))).cast("int")
+    return sized.withColumn("_before", before).withColumn(text_col, F.substring(F.col(text_col), F.lit(1), left)).drop("_own", "_before")
+
+
+def quality_grade(pages_seen: Column, has_name: Column, n_contacts: Column, n_colors: Column, blocked: Column) -> Column:
+    """high, medium or low: the least of the grades for identity, contact and look; low if blocked."""
+    identity = F.when(has_name & (pages_seen >= 2), 3).when(has_name, 2).otherwise(1)
+    reach = F.when(n_contacts >= 2, 3).when(n_contacts == 1, 2).otherwise(1)
+    look = F.when(n_colors >= 2, 3).when(n_colors == 1, 2).otherwise(1)
+    least = F.when(blocked, 1).otherwise(F.least(identity, reach, look))
+    return F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), least)

@@ -1,0 +1,52 @@
+"""Reviewers' scores: distributions, averages, notes; field scores of records."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from webgrain.functions import status
+from webgrain.functions import text as X
+from webgrain.functions.base import trim
+
+SCORE_COLUMNS = ["business_name_score", "category_score", "logo_score", "brief_score", "overall_score"]
+KINDS = ["0", "1", "2", "3", "na", "blank", "invalid"]
+
+
+def score_distribution(reviews: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(score, kind, n) for each score column and kind, zeros included, from one pass."""
+    columns = columns or SCORE_COLUMNS
+    counts = reviews.agg(*(F.count_if(status.score_kind(F.col(c)) == k).alias(f"{c}|{k}") for c in columns for k in KINDS))
+    rows = F.explode(F.array(*(F.struct(F.lit(c).alias("score"), F.lit(k).alias("kind"), F.col(f"`{c}|{k}`").alias("n")) for c in columns for k in KINDS)))
+    return counts.select(rows.alias("r")).select("r.*")
+
+
+def score_averages(reviews: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(score, average): means over values from 0 to 3 only, null without any."""
+    columns = columns or SCORE_COLUMNS
+    means = reviews.agg(*(F.avg(status.score_value(F.col(c))).alias(c) for c in columns))
+    return means.select(F.explode(F.array(*(F.struct(F.lit(c).alias("score"), F.col(c).alias("average")) for c in columns))).alias("r")).select("r.*")
+
+
+def top_notes(reviews: DataFrame, column: str = "reviewer_notes", most: int = 5) -> DataFrame:
+    """The most frequent notes: by count, then text, with rank."""
+    note = trim(F.col(column))
+    counts = reviews.select(note.alias("note")).filter("note <> ''").groupBy("note").agg(F.count("*").alias("n"))
+    top = counts.orderBy(F.desc("n"), "note").limit(most)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "note")).cast("long"))
+
+
+def score_rows(distribution: DataFrame, averages: DataFrame) -> DataFrame:
+    """The summary as (section, key, value) rows."""
+    a = distribution.select(F.lit("distribution").alias("section"), F.concat_ws(".", "score", "kind").alias("key"), F.col("n").cast("string").alias("value"))
+    return a.unionByName(averages.select(F.lit("average").alias("section"), F.col("score").alias("key"), status.short_number(F.col("average")).alias("value")))
+
+
+def exact_score(expected: Column, found: Column) -> Column:
+    """N/A without an expectation, 0 without a find, 3 if one holds the other, else 'review'."""
+    e, f = X.comparable(expected), X.comparable(found)
+    return F.when(e == "", "N/A").when(f == "", "0").when(f.contains(e) | e.contains(f), "3").otherwise("review")
+
+
+def present_score(found: Column) -> Column:
+    return F.when(trim(found) == "", "0").otherwise("present")
