@@ -54,7 +54,7 @@ def crc_fold(id_col: str, folds: int) -> Column:
 
 
 #: So many rows of keys (a few numbers each) are broadcast; more are shuffled.
-MAX_KEYS = 1 << 20
+MAX_KEYS = 1 << 21
 
 
 def few(keys: DataFrame) -> DataFrame:

@@ -37,6 +37,8 @@ from webgrain.llm.components import components
 
 #: The n-grams that the order puts last, at most: 16 bytes each are broadcast.
 FREQUENT = 1 << 18
+#: Counters of a set's n-grams by hash, which bound the overlap of two sets from above.
+COUNTERS = 128
 #: A task sums this many n-grams before it says which of them occur in MIN_SEEN texts or more.
 GATHER, MIN_SEEN = 1 << 21, 4
 
@@ -91,15 +93,19 @@ def frequent_ngrams(docs: DataFrame, width: int, most: int = FREQUENT, text_col:
 
     texts = docs.select(F.col(text_col).cast("string").alias(text_col))
     sums = texts.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-    top = sums.orderBy(F.desc("n"), "k").limit(most).toPandas()
-    keys = top["k"].to_numpy(np.int64).view(_U)
+    top = sums.orderBy(F.desc("n"), "k").limit(most).toArrow()
+    keys = top["k"].to_numpy().view(_U)
     rank = np.arange(len(keys), 0, -1, dtype=np.int64)
     order = np.argsort(keys)
     return keys[order], rank[order]
 
 
 def _documents(docs: DataFrame, width: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(id, key, node, n, prefix) of each row of (id, key, text); node is a hash of the set, null if it is empty."""
+    """(id, key, node, n, prefix, counters) of each row of (id, key, text).
+
+    node is a hash of the set, null if it is empty; counters say how many of its
+    n-grams fall to each of COUNTERS parts of the hash range.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
     id_type = docs.schema["id"].dataType.simpleString()
 
@@ -119,6 +125,8 @@ def _documents(docs: DataFrame, width: int, percent: int, frequent: tuple[np.nda
             size = np.where(100 * n >= percent * (n + 1), prefix_size(n, percent), 0)
             taken = order[place < size[doc]]
             ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+            part_of = doc * COUNTERS + (hashed >> _U(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
+            counters = np.bincount(part_of, minlength=rows * COUNTERS).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("id"),
@@ -126,11 +134,12 @@ def _documents(docs: DataFrame, width: int, percent: int, frequent: tuple[np.nda
                     pa.array(node.view(np.int64), mask=n == 0),
                     pa.array(n.astype(np.int64)),
                     pa.ListArray.from_arrays(pa.array(ends), _text.signed(hashed[taken])),
+                    pa.ListArray.from_arrays(pa.array(np.arange(0, (rows + 1) * COUNTERS, COUNTERS, dtype=np.int32)), pa.array(counters)),
                 ],
-                ["id", "key", "node", "n", "prefix"],
+                ["id", "key", "node", "n", "prefix", "counters"],
             )
 
-    return docs.mapInArrow(run, f"id {id_type}, key long, node long, n long, prefix array<long>")
+    return docs.mapInArrow(run, f"id {id_type}, key long, node long, n long, prefix array<long>, counters array<int>")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
@@ -153,8 +162,15 @@ def _fits(a: Column, b: Column, percent: int) -> Column:
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) of nodes that reach the threshold, verified on whole sets."""
-    pairs = cut(pairs.distinct())
+    """Those pairs (a, b) of nodes that reach the threshold.
+
+    Counters discard pairs that cannot overlap enough; the rest is verified on
+    whole sets.
+    """
+    side = lambda s, c: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("counters").alias(c))
+    near = pairs.distinct().join(side("a", "x"), "a").join(side("b", "y"), "b")
+    most = F.aggregate(F.zip_with("x", "y", lambda p, q: F.least(p, q)), F.lit(0), lambda n, c: n + c)
+    pairs = cut(near.filter((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b"))
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     sets = cut(_sets(docs, nodes.select("node", "key").join(wanted, "node"), width))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(
@@ -180,12 +196,13 @@ def near_duplicates(
         raise ValueError("percent must be above 0 and at most 100")
     own = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
     rows = cut(_documents(own, width, percent, frequent_ngrams(docs, width, text_col=text_col)))
-    nodes = rows.filter("size(prefix) > 0").dropDuplicates(["node"])
-    nodes = cut(nodes.select("node", "key", "n", "prefix", F.xxhash64("n", "prefix").alias("grp")))
+    rows = rows.withColumn("grp", F.xxhash64("n", "prefix"))
+    nodes = cut(rows.filter("size(prefix) > 0").select("node", "key", "n", "grp", "counters").dropDuplicates(["node"]))
 
-    groups = nodes.dropDuplicates(["grp"]).select("grp", "n", F.col("node").alias("rep"), F.posexplode("prefix").alias("place", "gram"))
-    shared = groups.groupBy("gram").agg(F.count("*").alias("in")).filter(F.col("in") > 1).select("gram")
-    lists = cut(groups.join(shared, "gram").withColumn("place", F.col("place").cast("long")))
+    each = rows.select("grp", "n", "node", F.posexplode("prefix").alias("place", "gram"))
+    shared = each.groupBy("gram").agg(F.count("*").alias("in")).filter(F.col("in") > 1).select("gram")
+    lists = each.join(few(cut(shared)), "gram").groupBy("gram", "grp").agg(F.min("node").alias("rep"), F.min("n").alias("n"), F.min("place").cast("long").alias("place"))
+    lists = cut(lists)
 
     # Round 1: each list entry with the representative of its range of sizes; each member with its group's.
     band = F.floor(F.log("n") / float(-np.log(percent / 100))) if percent < 100 else F.col("n")
@@ -193,7 +210,7 @@ def near_duplicates(
     heads = banded.groupBy("gram", "band").agg(F.min(F.struct("rep", "n", "place")).alias("h"))
     star = banded.join(heads, ["gram", "band"]).filter(F.col("rep") != F.col("h.rep"))
     star = star.filter(_fits(F.struct("n", "place"), F.col("h"), percent)).select(F.col("h.rep").alias("a"), F.col("rep").alias("b"))
-    group_rep = groups.filter("place = 0").select("grp", "rep")
+    group_rep = nodes.groupBy("grp").agg(F.min("node").alias("rep"), F.count("*").alias("members")).filter("members > 1").select("grp", "rep")
     inside = nodes.join(group_rep, "grp").filter(F.col("node") != F.col("rep")).select(F.col("rep").alias("a"), F.col("node").alias("b"))
     links = _linked(star.unionByName(inside), own, nodes, width, percent)
     known = cut(components(links))
