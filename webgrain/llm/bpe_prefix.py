@@ -35,7 +35,13 @@ from pyspark.sql import types as T
 #: The rank file is broadcast; a larger one is refused.
 MAX_RANK_FILE_BYTES = 64 << 20
 #: Entries of a task's caches; a full cache is emptied.
-MAX_CACHED = 600_000
+MAX_CACHED = 250_000
+
+
+def read_ranks(data: bytes) -> dict[bytes, int]:
+    """Ranks by token, from the lines of a rank file: the token in base64, its rank."""
+    pairs = (line.split() for line in data.splitlines() if line.strip())
+    return {base64.b64decode(word): int(rank) for word, rank in pairs}
 
 
 class PrefixBPE:
@@ -57,8 +63,7 @@ class PrefixBPE:
 
     @classmethod
     def from_rank_file(cls, data: bytes) -> PrefixBPE:
-        pairs = (line.split() for line in data.splitlines() if line.strip())
-        return cls({base64.b64decode(word): int(rank) for word, rank in pairs})
+        return cls(read_ranks(data))
 
     def _halves(self, t: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes t; None for a single byte."""
@@ -225,6 +230,21 @@ def _loaded(data: bytes) -> tuple[PrefixBPE, dict[str, bytes]]:
     return _LOADED[key]
 
 
+_TOKENS: dict[str, np.ndarray] = {}
+
+
+def _token_table(data: bytes) -> np.ndarray:
+    """The bytes of each token by its rank: all that decoding needs of a rank file."""
+    key = hashlib.sha256(data).hexdigest()
+    if key not in _TOKENS:
+        ranks = read_ranks(data)
+        table = np.full(max(ranks.values()) + 1, None, dtype=object)
+        for token, rank in ranks.items():
+            table[rank] = token
+        _TOKENS[key] = table
+    return _TOKENS[key]
+
+
 def _broadcast_ranks(df: DataFrame, rank_file: str):
     with open(rank_file, "rb") as f:
         data = f.read(MAX_RANK_FILE_BYTES + 1)
@@ -272,8 +292,7 @@ def decode(df: DataFrame, rank_file: str, ids_col: str = "ids", bytes_col: str =
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(bytes_col, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, _ = _loaded(sent.value)
-        table = np.array([bpe.token.get(i) for i in range(max(bpe.token) + 1)], dtype=object)
+        table = _token_table(sent.value)
         for batch in batches:
             out = []
             for ids in batch.column(ids_col):
