@@ -1,6 +1,7 @@
 """Each operator against a plain Python version on a small fixture with awkward rows."""
 
 import hashlib
+import inspect
 import math
 import random
 import re
@@ -166,6 +167,23 @@ def test_lm_filter_reads_counts_back_and_beats_the_base(spark):
     assert lm_bloom.score(docs.limit(0), model).count() == 0
 
 
+def test_lm_filter_grows_with_its_members(spark, monkeypatch):
+    """No bound unless asked for; many pieces and chunks give the scores of few."""
+    assert inspect.signature(lm_bloom.train).parameters["max_filter_bytes"].default is None
+    rows = [(k, " ".join(f"a{k}x{i % 50} b{k}x{i % 50}" for i in range(150))) for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one = lm_bloom.train(docs)
+    assert (one.filter.least_word, one.filter.least_pair) == (lm_bloom.MIN_WORD, lm_bloom.MIN_PAIR)
+    want = {r.doc_id: r.score for r in lm_bloom.score(docs, one).collect()}
+    monkeypatch.setattr(lm_bloom, "PIECE_BYTES", 4096)
+    monkeypatch.setattr(lm_bloom, "CHUNK_BYTES", 5000)
+    many = lm_bloom.train(docs)
+    assert many.filter.shape.blocks >= many.filter.shape.pieces > 4
+    got = {r.doc_id: r.score for r in lm_bloom.score(docs, many).collect()}
+    assert got == pytest.approx(want)
+    assert all(s / 301 > -0.6 for s in got.values())  # a lost pair costs over 2
+
+
 def _contaminated(text, items):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
     own, hit, found = words(text), set(), set()

@@ -15,12 +15,14 @@ so the weight of pairs too rare to store goes to the words' own probabilities
 
     p(w) = (count(w) + 0.1) / (N + 0.1 * (V + 1))
 
-The filter is broadcast, and its size is bounded (max_filter_bytes): its bits
-follow the number of members until then; beyond, the least count that is stored
-doubles until the members fit, for words and pairs alike. Every text and every
-token is scored whatever the size. Exact word counts, for the base score, are
-joined: the head of the vocabulary is broadcast (a fixed number of words), the
-tail is shuffled.
+The bits of the filter follow the number of members, so the same counts are
+stored at every size. All levels of an n-gram lie in one block, blocks in pieces
+of bounded size that stay distributed. Texts are scored in chunks: a chunk sends
+each of its distinct n-grams to the piece that holds it and gets one byte back,
+the level. Only a caller who bounds the filter (max_filter_bytes) loses counts:
+the least count that is stored then doubles until the members fit. Exact word
+counts, for the base score, are joined: the head of the vocabulary is broadcast
+(a fixed number of words), the tail is shuffled.
 """
 
 from __future__ import annotations
@@ -43,7 +45,10 @@ STEP = 1.5
 BITS_PER_MEMBER, PROBES = 10, 6
 #: Bits of a block: a member's bits all lie in one.
 BLOCK_BITS = 1 << 15
-MAX_FILTER_BYTES = 64 << 20
+#: Most bytes of a piece of the filter, and bytes of text that are scored at once.
+PIECE_BYTES, CHUNK_BYTES = 4 << 20, 4 << 20
+#: Keys that a task gathers before it sends them to their pieces.
+PACK = 1 << 20
 #: The words whose exact counts are broadcast: 16 bytes each.
 HEAD_WORDS = 1 << 18
 #: Tokens that a counting task gathers before it sends sums.
@@ -115,63 +120,87 @@ def count_of(level: np.ndarray, least: int) -> np.ndarray:
     return np.where(level > 0, middle, 0.0)
 
 
-def _member(keys: np.ndarray, kind: int, level: int | np.ndarray) -> np.ndarray:
-    return _text.mix((keys ^ _KIND[kind]) + np.asarray(level, dtype=_U) * _U(0x9E3779B97F4A7C15))
+def _address(keys: np.ndarray, kind: int) -> np.ndarray:
+    return _text.mix(keys ^ _KIND[kind])
 
 
-class Filter(NamedTuple):
-    """Words of 64 bits, and the least counts of words and pairs in it."""
+def _member(address: np.ndarray, level: int) -> np.ndarray:
+    return _text.mix(address + _U(level) * _U(0x9E3779B97F4A7C15))
 
-    bits: np.ndarray
-    least_word: int
-    least_pair: int
+
+class Shape(NamedTuple):
+    """Blocks of the filter and of each piece."""
+
+    blocks: int
+    piece_blocks: int
 
     @property
-    def blocks(self) -> int:
-        return self.bits.size * 64 // BLOCK_BITS
+    def pieces(self) -> int:
+        return -(-self.blocks // self.piece_blocks)
 
-    def positions(self, members: np.ndarray, probe: int) -> np.ndarray:
-        return bit_positions(members, self.blocks, probe)
+    def block(self, address: np.ndarray) -> np.ndarray:
+        return ((address >> _U(32)) % _U(self.blocks)).astype(np.int64)
 
-    def has(self, members: np.ndarray) -> np.ndarray:
-        out = np.ones(members.size, dtype=bool)
-        live = np.arange(members.size)
+    def bits(self, address: np.ndarray, level: int) -> Iterator[np.ndarray]:
+        """The bits of a level inside its piece: in the address's block, by double hashing."""
+        base, member = self.block(address) % self.piece_blocks * BLOCK_BITS, _member(address, level)
         for probe in range(PROBES):
-            at = self.positions(members[live], probe)
-            hit = (self.bits[at >> 6] >> (at & 63).astype(_U)) & _U(1) == 1
-            out[live[~hit]] = False
-            live = live[hit]
-        return out
-
-    def counts(self, keys: np.ndarray, kind: int, least: int) -> np.ndarray:
-        """Counts read back for distinct keys."""
-        level, live, k = np.zeros(keys.size, dtype=np.int64), np.arange(keys.size), 0
-        while live.size:
+            yield base + ((member + _U(probe) * ((member >> _U(17)) | _U(1))) & _U(BLOCK_BITS - 1)).astype(np.int64)
+
+    def levels(self, bits: np.ndarray, address: np.ndarray) -> np.ndarray:
+        """Levels that a piece (bits in bytes) holds for its addresses."""
+        level, live, k = np.zeros(address.size, dtype=np.uint8), np.arange(address.size), 0
+        while live.size and k < 255:
             k += 1
-            live = live[self.has(_member(keys[live], kind, k))]
+            found = np.ones(live.size, dtype=bool)
+            for at in self.bits(address[live], k):
+                found &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            live = live[found]
             level[live] = k
-        return count_of(level, least)
+        return level
+
+
+class Filter(NamedTuple):
+    """Pieces (piece, bits), and the least counts of words and pairs in them."""
+
+    pieces: DataFrame
+    shape: Shape
+    least_word: int
+    least_pair: int
 
 
-def bit_positions(members: np.ndarray, blocks: int, probe: int) -> np.ndarray:
-    """The bit of a member for one probe: in its block, by double hashing."""
-    block = (members >> _U(32)) % _U(blocks)
-    inside = (members + _U(probe) * ((members >> _U(17)) | _U(1))) & _U(BLOCK_BITS - 1)
-    return (block * _U(BLOCK_BITS) + inside).astype(np.int64)
+def _by_piece(shape: Shape, address: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order that puts addresses by piece; the pieces, and where each begins and the last ends."""
+    piece = shape.block(address) // shape.piece_blocks
+    order = np.argsort(piece, kind="stable")
+    found, begins = np.unique(piece[order], return_index=True)
+    return order, found, np.append(begins, piece.size)
 
 
-def _members(counts: DataFrame, kind: int, least: int, blocks: int) -> DataFrame:
-    """(block, member) for each level of each count (k, n)."""
+def _packed(counts: DataFrame, kind: int, least: int, shape: Shape) -> DataFrame:
+    """(piece, address, level): addresses and levels of the counts (k, n), many to a row."""
+
+    def rows(kept: list[pa.RecordBatch]) -> pa.RecordBatch:
+        k, n = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in kept]) for c in ("k", "n"))
+        address = _address(k.view(_U), kind)
+        order, found, ends = _by_piece(shape, address)
+        address, level = address[order], level_of(n, least)[order].astype(np.uint8)
+        cuts = list(zip(ends[:-1], ends[1:], strict=True))
+        blobs = (pa.array([x[i:j].tobytes() for i, j in cuts], pa.binary()) for x in (address, level))
+        return pa.RecordBatch.from_arrays([pa.array(found), *blobs], ["piece", "address", "level"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, size = [], 0
         for batch in batches:
-            keys = batch.column("k").to_numpy(zero_copy_only=False).view(_U)
-            levels = level_of(batch.column("n").to_numpy(zero_copy_only=False), least)
-            for k in range(1, int(levels.max(initial=0)) + 1):
-                m = _member(keys[levels >= k], kind, k)
-                yield pa.RecordBatch.from_arrays([pa.array(((m >> _U(32)) % _U(blocks)).astype(np.int64)), _text.signed(m)], ["block", "member"])
+            kept.append(batch)
+            size += batch.num_rows
+            if size >= PACK:
+                yield rows(kept)
+                kept, size = [], 0
+        if size:
+            yield rows(kept)
 
-    return counts.filter(F.col("n") >= least).select("k", "n").mapInArrow(run, "block long, member long")
+    return counts.filter(F.col("n") >= least).select("k", "n").mapInArrow(run, "piece long, address binary, level binary")
 
 
 def _size(counts: DataFrame, least: int) -> int:
@@ -189,7 +218,7 @@ class Model(NamedTuple):
     filter: Filter
 
 
-def train(docs: DataFrame, text_col: str = "text", max_filter_bytes: int = MAX_FILTER_BYTES) -> Model:
+def train(docs: DataFrame, text_col: str = "text", max_filter_bytes: int | None = None) -> Model:
     """A model from all texts of docs; a null text is an empty one, which has its end token."""
     words = cut(count_ngrams(docs, pairs=False, text_col=text_col))
     pairs = cut(count_ngrams(docs, pairs=True, text_col=text_col).filter(F.col("n") >= MIN_PAIR))
@@ -211,58 +240,116 @@ def train(docs: DataFrame, text_col: str = "text", max_filter_bytes: int = MAX_F
             (both.select("k", F.col("rest").alias("n")), REST, 1),
         ]
         members = sum(_size(counts, least) for counts, _, least in parts)
-        if members * BITS_PER_MEMBER <= max_filter_bytes * 8 or double >= 40:
+        if max_filter_bytes is None or members * BITS_PER_MEMBER <= max_filter_bytes * 8 or double >= 40:
             break
         double += 1
     blocks = max(1, -(-members * BITS_PER_MEMBER // BLOCK_BITS))
+    tasks = _tasks(docs)
+    shape = Shape(blocks, max(1, min(PIECE_BYTES * 8 // BLOCK_BITS, blocks // tasks)))
     rows = None
     for counts, kind, least in parts:
-        more = _members(counts, kind, least, blocks)
+        more = _packed(counts, kind, least, shape)
         rows = more if rows is None else rows.unionByName(more)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[int, np.ndarray] = {}
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([piece], pa.int64()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["piece", "bits"])
+
+        piece, bits = None, np.zeros(0, dtype=bool)
         for batch in batches:
-            block = batch.column("block").to_numpy(zero_copy_only=False)
-            member = batch.column("member").to_numpy(zero_copy_only=False).view(_U)
-            order = np.argsort(block, kind="stable")
-            block, member = block[order], member[order]
-            begins = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if block.size else []
-            for lo, hi in zip(begins, [*begins[1:], block.size], strict=True):
-                bits = own.setdefault(int(block[lo]), np.zeros(BLOCK_BITS, dtype=bool))
-                for probe in range(PROBES):
-                    bits[bit_positions(member[lo:hi], 1, probe)] = True
-        for b, bits in own.items():
-            yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
+            for own, address, level in zip(*(batch.column(c) for c in ("piece", "address", "level")), strict=True):
+                if own.as_py() != piece:
+                    if piece is not None:
+                        yield done()
+                    piece, bits = own.as_py(), np.zeros(shape.piece_blocks * BLOCK_BITS, dtype=bool)
+                addresses, levels = np.frombuffer(address.as_py(), _U), np.frombuffer(level.as_py(), np.uint8)
+                for k in range(1, int(levels.max(initial=0)) + 1):
+                    for at in shape.bits(addresses[levels >= k], k):
+                        bits[at] = True
+        if piece is not None:
+            yield done()
+
+    pieces = rows.repartition(max(tasks, shape.pieces // 8), "piece").sortWithinPartitions("piece").mapInArrow(fill, "piece long, bits binary")
+    return Model(words, int(total["n"]), int(total["v"]), Filter(cut(pieces), shape, least_word, least_pair))
 
-    bits = np.zeros(blocks * BLOCK_BITS // 64, dtype=_U)
-    tasks = max(1, blocks * BLOCK_BITS // (8 << 20), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    for r in rows.repartition(tasks, "block").mapInArrow(fill, "block long, bits binary").toLocalIterator():
-        at = r["block"] * (BLOCK_BITS // 64)
-        bits[at : at + BLOCK_BITS // 64] = np.frombuffer(bytes(r["bits"]), dtype=_U)
-    return Model(words, int(total["n"]), int(total["v"]), Filter(bits, least_word, least_pair))
 
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-class _Known(NamedTuple):
-    """What the filter says of words and of histories: p(w), kept and rest."""
 
-    p: np.ndarray
-    kept: np.ndarray
-    rest: np.ndarray
+class _Chunk(NamedTuple):
+    """Tokens of some texts, and the addresses of their distinct n-grams.
 
+    The addresses are those of words, of kept and of rest of histories, and of
+    pairs, in this order; word, head and pair give the place of each token's among them.
+    """
 
-def _ask(f: Filter, words: np.ndarray, norm: float) -> _Known:
-    heads = words & _U(0xFFFFFFFF00000000)
-    return _Known((f.counts(words, WORD, f.least_word) + 0.1) / norm, f.counts(heads, KEPT, 1), f.counts(heads, REST, 1))
+    tokens: np.ndarray
+    doc: np.ndarray
+    word: np.ndarray
+    head: np.ndarray
+    pair: np.ndarray
+    address: tuple[np.ndarray, ...]
 
 
-def _lm_scores(f: Filter, tokens: np.ndarray, history: np.ndarray, known: _Known, before: _Known) -> np.ndarray:
-    """log10 p(token | history) of each token; only pairs whose history has stored pairs are probed."""
-    out, live = known.p.copy(), np.flatnonzero(before.kept > 0)
-    kept, rest = before.kept[live], before.rest[live]
-    seen = np.minimum(f.counts(pair_keys(history[live], tokens[live]), PAIR, f.least_pair), kept)
-    out[live] = (seen + (rest + 0.5) * out[live]) / (kept + rest + 0.5)
-    return np.log10(out)
+def _chunk(texts: pa.Array) -> _Chunk:
+    tokens, doc = token_hashes(texts)
+    history = histories(tokens, doc)
+    (words, word), (heads, head), (pairs, pair) = (
+        np.unique(x, return_inverse=True) for x in (tokens, history & _U(0xFFFFFFFF00000000), pair_keys(history, tokens))
+    )
+    address = (_address(words, WORD), _address(heads, KEPT), _address(heads, REST), _address(pairs, PAIR))
+    return _Chunk(tokens, doc, word, head, pair, address)
+
+
+def _ask(chunks: DataFrame, shape: Shape) -> DataFrame:
+    """(chunk, piece, ask): the addresses of each chunk (chunk, texts) that lie in each piece."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, texts in zip(batch.column("chunk"), batch.column("texts"), strict=True):
+                address = np.concatenate(_chunk(texts.values).address)
+                order, found, ends = _by_piece(shape, address)
+                address = address[order]
+                asks = pa.array([address[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([number.as_py()] * found.size, pa.int64()), pa.array(found), asks], ["chunk", "piece", "ask"])
+
+    return chunks.select("chunk", "texts").mapInArrow(run, "chunk long, piece long, ask binary")
+
+
+def _answer(asks: DataFrame, f: Filter) -> DataFrame:
+    """(chunk, piece, levels): one byte for each address, in the order of ask."""
+    shape = f.shape
+    held = f.pieces.select(F.lit(-1).cast("long").alias("chunk"), "piece", F.col("bits").alias("ask"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits_of, bits = None, np.zeros(0, np.uint8)
+        for batch in batches:
+            out: list[tuple[int, int, bytes]] = []
+            for chunk, piece, ask in zip(*(batch.column(c) for c in ("chunk", "piece", "ask")), strict=True):
+                if chunk.as_py() < 0:
+                    bits_of, bits = piece.as_py(), np.frombuffer(ask.as_py(), np.uint8)
+                    continue
+                address = np.frombuffer(ask.as_py(), _U)
+                level = shape.levels(bits, address) if piece.as_py() == bits_of else np.zeros(address.size, np.uint8)
+                out.append((chunk.as_py(), piece.as_py(), level.tobytes()))
+            columns = list(zip(*out, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["chunk", "piece", "levels"])
+
+    both = asks.unionByName(held).repartition(max(_tasks(asks), shape.pieces // 8), "piece").sortWithinPartitions("piece", "chunk")
+    return both.mapInArrow(run, "chunk long, piece long, levels binary")
+
+
+def _lm_scores(shape: Shape, least_word: int, least_pair: int, own: _Chunk, answers: list[bytes], norm: float) -> np.ndarray:
+    """log10 p(token | history) of each token, from the levels by piece."""
+    order, _, _ = _by_piece(shape, np.concatenate(own.address))
+    level = np.empty(order.size, dtype=np.int64)
+    level[order] = np.frombuffer(b"".join(answers), np.uint8)
+    word, kept, rest, pair = np.split(level, np.cumsum([a.size for a in own.address])[:-1])
+    p = ((count_of(word, least_word) + 0.1) / norm)[own.word]
+    kept, rest = count_of(kept, 1)[own.head], count_of(rest, 1)[own.head]
+    seen = np.minimum(count_of(pair, least_pair)[own.pair], kept)
+    return np.log10(np.where(kept > 0, (seen + (rest + 0.5) * p) / (kept + rest + 0.5), p))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", head_words: int = HEAD_WORDS) -> DataFrame:
@@ -279,47 +366,50 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", head_words: int
     sc = docs.sparkSession.sparkContext
     top = model.words.orderBy(F.desc("n"), "k").limit(head_words).toArrow().sort_by("k")
     head = sc.broadcast((top["k"].to_numpy(), top["n"].to_numpy()))
-    sent = sc.broadcast(model.filter)
+    _, shape, least_word, least_pair = model.filter
     rows = docs.select(F.struct(*keep).alias("row"), F.col(text_col).cast("string").alias("text"))
+    row_type = rows.schema["row"].dataType.simpleString()
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32
+        for k, part in enumerate(_text.slices(batches, "text", CHUNK_BYTES)):
+            whole = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(c)) for c in ("row", "text")]
+            yield pa.RecordBatch.from_arrays([pa.array([first + k]), *whole], ["chunk", "rows", "texts"])
+
+    chunks = cut(rows.mapInArrow(gather, f"chunk long, rows array<{row_type}>, texts array<string>"))
+    answers = _answer(_ask(chunks, shape), model.filter).repartition(_tasks(docs), "chunk")
+    answers = answers.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("piece", "levels"))).alias("answers"))
+    asked = chunks.repartition(_tasks(docs), "chunk").join(answers, "chunk").select("rows", "texts", F.col("answers.levels").alias("levels"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (keys, counts), f = head.value, sent.value
-        of_head = _ask(f, keys.view(_U), norm)
+        keys, counts = head.value
         number = TaskContext.get().partitionId() << 33
-        for part in _text.slices(batches, "text"):
-            tokens, doc = token_hashes(part.column("text"))
-            n, own = part.num_rows, tokens.view(np.int64)
-            at = np.minimum(np.searchsorted(keys, own), max(keys.size - 1, 0))
-            inside = keys[at] == own if keys.size else np.zeros(own.size, dtype=bool)
-            rare, rare_at = np.unique(tokens[~inside], return_inverse=True)
-            where = np.empty(own.size, dtype=np.int64)
-            where[inside], where[~inside] = at[inside], keys.size + rare_at
-            whole = [np.concatenate([a, b]) for a, b in zip(of_head, _ask(f, rare, norm), strict=True)]
-            begins = np.concatenate([[True], doc[1:] != doc[:-1]])
-            earlier = np.concatenate([[0], where[:-1]])
-            known, before = (_Known(*(x[w] for x in whole)) for w in (where, earlier))
-            for x, y in zip(before, _ask(f, np.array([START]), norm), strict=True):
-                x[begins] = y[0]
-            lm = np.bincount(doc, weights=_lm_scores(f, tokens, histories(tokens, doc), known, before), minlength=n)
-            base = np.bincount(doc[inside], weights=np.log10((counts[at[inside]] + 0.1) / norm), minlength=n)
-            tail = [own[~inside], doc[~inside]]
-            ends = np.concatenate([[0], np.cumsum(np.bincount(tail[1], minlength=n))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.arange(number, number + n)),
-                    part.column("row"),
-                    pa.array(np.bincount(doc, minlength=n).astype(np.int64)),
-                    pa.array(np.bincount(doc[inside], minlength=n).astype(np.int64)),
-                    pa.array(base),
-                    pa.array(lm),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(tail[0])),
-                ],
-                ["at", "row", "n_tokens", "head_known", "head_score", "score", "tail"],
-            )
-            number += n
-
-    row_type = rows.schema["row"].dataType.simpleString()
-    scored = cut(rows.mapInArrow(run, f"at long, row {row_type}, n_tokens long, head_known long, head_score double, score double, tail array<long>"))
+        for batch in batches:
+            for row in range(batch.num_rows):
+                texts, levels = batch.column("texts")[row].values, batch.column("levels")[row].as_py()
+                chunk = _chunk(texts)
+                n, own, doc = len(texts), chunk.tokens.view(np.int64), chunk.doc
+                at = np.minimum(np.searchsorted(keys, own), max(keys.size - 1, 0))
+                inside = keys[at] == own if keys.size else np.zeros(own.size, dtype=bool)
+                lm = np.bincount(doc, weights=_lm_scores(shape, least_word, least_pair, chunk, levels, norm), minlength=n)
+                base = np.bincount(doc[inside], weights=np.log10((counts[at[inside]] + 0.1) / norm), minlength=n)
+                tail = [own[~inside], doc[~inside]]
+                ends = np.concatenate([[0], np.cumsum(np.bincount(tail[1], minlength=n))]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.arange(number, number + n)),
+                        batch.column("rows")[row].values,
+                        pa.array(np.bincount(doc, minlength=n).astype(np.int64)),
+                        pa.array(np.bincount(doc[inside], minlength=n).astype(np.int64)),
+                        pa.array(base),
+                        pa.array(lm),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(tail[0])),
+                    ],
+                    ["at", "row", "n_tokens", "head_known", "head_score", "score", "tail"],
+                )
+                number += n
+
+    scored = cut(asked.mapInArrow(run, f"at long, row {row_type}, n_tokens long, head_known long, head_score double, score double, tail array<long>"))
     each = scored.select("at", F.explode("tail").alias("k"))
     known = each.join(model.words, "k").groupBy("at").agg(
         F.count("*").alias("tail_known"), F.sum(F.log10((F.col("n") + 0.1) / norm)).alias("tail_score")
