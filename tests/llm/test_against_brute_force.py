@@ -184,6 +184,17 @@ def test_lm_filter_grows_with_its_members(spark, monkeypatch):
     assert all(s / 301 > -0.6 for s in got.values())  # a lost pair costs over 2
 
 
+def test_lm_scores_pairs_seen_once(spark):
+    """'a b' once and 'a c' never: the words are equally frequent, only the pair tells them apart."""
+    train = spark.createDataFrame([("x1 a b y1",), ("x2 a d y2",), ("x3 q c y3",)], "text string")
+    docs = spark.createDataFrame([(0, "a b"), (1, "a c")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm_bloom.score(docs, lm_bloom.train(train)).collect()}
+    # 15 tokens, 12 kinds; a history stands before 1 or 2 tokens, all of pairs seen once
+    p = lambda n: (n + 0.1) / (15 + 0.1 * 13)
+    after_a = lambda n: (n + 2.5 * p(1)) / 4.5
+    assert got[0] - got[1] == pytest.approx(math.log10(after_a(1)) - math.log10(after_a(0)), rel=1e-6)
+
+
 def _contaminated(text, items):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
     own, hit, found = words(text), set(), set()

@@ -6,12 +6,13 @@ quantised form: for a count of level q, the pair (n-gram, j) is a member for
 every j from 1 to q. A worker reads a count back by probing j = 1, 2, ... until
 the first miss. A false member can raise a level, never lower one.
 
-Of a history h the filter also holds how many of its tokens belong to stored
-pairs (kept) and how many do not (rest), and a probability is
+All pairs are stored, those seen once too. Of a history h the filter also holds
+how many of its tokens belong to stored pairs (kept) and how many to pairs seen
+once or not stored (rest: what a new pair may expect), and a probability is
 
     p(w | h) = (count(h w) + (rest(h) + 0.5) * p(w)) / (kept(h) + rest(h) + 0.5)
 
-so the weight of pairs too rare to store goes to the words' own probabilities
+so a weight like that of the rarest pairs goes to the words' own probabilities
 
     p(w) = (count(w) + 0.1) / (N + 0.1 * (V + 1))
 
@@ -54,7 +55,7 @@ HEAD_WORDS = 1 << 18
 #: Tokens that a counting task gathers before it sends sums.
 GATHER = 1 << 21
 #: Least counts of a word and of a pair that the filter stores, before any doubling.
-MIN_WORD, MIN_PAIR = 1, 2
+MIN_WORD, MIN_PAIR = 1, 1
 
 _U = np.uint64
 START, END = _text.mix(np.array([1, 2], dtype=_U))
@@ -221,7 +222,7 @@ class Model(NamedTuple):
 def train(docs: DataFrame, text_col: str = "text", max_filter_bytes: int | None = None) -> Model:
     """A model from all texts of docs; a null text is an empty one, which has its end token."""
     words = cut(count_ngrams(docs, pairs=False, text_col=text_col))
-    pairs = cut(count_ngrams(docs, pairs=True, text_col=text_col).filter(F.col("n") >= MIN_PAIR))
+    pairs = cut(count_ngrams(docs, pairs=True, text_col=text_col))
     n_docs = docs.count()
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).collect()[0]
     double = 0
@@ -230,9 +231,9 @@ def train(docs: DataFrame, text_col: str = "text", max_filter_bytes: int | None
         stored = pairs.filter(F.col("n") >= least_pair)
         half = lambda c: F.shiftright(c, 32)
         start = docs.sparkSession.createDataFrame([(int(START.view(np.int64)), n_docs)], "k long, n long")
-        kept = stored.groupBy(half("k").alias("h")).agg(F.sum("n").alias("kept"))
+        kept = stored.groupBy(half("k").alias("h")).agg(F.sum("n").alias("kept"), F.count_if(F.col("n") == 1).alias("once"))
         seen = words.unionByName(start).groupBy(half("k").alias("h")).agg(F.sum("n").alias("seen"))
-        both = kept.join(seen, "h").select(F.shiftleft("h", 32).alias("k"), "kept", F.greatest(F.col("seen") - F.col("kept"), F.lit(0)).alias("rest"))
+        both = kept.join(seen, "h").select(F.shiftleft("h", 32).alias("k"), "kept", (F.greatest(F.col("seen") - F.col("kept"), F.lit(0)) + F.col("once")).alias("rest"))
         parts = [
             (words, WORD, least_word),
             (stored, PAIR, least_pair),
