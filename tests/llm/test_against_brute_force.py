@@ -6,13 +6,15 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from webgrain.llm import bpe_prefix, cdc_dedup, chat_format, hash_tree, jaccard_join, language_id, lm_bloom, positional_index, quality_lr
+from webgrain.llm import _text, bpe_prefix, cdc_dedup, chat_format, hash_tree, jaccard_join, language_id, lm_bloom, positional_index, quality_lr
 
 DOCS = "doc_id long, text string, score string, id int, n int, row_key string"
 
@@ -223,6 +225,45 @@ def test_positional_index(spark):
     assert positional_index.find_contamination(docs.limit(0), bench).count() == 0
 
 
+def _near(texts, items):
+    """Items near in each text: any 4 rarest known words of a span of 21, all within 20 words of the rarest."""
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+    code = lambda w: int(_text.words(pa.array([w]), _text.ALNUM, lower=True).hash[0])
+    count, out = Counter(w for t in texts for w in split(t)), []
+    groups = {}
+    for name, item in items:
+        words = split(item)
+        for at in range(max(1, len(words) - 20)):
+            span = set(words[at : at + 21])
+            known = sorted((w for w in span if count[w]), key=lambda w: (count[w], code(w)))[:4]
+            if known and len(known) == min(4, len(span)):
+                groups.setdefault(tuple(known), set()).add(str(name))
+    for t in texts:
+        at = {}
+        for k, w in enumerate(split(t)):
+            at.setdefault(w, []).append(k)
+        hit = (names for g, names in groups.items() if any(all(any(abs(q - p) <= 20 for q in at.get(w, ())) for w in g) for p in at.get(g[0], ())))
+        out.append(sorted(set().union(*hit)))
+    return out
+
+
+@pytest.mark.parametrize("edit_every", [1000, 7])
+def test_proximity_finds_exact_and_edited_copies(spark, edit_every):
+    rng = random.Random(9)
+    items = [(k, prose(rng, n, 4000)) for k, n in enumerate([14, 25, 40, 59, 59])]
+    other = lambda n: prose(rng, n, 300).replace("w", "z")
+    texts = [prose(rng, 5, 4000) + " " + other(40) for _ in range(40)]
+    for _, item in items:
+        own = [w if k % edit_every else "edited" for k, w in enumerate(item.split(), 1)]
+        texts.append(" ".join([other(30), *own, other(30)]))
+    items += [(k + 10, item + " nowhere") for k, item in items]
+    docs, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id int, text string")
+    got = {r.doc_id: r for r in positional_index.find_contamination(docs, bench).collect()}
+    assert [list(got[k].near_items) for k in range(len(texts))] == _near(texts, items)
+    for k in range(5):
+        assert {str(k), str(k + 10)} <= set(got[40 + k].near_items) and (str(k) in got[40 + k]["items"]) == (edit_every > 59)
+
+
 def _components(rows, width, percent):
     sets = {}
     for k, t, *_ in rows:

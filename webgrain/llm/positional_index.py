@@ -9,8 +9,9 @@ A search takes the windows of the benchmark's items. In each segment a window
 starts from the postings of its rarest term (by counts over the whole index),
 moved by the term's place in the window, and intersects the lists of its other
 terms, rarest first. What is left are exact phrase matches, all words compared.
-An item's rarest terms within a few words of each other, in any order, give a
-proximity match.
+For proximity, each span of an item gives a group: its rarest terms that the
+index holds. A group within a few words of its rarest term, in any order, is a
+match.
 
 The windows are broadcast in blocks of a bounded number of words; a larger
 benchmark takes more passes over the stored index. Only documents with matches
@@ -38,7 +39,8 @@ WINDOW = 10
 BLOCK_WORDS = 1 << 17
 #: Bytes of text in a segment of the index.
 SEGMENT_BYTES = 2 << 20
-#: A proximity match: so many of an item's rarest terms, each within so many words of the rarest.
+#: A proximity match: so many of the rarest terms of a span, each within so many words of the rarest.
+#: A span is so many words and one more.
 NEAR_TERMS, NEAR_WORDS = 4, 20
 
 #: Positions are stored from here on, so that moving a list never goes below 0.
@@ -52,8 +54,9 @@ class Block(NamedTuple):
     width: np.ndarray
     order: np.ndarray  # windows x WINDOW: places, the rarest term first
     owners: list[list[str]]  # the items of each window
-    near_terms: list[np.ndarray]  # of each item, the rarest first
-    items: list[str]
+    near_terms: np.ndarray  # groups x NEAR_TERMS, the rarest first
+    near_width: np.ndarray
+    near_owners: list[list[str]]  # the items of each group
 
 
 def build_index(
@@ -120,13 +123,19 @@ def term_counts(index: DataFrame) -> DataFrame:
 def query_block(items: list[tuple[str, np.ndarray]], counts: dict[int, int], window: int = WINDOW) -> Block:
     """Windows of items, given as (id, hashes of its words in order)."""
     found: dict[bytes, set[str]] = {}
-    near: list[np.ndarray] = []
+    near: dict[bytes, set[str]] = {}
     rarity = lambda hashes: np.array([counts.get(int(h), 0) for h in hashes.view(np.int64)], dtype=np.int64)
     for name, words in items:
         for at in range(max(1, len(words) - window + 1)):
             found.setdefault(words[at : at + window].tobytes(), set()).add(name)
-        distinct = np.unique(words)
-        near.append(distinct[np.argsort(rarity(distinct), kind="stable")][:NEAR_TERMS])
+        n = rarity(words)
+        for at in range(max(1, len(words) - NEAR_WORDS)):
+            distinct, first = np.unique(words[at : at + NEAR_WORDS + 1], return_index=True)
+            own = n[at + first]
+            rarest = np.argsort(own, kind="stable")
+            rarest = rarest[own[rarest] > 0][:NEAR_TERMS]
+            if rarest.size == min(NEAR_TERMS, distinct.size):
+                near.setdefault(distinct[rarest].tobytes(), set()).add(name)
     width = np.array([len(w) // 8 for w in found], dtype=np.int64)
     terms = np.zeros((len(found), window), dtype=np.uint64)
     order = np.zeros((len(found), window), dtype=np.int64)
@@ -134,7 +143,10 @@ def query_block(items: list[tuple[str, np.ndarray]], counts: dict[int, int], win
         own = np.frombuffer(w, dtype=np.uint64)
         terms[k, : own.size] = own
         order[k, : own.size] = np.argsort(rarity(own), kind="stable")
-    return Block(terms, width, order, [sorted(x) for x in found.values()], near, [name for name, _ in items])
+    near_terms, near_width = np.zeros((len(near), NEAR_TERMS), dtype=np.uint64), np.array([len(g) // 8 for g in near], dtype=np.int64)
+    for k, g in enumerate(near):
+        near_terms[k, : len(g) // 8] = np.frombuffer(g, dtype=np.uint64)
+    return Block(terms, width, order, [sorted(x) for x in found.values()], near_terms, near_width, [sorted(x) for x in near.values()])
 
 
 class Segment:
@@ -189,11 +201,11 @@ def _search_segment(seg: Segment, block: Block) -> dict[int, tuple[list[tuple[in
             start = (p & 0xFFFFFFFF) - _SHIFT
             spans.append((start, start + width))
             items.update(block.owners[w])
-    for name, terms in zip(block.items, block.near_terms, strict=True):
-        at = seg.place(terms)
-        if (at >= 0).all():
-            for doc in np.unique(seg.near(at, NEAR_WORDS) >> np.uint64(32)).tolist():
-                out.setdefault(doc, ([], set(), set()))[2].add(name)
+    places = seg.place(block.near_terms)
+    unused = np.arange(NEAR_TERMS)[None, :] >= block.near_width[:, None]
+    for k in np.flatnonzero(((places >= 0) | unused).all(axis=1)):
+        for doc in np.unique(seg.near(places[k, : block.near_width[k]], NEAR_WORDS) >> np.uint64(32)).tolist():
+            out.setdefault(doc, ([], set(), set()))[2].update(block.near_owners[k])
     return out
 
 
