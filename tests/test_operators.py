@@ -70,6 +70,23 @@ def test_merge_fills_blanks(spark):
     assert row["ds_number"] == "7" and row["status"] == "success" and "www.a.com" in row["duplicate_source_urls"]
 
 
+def test_merge_holds_one_row_of_a_site(spark):
+    """Sites longer than a batch and cut by its borders; no group is gathered."""
+    site = lambda k: {"domain": f"s{k}.com", "normalized_url": f"https://s{k}.com"}
+    rows = [site(i % 3) | (OK if i % 4 else BAD) | {"processed_at": f"2024-01-{i % 28 + 1:02}T00:00:00Z", "ds_number": str(i) if i == 5 else ""} for i in range(60)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        merged = merge.merge_attempts(reviews(spark, *rows))
+        got = {r.domain: r for r in merged.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "FlatMapGroups" not in merged._jdf.queryExecution().toString()
+    assert {d: r.n_attempts for d, r in got.items()} == {f"s{k}.com": 20 for k in range(3)}
+    assert got["s2.com"].ds_number == "5" and all(r.status == "success" for r in got.values())
+    last = {f"s{k}.com": max(r["processed_at"] for i, r in enumerate(rows) if i % 3 == k and i % 4) for k in range(3)}
+    assert {d: r.processed_at for d, r in got.items()} == last
+
+
 def test_first_by_key(spark):
     df = spark.createDataFrame([("a", 2), ("a", 1), ("", 3), (None, 4)], "k string, s int")
     assert {(r.k, r.s) for r in dedup.first_by_key(df, F.col("k"), F.col("s")).collect()} == {("a", 1)}

@@ -3,14 +3,14 @@
 best_attempt picks a row by a total order, in one aggregation. merge_attempts is
 the full merge: an ordered fold, in which each step may keep the older row for
 its richer contact data and fills its blanks from the loser, so later steps see
-filled rows. That is no aggregate, so it runs by site in a grouped function; a
-site's attempts are one row for each run that tried it.
+filled rows. That is no aggregate: rows are dealt by site and sorted, and a task
+reads them in batches and holds one merged row, however many attempts a site has.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -144,15 +144,27 @@ def merge_attempts(rows: DataFrame, seq_col: str = "seq") -> DataFrame:
     www = U.is_www(F.col("domain")) | U.is_www(F.col("normalized_url"))
     marked = rows.withColumns({f: has() for f, has in _FLAGS.items()} | {"_rank": rank, "_when": _when(), "_score": score, "_www": www, "attempt_key": attempt_key()})
     schema = T.StructType([T.StructField("attempt_key", T.StringType()), *rows.schema.fields, *(T.StructField(c, T.LongType() if c == "n_attempts" else T.StringType()) for c in ADDED)])
-    return marked.groupBy("attempt_key").applyInPandas(_folder(seq_col, schema.names), schema)
+    dealt = marked.repartition("attempt_key").sortWithinPartitions("attempt_key", F.col(seq_col).asc_nulls_last())
+    return dealt.mapInPandas(_folder(schema.names), schema)
 
 
-def _folder(seq_col: str, names: list[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def fold(attempts: pd.DataFrame) -> pd.DataFrame:
+def _folder(names: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Folds rows that come by site and in order."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         done: dict = {}
-        for row in attempts.sort_values(seq_col, kind="stable").to_dict("records"):
-            row |= {"latest_rerun_status": row["status"] or "", "latest_rerun_timestamp": row["processed_at"] or "", "preserved_previous_success": "", "preserved_richer_contact": "", "n_attempts": 1}
-            done = _merge(done, row) if done else row
-        return pd.DataFrame([done])[names]
+        for batch in batches:
+            whole = []
+            for row in batch.to_dict("records"):
+                row |= {"latest_rerun_status": row["status"] or "", "latest_rerun_timestamp": row["processed_at"] or "", "preserved_previous_success": "", "preserved_richer_contact": "", "n_attempts": 1}
+                if done and done["attempt_key"] == row["attempt_key"]:
+                    done = _merge(done, row)
+                else:
+                    whole += [done] if done else []
+                    done = row
+            if whole:
+                yield pd.DataFrame(whole)[names]
+        if done:
+            yield pd.DataFrame([done])[names]
 
     return fold
