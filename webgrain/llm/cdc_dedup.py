@@ -3,15 +3,18 @@
 A text is cut wherever a rolling hash of the bytes just read falls below a
 bound, so cuts move with the content: an insertion changes the chunks around it
 and no others. Chunks are compared by digest and size over all texts; each
-chunk's first occurrence (by document id, then place) is kept. Where later
-occurrences follow each other for min_run_bytes or more, that passage is
-removed; shorter ones, such as a common line, stay.
+chunk's first occurrence (by document id, then place) is kept. Chunks that
+follow each other here and at their first occurrence are a seed, however short,
+and a seed grows byte by byte, at both ends, as far as the text around it equals
+that around the first occurrence. Grown seeds that touch are one passage; one of
+min_run_bytes or more is removed, a shorter one, such as a common line, stays.
 
 On Spark: chunk rows carry numbers only. First occurrences come from a
 partial aggregation (a chunk that fills half the table sends one row for each
 task), the join back is an inner join that Spark may split for skew, and each
 document's own chunk numbers go back to it. Chunks are computed again where the
-text is, not shuffled.
+text is, not shuffled. Of the texts with first occurrences, only the bytes around
+the ends of seeds are sent.
 """
 
 from __future__ import annotations
@@ -25,12 +28,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from webgrain.llm import _text
-from webgrain.llm._spark import row_key
+from webgrain.llm._spark import cut, row_key
 
 #: Mean bytes of a chunk, and the most.
 MEAN_BYTES, MAX_BYTES = 32, 256
 #: Repeated passages of fewer bytes stay.
 MIN_RUN_BYTES = 100
+#: Bytes before and after a first occurrence that a seed is compared with. After a seed, texts that agree for
+#: MAX_BYTES share a cut; before it they may agree for longer without one.
+BEFORE_BYTES, AFTER_BYTES = 2 * MAX_BYTES, MAX_BYTES
 #: Bytes that the rolling hash sees: each shifts the 32-bit hash by two bits.
 _SEEN = 16
 
@@ -108,12 +114,59 @@ def chunk_digests(docs: DataFrame, mean: int = MEAN_BYTES, most: int = MAX_BYTES
 
 
 def repeated_chunks(chunks: DataFrame) -> DataFrame:
-    """Chunks that occurred before: (key, n, first_id), first_id being the document of the first occurrence."""
+    """Chunks that occurred before: (key, n), and the first occurrence's document and chunk (first_id, first_key, first_n)."""
     first = F.min(F.struct("id", "key", "n")).alias("first")
     known = chunks.groupBy("digest").agg(first, F.count("*").alias("times")).filter("times > 1").select("digest", "first")
     later = (F.col("c.key") != F.col("k.first.key")) | (F.col("c.n") != F.col("k.first.n"))
     both = chunks.select("digest", "key", "n").alias("c").join(known.alias("k"), (F.col("c.digest") == F.col("k.digest")) & later)
-    return both.select("c.key", "c.n", F.col("k.first.id").alias("first_id"))
+    return both.select("c.key", "c.n", *(F.col(f"k.first.{x}").alias(f"first_{x}") for x in ("id", "key", "n")))
+
+
+def _seeds(dups: list[dict]) -> list[list[dict]]:
+    """First and last chunk of each seed, in order."""
+    out: list[list[dict]] = []
+    for n, d in sorted({d["n"]: d for d in dups}.items()):
+        last = out[-1][1] if out else None
+        if last and (n, d["first_key"], d["first_n"]) == (last["n"] + 1, last["first_key"], last["first_n"] + 1):
+            out[-1][1] = d
+        else:
+            out.append([d, d])
+    return out
+
+
+def _around(found: DataFrame, slim: DataFrame, mean: int, most: int) -> DataFrame:
+    """(key, around): for the ends of each seed (n, after) the bytes at its first occurrence, before or after it."""
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for key, dups in zip(batch.column("key").to_pylist(), batch.column("dups"), strict=True):
+                for first, last in _seeds(dups.as_py()):
+                    out += [(key, d["n"], after, d["first_key"], d["first_n"]) for d, after in ((first, False), (last, True))]
+            types = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32())
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, types, strict=True)], ["key", "n", "after", "first_key", "first_n"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _text.slices(batches, "text"):
+            data, first, stop, doc = chunk_ends(part.column("text"), mean, most)
+            _, at = _text.text_bytes(part.column("text"))
+            begin, out = np.searchsorted(doc, np.arange(part.num_rows + 1)), []
+            for row, (key, asks) in enumerate(zip(part.column("key").to_pylist(), part.column("asks").to_pylist(), strict=True)):
+                for a in asks:
+                    c = begin[row] + a["first_n"]
+                    lo, hi = (stop[c], min(stop[c] + AFTER_BYTES, at[row + 1])) if a["after"] else (max(first[c] - BEFORE_BYTES, at[row]), first[c])
+                    out.append((key, a["first_n"], a["after"], data[lo:hi].tobytes()))
+            types = (pa.int64(), pa.int32(), pa.bool_(), pa.binary())
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, types, strict=True)], ["first_key", "first_n", "after", "bytes"])
+
+    asked = found.mapInArrow(ends, "key long, n int, after boolean, first_key long, first_n int")
+    place = ["first_key", "first_n", "after"]
+    asks = asked.select(*place).distinct().groupBy(F.col("first_key").alias("key")).agg(F.collect_list(F.struct("first_n", "after")).alias("asks"))
+    texts = slim.select("key", "text").join(asks, "key")
+    answers = texts.select("key", "text", "asks").mapInArrow(read, "first_key long, first_n int, after boolean, bytes binary").dropDuplicates(place)
+    return asked.join(answers, place).groupBy("key").agg(F.collect_list(F.struct("n", "after", "bytes")).alias("around"))
 
 
 def dedup_substrings(
@@ -139,8 +192,9 @@ def dedup_substrings(
     text = F.col(text_col).cast("string")
     keyed = docs.select(F.struct(*keep).alias("row"), text.alias("text"), row_key(id_col, text_col).alias("key"))
     slim = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"), text.alias("text"))
-    found = repeated_chunks(chunk_digests(slim, mean, most)).groupBy("key").agg(F.collect_list(F.struct("n", "first_id")).alias("dups"))
-    rows = keyed.join(found, "key", "left")
+    found = repeated_chunks(chunk_digests(slim, mean, most)).groupBy("key")
+    found = cut(found.agg(F.collect_list(F.struct("n", "first_id", "first_key", "first_n")).alias("dups")))
+    rows = keyed.join(found.join(_around(found, slim, mean, most), "key", "left"), "key", "left")
     id_type = docs.schema[id_col].dataType
     ids = T.ArrayType(id_type)
     spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -152,13 +206,15 @@ def dedup_substrings(
             data, first, ends, doc = chunk_ends(texts, mean, most)
             _, at = _text.text_bytes(texts)
             begin = np.searchsorted(doc, np.arange(part.num_rows + 1))
-            dups = part.column("dups").to_pylist()
+            dups, around = part.column("dups").to_pylist(), part.column("around").to_pylist()
             out: dict[str, list] = {n: [] for n in ("text", *new)}
             for row in range(part.num_rows):
                 marked = {d["n"]: d["first_id"] for d in dups[row] or ()}
                 lo, hi = begin[row], begin[row + 1]
-                gone, held = _runs(first[lo:hi] - at[row], ends[lo:hi] - at[row], marked, min_run_bytes)
-                value = texts[row].as_py() if not gone else _without(data[at[row] : at[row + 1]].tobytes(), gone)
+                own = data[at[row] : at[row + 1]].tobytes()
+                near = {(a["n"], a["after"]): a["bytes"] for a in around[row] or ()}
+                gone, held = _passages(own, first[lo:hi] - at[row], ends[lo:hi] - at[row], _seeds(dups[row] or []), marked, near, min_run_bytes)
+                value = texts[row].as_py() if not gone else _without(own, gone)
                 for n, v in zip(out, (value, int(hi - lo), len(marked), sum(e - s for s, e in gone), [{"start": s, "end": e} for s, e in gone], held), strict=True):
                     out[n].append(v)
             yield pa.RecordBatch.from_arrays(
@@ -166,7 +222,7 @@ def dedup_substrings(
                 ["row", "text", *new],
             )
 
-    done = rows.select("row", "text", "dups").mapInArrow(run, schema)
+    done = rows.select("row", "text", "dups", "around").mapInArrow(run, schema)
     return done.select(*(F.col("text").alias(text_col) if c == text_col else F.col(f"row.{c}").alias(c) for c in docs.columns if c not in new), *new)
 
 
@@ -177,17 +233,38 @@ def _first_id_type(part: pa.RecordBatch) -> pa.DataType:
     return part.schema.field("dups").type.value_type.field("first_id").type
 
 
-def _runs(first: np.ndarray, ends: np.ndarray, marked: dict, least: int) -> tuple[list[tuple[int, int]], list]:
-    """Spans of marked chunks on end of at least so many bytes, and the ids that hold them."""
-    gone, held, run = [], set(), []
-    for n in [*sorted(marked), -1]:
-        if run and n != run[-1] + 1:
-            start, end = int(first[run[0]]), int(ends[run[-1]])
-            if end - start >= least:
-                gone.append((start, end))
-                held.update(marked[k] for k in run)
-            run = []
-        run.append(n)
+def _equal(a: bytes, b: bytes) -> int:
+    """How many first bytes agree."""
+    n = min(len(a), len(b))
+    other = np.flatnonzero(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)) if n else np.zeros(0)
+    return int(other[0]) if other.size else n
+
+
+def _passages(
+    data: bytes, first: np.ndarray, ends: np.ndarray, seeds: list[list[dict]], marked: dict, near: dict, least: int
+) -> tuple[list[tuple[int, int]], list]:
+    """Spans of grown seeds that touch, of at least so many bytes, and the ids that hold them; no character is split."""
+    spans: list[tuple[int, int, set]] = []
+    for head, tail in seeds:
+        start, end = int(first[head["n"]]), int(ends[tail["n"]])
+        before, after = near.get((head["n"], False), b""), near.get((tail["n"], True), b"")
+        start -= _equal(data[max(0, start - len(before)) : start][::-1], before[::-1])
+        end += _equal(data[end : end + len(after)], after)
+        while data[start] & 0xC0 == 0x80:
+            start += 1
+        while end < len(data) and data[end] & 0xC0 == 0x80:
+            end -= 1
+        ids = {marked[n] for n in range(head["n"], tail["n"] + 1)}
+        spans.append((start, end, ids))
+    gone, held, run = [], set(), None
+    for start, end, ids in [*sorted(spans, key=lambda x: x[:2]), (len(data) + 1, 0, set())]:
+        if run and start <= run[1]:
+            run = (run[0], max(run[1], end), run[2] | ids)
+            continue
+        if run and run[1] - run[0] >= least:
+            gone.append(run[:2])
+            held |= run[2]
+        run = (start, end, ids)
     return gone, sorted(held, key=lambda v: (v is not None, v))
 
 
