@@ -109,6 +109,15 @@ def test_quality_model_tells_good_from_bad(spark):
     assert all(r.kept == bool(r.doc_id % 2) for r in got)
 
 
+def test_quality_fit_takes_a_repeated_id_once(spark):
+    rng = random.Random(7)
+    rows = [(k, prose(rng, 40, 30) if k % 2 else " ".join(f"z{rng.randrange(30)}!" for _ in range(40))) for k in range(10)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(10)], "doc_id long, quality int")
+    docs, hot = (spark.createDataFrame(r, "doc_id long, text string") for r in (rows, [rows[1]] * 300 + rows))
+    want, got = ({r.doc_id: r.quality for r in quality_lr.score(docs, quality_lr.train(d, labels, per_class=5)).collect()} for d in (docs, hot))
+    assert got == want and want[1] != want[0]
+
+
 def test_hash_tree_moves_rows_only_into_the_new_shard(spark):
     rows = [(k, f"text {k}") for k in range(4000)] + [(None, "a"), (None, "b"), (7, "text 7"), (8000, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("slot", F.lit("x"))

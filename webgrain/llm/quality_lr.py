@@ -138,7 +138,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col
     """A model from the documents that have a label in labels (id_col, quality 0 or 1).
 
     Labels with a null id or quality are left out. Of each class at most
-    per_class labels are used, those with the least hash of their id.
+    per_class labels are used, those with the least hash of their id. A label
+    whose id has several rows is fitted on one, that with the least hash of its text.
     """
     good = (F.col("quality") > 0).cast("int").alias("quality")
     named = labels.filter(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).select(F.col(id_col).alias("_id"), good).distinct()
@@ -150,6 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col
     if chosen is None:
         return fit(np.zeros((0, DIMS), np.float32), np.zeros(0), 0.5)
     sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "_id")
+    sample = sample.groupBy("_id", "quality").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _text.slices(batches, "text", rows=256):
@@ -167,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col
             )
 
     id_type = chosen.schema["_id"].dataType.simpleString()
-    rows = sample.mapInArrow(sparse, f"_id {id_type}, quality int, at binary, value binary").limit(4 * per_class).collect()
+    rows = sample.mapInArrow(sparse, f"_id {id_type}, quality int, at binary, value binary").collect()
     rows.sort(key=lambda r: (str(r["_id"]), r["at"]))
     x = np.zeros((len(rows), DIMS), dtype=np.float32)
     for row, r in zip(x, rows, strict=True):
