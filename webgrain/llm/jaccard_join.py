@@ -6,17 +6,23 @@ reaches a threshold; the result is the connected components of these links.
 1. Texts with the same set become one node.
 2. A fixed order puts frequent n-grams last. Of nodes that link, the first
    n - ceil(t * n) + 1 n-grams of each share one (the prefix filter). The order
-   need not be exact for that, so frequencies are estimated while tasks count.
+   need not be exact for that: n-grams of rare words come first, then those of
+   frequent words, and last the most frequent n-grams themselves.
 3. Nodes with the same prefix and size collapse into one group.
 4. Group pairs that share a prefix n-gram are filtered by size and position,
    expanded to their members, and each member pair is verified on whole sets.
 
 Many near copies would give all pairs of a large group. So verification goes in
-two rounds. First, in each n-gram's list, everything is verified against one
-representative for each range of sizes: a number of pairs linear in the list.
-Then only pairs across the components found so far are left; lists inside one
-component are done. No candidate is dropped: every linking pair is either
-verified or already connected.
+rounds. First, each node is verified against one: the least node that stands in
+a list with it. Then each component that a list still holds against the list's
+least node. Then only pairs across the components found so far are left; lists
+inside one component are done.
+
+A list that many components share (a passage that thousands of texts quote)
+would still give all pairs of them. There, the hash range is cut into more parts
+than two linking sets of that size have differences, so they agree on a part as
+a whole: only nodes that agree on one are paired. No candidate is dropped: every
+linking pair is either verified or already connected.
 
 N-grams are 64-bit hashes. Sets stay where the text is; only nodes that occur in
 a pair send theirs.
@@ -25,18 +31,21 @@ a pair send theirs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webgrain.llm import _text
-from webgrain.llm._spark import cut, few, row_key, without_keys
+from webgrain.llm._spark import cut, drop, few, row_key
 from webgrain.llm.components import components
 
-#: The n-grams that the order puts last, at most: 16 bytes each are broadcast.
+#: The n-grams that the order puts last, and the words whose frequency it knows, at most: 16 bytes each are broadcast.
 FREQUENT = 1 << 18
+#: Lists whose pairs outnumber so many times the rows of their parts are paired by parts.
+BY_PARTS = 4
 #: Counters of a set's n-grams by hash, which bound the overlap of two sets from above.
 COUNTERS = 128
 #: A task sums this many n-grams before it says which of them occur in MIN_SEEN texts or more.
@@ -71,46 +80,81 @@ def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
     return n - (percent * n + 99) // 100 + 1
 
 
-def frequent_ngrams(docs: DataFrame, width: int, most: int = FREQUENT, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, sorted, of n-grams that many texts hold, and the rank of each, the most frequent last."""
+class Order(NamedTuple):
+    """Hashes, sorted, of frequent n-grams and words, and the rank of each; others have rank 0."""
+
+    grams: np.ndarray
+    gram_ranks: np.ndarray
+    words: np.ndarray
+    word_ranks: np.ndarray
+
+    def ranks(self, found: _text.Words, grams: np.ndarray, width: int) -> np.ndarray:
+        """The rank of each of the n-grams, given the words of the texts that hold them."""
+        hashed, first = _text.windows(found.hash, found.doc, width)
+        own = _look_up(self.words, self.word_ranks, found.hash)
+        sums = np.zeros(first.size, dtype=np.int64)
+        for k in range(width):
+            sums += own[first + k]
+        distinct, at = np.unique(hashed, return_index=True)
+        rank = _look_up(distinct, sums[at], grams)
+        top = _look_up(self.grams, self.gram_ranks, grams)
+        return np.where(top > 0, top + (64 * width << 2), rank)
+
+
+def _look_up(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    if not keys.size:
+        return np.zeros(asked.size, dtype=np.int64)
+    at = np.minimum(np.searchsorted(keys, asked), keys.size - 1)
+    return np.where(keys[at] == asked, values[at], 0)
+
+
+def global_order(docs: DataFrame, width: int, most: int = FREQUENT, text_col: str = "text") -> Order:
+    """The order of n-grams, from estimates of how often n-grams and words occur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] = []
+        kept: tuple[list, list] = ([], [])
         size = 0
 
-        def seen() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(kept), return_counts=True)
-            return pa.RecordBatch.from_arrays([_text.signed(keys[n >= MIN_SEEN]), pa.array(n[n >= MIN_SEEN])], ["k", "n"])
+        def seen() -> Iterator[pa.RecordBatch]:
+            for of_words, parts in enumerate(kept):
+                keys, n = np.unique(np.concatenate(parts), return_counts=True)
+                often = n >= MIN_SEEN
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(often.sum(), of_words, dtype=bool)), _text.signed(keys[often]), pa.array(n[often])], ["word", "k", "n"])
+                parts.clear()
 
         for part in _text.slices(batches, text_col):
-            kept.append(shingle_sets(part.column(text_col), width)[0])
-            size += kept[-1].size
+            kept[0].append(shingle_sets(part.column(text_col), width)[0])
+            kept[1].append(_text.words(part.column(text_col), _text.NOT_SPACE, lower=True).hash)
+            size += kept[1][-1].size
             if size >= GATHER:
-                yield seen()
-                kept, size = [], 0
-        if kept:
-            yield seen()
+                yield from seen()
+                size = 0
+        if kept[0]:
+            yield from seen()
 
     texts = docs.select(F.col(text_col).cast("string").alias(text_col))
-    sums = texts.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-    top = sums.orderBy(F.desc("n"), "k").limit(most).toArrow()
-    keys = top["k"].to_numpy().view(_U)
-    rank = np.arange(len(keys), 0, -1, dtype=np.int64)
-    order = np.argsort(keys)
-    return keys[order], rank[order]
-
-
-def _documents(docs: DataFrame, width: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    sums = cut(texts.mapInArrow(run, "word boolean, k long, n long").groupBy("word", "k").agg(F.sum("n").alias("n")))
+    out = []
+    for of_words in (False, True):
+        top = sums.filter(F.col("word") == of_words).orderBy(F.desc("n"), "k").limit(most).toArrow()
+        keys, n = top["k"].to_numpy().view(_U), top["n"].to_numpy()
+        by_key = np.argsort(keys)
+        rank = 1 + np.floor(4 * np.log2(n)).astype(np.int64) if of_words else np.arange(len(keys), 0, -1, dtype=np.int64)
+        out += [keys[by_key], rank[by_key]]
+    drop(sums)
+    return Order(*out)
+
+
+def _documents(docs: DataFrame, width: int, percent: int, order_of: Order) -> DataFrame:
     """(id, key, node, n, prefix, counters) of each row of (id, key, text).
 
     node is a hash of the set, null if it is empty; counters say how many of its
     n-grams fall to each of COUNTERS parts of the hash range.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(frequent)
+    sent = docs.sparkSession.sparkContext.broadcast(order_of)
     id_type = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ranks = sent.value
         for part in _text.slices(batches, "text"):
             rows = part.num_rows
             hashed, doc = shingle_sets(part.column("text"), width)
@@ -118,8 +162,7 @@ def _documents(docs: DataFrame, width: int, percent: int, frequent: tuple[np.nda
             node = np.zeros(rows, dtype=_U)
             np.add.at(node, doc, _text.mix(hashed ^ _U(0x5851F42D4C957F2D)))
             node = _text.mix(node + n.astype(_U))
-            at = np.minimum(np.searchsorted(keys, hashed), max(keys.size - 1, 0))
-            rank = np.where(keys[at] == hashed, ranks[at], 0) if keys.size else np.zeros(hashed.size, dtype=np.int64)
+            rank = sent.value.ranks(_text.words(part.column("text"), _text.NOT_SPACE, lower=True), hashed, width)
             order = np.lexsort((hashed, rank, doc))
             place = np.arange(hashed.size) - np.repeat(np.cumsum(n) - n, n)
             size = np.where(100 * n >= percent * (n + 1), prefix_size(n, percent), 0)
@@ -155,12 +198,6 @@ def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     return found.mapInArrow(run, "node long, grams array<long>").dropDuplicates(["node"])
 
 
-def _fits(a: Column, b: Column, percent: int) -> Column:
-    """Size and position filter of two list entries (n, place of the n-gram in the prefix)."""
-    left = F.least(a["n"] - a["place"], b["n"] - b["place"])
-    return (100 * F.least(a["n"], b["n"]) >= percent * F.greatest(a["n"], b["n"])) & ((100 + percent) * left >= percent * (a["n"] + b["n"]))
-
-
 def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
     """Those pairs (a, b) of nodes that reach the threshold.
 
@@ -168,93 +205,179 @@ def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, per
     whole sets.
     """
     side = lambda s, c: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("counters").alias(c))
-    near = pairs.distinct().join(side("a", "x"), "a").join(side("b", "y"), "b")
+    near = cut(pairs.distinct()).join(side("a", "x"), "a").join(side("b", "y"), "b")
     most = F.aggregate(F.zip_with("x", "y", lambda p, q: F.least(p, q)), F.lit(0), lambda n, c: n + c)
     pairs = cut(near.filter((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b"))
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
     sets = cut(_sets(docs, nodes.select("node", "key").join(wanted, "node"), width))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b"
     )
     shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("both"), (F.size("x") + F.size("y")).alias("sum"))
-    return cut(shared.filter(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select("a", "b"))
+    links = cut(shared.filter(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select("a", "b"))
+    drop(pairs, wanted, sets)
+    return links
 
 
-def near_duplicates(
-    docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """(id_col, n_shingles, component_id, row_key, representative), a row for each row of docs.
+def part_number(band: int, percent: int) -> int:
+    """More parts than a set of this size band and a larger one that links with it have differences."""
+    t = percent / 100
+    return int(np.ceil(np.exp((band + 1) * _band_width(percent)) * (1 - t) / t)) + 2
 
-    component_id is the least id that a row reaches by links, its own included;
-    representative is true for the row of that id (of rows that agree in id and
-    text, for all), and row_key is the hash of id and text by which rows join.
-    A null or empty text, or one without words, has no n-grams and links with
-    nothing. Rows with equal texts link, repeated rows too. A null id is never the
-    least, unless all ids of the component are null. No rows give no rows.
+
+def _band_width(percent: int) -> float:
+    """A little wider than log(1 / t): sizes of two linking sets lie in the same band or in neighbours."""
+    return max(-float(np.log(percent / 100)), 1e-6) * 1.000001
+
+
+def _parts(docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
+    """(node, band, part, sign): a hash of what each set has in each part, for the nodes (node, key, band) and their band's number of parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _text.slices(batches, "text"):
+            hashed, doc = shingle_sets(part.column("text"), width)
+            number = np.array([part_number(b, percent) for b in part.column("band").to_pylist()], dtype=np.int64)
+            first = np.cumsum(number) - number
+            at = first[doc] + ((hashed >> _U(32)) * number[doc].astype(_U) >> _U(32)).astype(np.int64)
+            sign = np.zeros(int(number.sum()), dtype=_U)
+            np.add.at(sign, at, _text.mix(hashed ^ _U(0x2545F4914F6CDD1D)))
+            owner = pa.array(np.repeat(np.arange(part.num_rows), number))
+            place = np.arange(sign.size) - np.repeat(first, number)
+            yield pa.RecordBatch.from_arrays([part.column("node").take(owner), part.column("band").take(owner), pa.array(place.astype(np.int32)), _text.signed(sign)], ["node", "band", "part", "sign"])
+
+    found = docs.select("key", "text").join(few(nodes), "key").select("node", "band", "text")
+    return found.mapInArrow(run, "node long, band int, part int, sign long")
+
+
+def _across(entries: DataFrame, placed: DataFrame, own: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b): candidate pairs of nodes across components, from list entries (gram, band, grp, comp, n, place).
+
+    a is the smaller set, or the lesser node of equal ones; b stands in the same band or the next.
     """
+    split = cut(entries.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("gram"))
+    entries = cut(entries.join(split, "gram"))
+    x = entries.withColumn("cell", F.col("band"))
+    y = entries.withColumn("cell", F.explode(F.array(F.col("band"), F.col("band") - 1)))
+    cells = x.groupBy("gram", "cell").agg(F.count("*").alias("nx")).join(y.groupBy("gram", "cell").agg(F.count("*").alias("ny")), ["gram", "cell"])
+    parts = F.ceil(F.exp((F.col("cell") + 1) * _band_width(percent)) * (1 - percent / 100) / (percent / 100)) + 2
+    cells = cut(cells.select("gram", "cell", (F.col("nx").cast("double") * F.col("ny") > BY_PARTS * (F.col("nx") + F.col("ny")) * parts).alias("long_list")))
+
+    # Short lists: all pairs that size and position let pass.
+    short, long = cells.filter("NOT long_list").select("gram", "cell"), cells.filter("long_list").select("gram", "cell")
+    p, q = x.join(short, ["gram", "cell"]).alias("p"), y.join(short, ["gram", "cell"]).alias("q")
+    left = F.least(F.col("p.n") - F.col("p.place"), F.col("q.n") - F.col("q.place"))
+    ordered = (F.col("p.n") < F.col("q.n")) | ((F.col("p.n") == F.col("q.n")) & (F.col("p.comp") < F.col("q.comp")))
+    fits = (100 * F.col("p.n") >= percent * F.col("q.n")) & ((100 + percent) * left >= percent * (F.col("p.n") + F.col("q.n")))
+    same = (F.col("p.gram") == F.col("q.gram")) & (F.col("p.cell") == F.col("q.cell")) & (F.col("p.comp") != F.col("q.comp"))
+    groups = p.join(q, same & ordered & fits).select(*(F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "pq" for c in ("grp", "comp"))).distinct()
+    # Members of one group that the earlier rounds left in several components.
+    halves = placed.select("grp", "comp").distinct()
+    mixed = halves.groupBy("grp").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("grp")
+    halves = cut(halves.join(mixed, "grp"))
+    within = halves.alias("p").join(halves.alias("q"), (F.col("p.grp") == F.col("q.grp")) & (F.col("p.comp") < F.col("q.comp")))
+    within = within.select(*(F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "pq" for c in ("grp", "comp")))
+    groups = cut(groups.unionByName(within))
+    side = lambda s, name: placed.select(F.col("grp").alias(f"grp_{s}"), F.col("comp").alias(f"comp_{s}"), F.col("node").alias(name))
+    pairs = groups.join(side("p", "a"), ["grp_p", "comp_p"]).join(side("q", "b"), ["grp_q", "comp_q"]).select("a", "b")
+
+    # Long lists: pairs that agree on a whole part.
+    def asked(entry: DataFrame) -> DataFrame:
+        found = entry.join(long, ["gram", "cell"]).select("grp", "comp", F.col("cell").alias("band")).distinct()
+        return cut(found.join(placed, ["grp", "comp"]).select("node", "comp", "n", "band").distinct())
+
+    if long.limit(1).count():
+        sides = [asked(x), asked(y)]
+        wanted = sides[0].select("node", "band").union(sides[1].select("node", "band")).distinct()
+        signs = cut(_parts(own, nodes.select("node", "key").join(wanted, "node"), width, percent))
+        p, q = (part.join(signs, ["node", "band"]).alias(s) for part, s in zip(sides, "pq", strict=True))
+        same = F.lit(True)
+        for c in ("band", "part", "sign"):
+            same = same & (F.col(f"p.{c}") == F.col(f"q.{c}"))
+        ordered = (F.col("p.n") < F.col("q.n")) | ((F.col("p.n") == F.col("q.n")) & (F.col("p.node") < F.col("q.node")))
+        fits = (F.col("p.comp") != F.col("q.comp")) & (100 * F.col("p.n") >= percent * F.col("q.n"))
+        pairs = pairs.unionByName(p.join(q, same & ordered & fits).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _labelled(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, key, n, comp, first) of each row: comp is null where the set is empty, else its component; first is the component's least id."""
     if not 0 < percent <= 100:
         raise ValueError("percent must be above 0 and at most 100")
     own = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
-    rows = cut(_documents(own, width, percent, frequent_ngrams(docs, width, text_col=text_col)))
-    rows = rows.withColumn("grp", F.xxhash64("n", "prefix"))
-    nodes = cut(rows.filter("size(prefix) > 0").select("node", "key", "n", "grp", "counters").dropDuplicates(["node"]))
-
-    each = rows.select("grp", "n", "node", F.posexplode("prefix").alias("place", "gram"))
-    shared = each.groupBy("gram").agg(F.count("*").alias("in")).filter(F.col("in") > 1).select("gram")
-    lists = each.join(few(cut(shared)), "gram").groupBy("gram", "grp").agg(F.min("node").alias("rep"), F.min("n").alias("n"), F.min("place").cast("long").alias("place"))
-    lists = cut(lists)
-
-    # Round 1: each list entry with the representative of its range of sizes; each member with its group's.
-    band = F.floor(F.log("n") / float(-np.log(percent / 100))) if percent < 100 else F.col("n")
-    banded = lists.withColumn("band", band)
-    heads = banded.groupBy("gram", "band").agg(F.min(F.struct("rep", "n", "place")).alias("h"))
-    star = banded.join(heads, ["gram", "band"]).filter(F.col("rep") != F.col("h.rep"))
-    star = star.filter(_fits(F.struct("n", "place"), F.col("h"), percent)).select(F.col("h.rep").alias("a"), F.col("rep").alias("b"))
-    group_rep = nodes.groupBy("grp").agg(F.min("node").alias("rep"), F.count("*").alias("members")).filter("members > 1").select("grp", "rep")
-    inside = nodes.join(group_rep, "grp").filter(F.col("node") != F.col("rep")).select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    rows = cut(_documents(own, width, percent, global_order(docs, width, text_col=text_col)).withColumn("grp", F.xxhash64("n", "prefix")))
+    with_prefix = rows.filter("size(prefix) > 0")
+    one = with_prefix.select("node", "key", "n", "grp", "counters").dropDuplicates(["node"])
+    nodes = cut(one.withColumn("band", F.floor(F.log("n") / _band_width(percent)).cast("int")))
+
+    each = with_prefix.select("grp", "n", "node", F.posexplode("prefix").alias("place", "gram"))
+    lists = each.groupBy("gram", "grp").agg(F.min("node").alias("rep"), F.min("n").alias("n"), F.min("place").cast("long").alias("place"))
+    shared = lists.groupBy("gram").agg(F.count("*").alias("in")).filter(F.col("in") > 1).select("gram")
+    lists = cut(lists.join(shared, "gram").withColumn("band", F.floor(F.log("n") / _band_width(percent)).cast("int")))
+
+    # Each group with the least node of its lists; each member with its group's.
+    heads = cut(lists.groupBy("gram", "band").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).filter("head < last").select("gram", "band", "head"))
+    star = lists.join(heads, ["gram", "band"]).groupBy("rep").agg(F.min("head").alias("head")).filter("head < rep").select(F.col("head").alias("a"), F.col("rep").alias("b"))
+    group_rep = cut(nodes.groupBy("grp").agg(F.min("node").alias("rep"), F.count("*").alias("members")).filter("members > 1").select("grp", "rep"))
+    inside = nodes.select("grp", "node").join(group_rep, "grp").filter(F.col("node") != F.col("rep")).select(F.col("rep").alias("a"), F.col("node").alias("b"))
     links = _linked(star.unionByName(inside), own, nodes, width, percent)
     known = cut(components(links))
 
-    # Round 2: group pairs across components, expanded to members.
-    placed = nodes.select("node", "grp").join(known, "node", "left").select("grp", "node", F.coalesce("label", "node").alias("comp"))
-    cells = placed.select("grp", "comp").distinct()
-    entries = cut(lists.select("gram", "grp", "n", "place").join(cells, "grp"))
-    in_list = entries.select("gram", "comp").distinct()
-    split = in_list.groupBy("gram").agg(F.count("*").alias("comps")).filter("comps > 1").select("gram")
-    in_list = cut(in_list.join(split, "gram"))
-    crossing = in_list.alias("p").join(in_list.alias("q"), (F.col("p.gram") == F.col("q.gram")) & (F.col("p.comp") < F.col("q.comp")))
-    crossing = crossing.select("p.gram", F.col("p.comp").alias("comp_a"), F.col("q.comp").alias("comp_b"))
-    a = entries.select("gram", F.col("comp").alias("comp_a"), F.struct("grp", "n", "place").alias("x"))
-    b = entries.select("gram", F.col("comp").alias("comp_b"), F.struct("grp", "n", "place").alias("y"))
-    across = crossing.join(a, ["gram", "comp_a"]).join(b, ["gram", "comp_b"]).filter(_fits(F.col("x"), F.col("y"), percent))
-    mixed = cells.groupBy("grp").agg(F.count("*").alias("comps")).filter("comps > 1").select("grp")
-    halves = cells.join(mixed, "grp")
-    within = halves.alias("p").join(halves.alias("q"), (F.col("p.grp") == F.col("q.grp")) & (F.col("p.comp") < F.col("q.comp")))
-    pairs = across.select(F.col("x.grp").alias("grp_a"), "comp_a", F.col("y.grp").alias("grp_b"), "comp_b").unionByName(
-        within.select(F.col("p.grp").alias("grp_a"), F.col("p.comp").alias("comp_a"), F.col("q.grp").alias("grp_b"), F.col("q.comp").alias("comp_b"))
-    )
-    members = lambda s: placed.select(F.col("grp").alias(f"grp_{s}"), F.col("comp").alias(f"comp_{s}"), F.col("node").alias(s))
-    pairs = pairs.distinct().join(members("a"), ["grp_a", "comp_a"]).join(members("b"), ["grp_b", "comp_b"])
-    more = _linked(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), own, nodes, width, percent)
-
-    labels = components(known.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
-    named = rows.select("id", "key", "n", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    whole = F.struct(F.col("id").isNull().alias("no_id"), "id", "key")
-    least = named.filter("label IS NOT NULL").groupBy("label").agg(F.min(whole).alias("first"))
-    return named.join(least, "label", "left").select(
-        F.col("id").alias(id_col),
-        F.col("n").alias("n_shingles"),
-        F.coalesce("first.id", "id").alias("component_id"),
-        F.col("key").alias("row_key"),
-        (F.col("first.key").isNull() | (F.col("first.key") == F.col("key"))).alias("representative"),
-    )
+    # Each component of a list with the list's least node.
+    def entries_of(known: DataFrame) -> tuple[DataFrame, DataFrame]:
+        placed = cut(nodes.select("grp", "node", "n").join(known, "node", "left").select("grp", "node", "n", F.coalesce("label", "node").alias("comp")))
+        cells = cut(placed.groupBy("grp", "comp").agg(F.min("node").alias("rep")))
+        return cut(lists.drop("rep").join(cells, "grp")), placed
+
+    entries, placed = entries_of(known)
+    heads = entries.groupBy("gram", "band").agg(F.min("comp").alias("head"), F.max("comp").alias("last")).filter("head < last").select("gram", "band", "head")
+    more = entries.join(cut(heads), ["gram", "band"]).filter(F.col("comp") != F.col("head"))
+    star = more.groupBy("comp", "head").agg(F.min("rep").alias("rep")).select(F.col("head").alias("a"), F.col("rep").alias("b"))
+    links = links.unionByName(_linked(star, own, nodes, width, percent))
+    drop(entries, placed, known)
+    known = cut(components(links))
+
+    # What is left across components.
+    entries, placed = entries_of(known)
+    links = _linked(_across(entries, placed, own, nodes, width, percent), own, nodes, width, percent)
+    labels = cut(components(known.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(links)))
+    drop(entries, placed, known, lists)
+
+    # The least id of each node, then of each component; both are cut, so hot ones are dealt out anew.
+    least = cut(rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("first")))
+    named = cut(least.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("comp"), "first"))
+    least = cut(named.groupBy("comp").agg(F.min("first").alias("first")))
+    named = cut(named.select("node", "comp").join(least, "comp"))
+    return rows.select("id", "key", "n", "node").join(named, "node", "left").select("id", "key", "n", "comp", "first")
+
+
+def near_duplicates(
+    docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(id_col, n_shingles, component_id), a row for each row of docs.
+
+    component_id is the least id that a row reaches by links, its own included. A
+    null or empty text, or one without words, has no n-grams and links with
+    nothing. Rows with equal texts link, repeated rows too. A null id is never the
+    least, unless all ids of the component are null. Ids that tie are one id. No
+    rows give no rows.
+    """
+    found = _labelled(docs, width, percent, id_col, text_col)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("first", "id").alias("component_id"))
 
 
 def keep_representatives(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, one of each component: that with the least id; of repeated rows one stays."""
-    found = cut(near_duplicates(docs, width, percent, id_col, text_col).select("row_key", "representative"))
-    repeated = found.groupBy("row_key").agg(F.count("*").alias("n")).filter("n > 1").select("row_key")
-    rest = without_keys(docs, found.filter("NOT representative").select("row_key").distinct(), id_col, text_col)
-    keyed = rest.withColumn("_key", row_key(id_col, text_col))
-    several = keyed.join(repeated.withColumnRenamed("row_key", "_key"), "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
-    return without_keys(rest, repeated, id_col, text_col).unionByName(several)
+    """The rows of docs, one of each component: that with the least id; of repeated rows one stays.
+
+    Of rows that tie, with different texts and the same least id, that with the
+    least hash stays. Rows without n-grams are no copies, and repeated ones of
+    them are one row too.
+    """
+    found = cut(_labelled(docs, width, percent, id_col, text_col))
+    first = found.filter("comp IS NOT NULL AND id <=> first").groupBy("comp").agg(F.min("key").alias("key"))
+    stay = cut(first.select("key").union(found.filter("comp IS NULL").select("key")).groupBy("key").agg(F.count("*").alias("n")))
+    several = cut(found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")).join(stay.select("key"), "key")
+    keyed = docs.withColumn("_key", row_key(id_col, text_col))
+    of = lambda keys: few(keys.select(F.col("key").alias("_key")))
+    rest = keyed.join(of(stay.join(several, "key", "left_anti")), "_key", "left_semi")
+    once = keyed.join(of(several), "_key", "left_semi").dropDuplicates(["_key"])
+    return rest.unionByName(once).select(*docs.columns)
