@@ -13,12 +13,18 @@ On Spark: chunk rows carry numbers only. First occurrences come from a
 partial aggregation (a chunk that fills half the table sends one row for each
 task), the join back is an inner join that Spark may split for skew, and each
 document's own chunk numbers go back to it. Chunks are computed again where the
-text is, not shuffled. Of the texts with first occurrences, only the bytes around
-the ends of seeds are sent.
+text is. Only a seed that could be part of a long enough passage asks for the
+bytes around its first occurrence, and only for as many as can be equal: after a
+seed, texts that agree to the end of the next chunk would share that chunk too,
+and before it those that agree for the chunk before and what the hash sees. The
+answer also has a 128-bit digest of the seed's bytes, so nothing is removed for
+an equal 64-bit number alone. Texts are shuffled by key twice, to meet the asks
+and to meet the answers; each step is cut, which frees the shuffle before it.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,15 +34,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from webgrain.llm import _text
-from webgrain.llm._spark import cut, row_key
+from webgrain.llm._spark import cut, drop, row_key
 
 #: Mean bytes of a chunk, and the most.
 MEAN_BYTES, MAX_BYTES = 32, 256
 #: Repeated passages of fewer bytes stay.
 MIN_RUN_BYTES = 100
-#: Bytes before and after a first occurrence that a seed is compared with. After a seed, texts that agree for
-#: MAX_BYTES share a cut; before it they may agree for longer without one.
-BEFORE_BYTES, AFTER_BYTES = 2 * MAX_BYTES, MAX_BYTES
+#: A seed grows over other repeated chunks beside it if they have at most so many bytes.
+GROW_BYTES = 96
 #: Bytes that the rolling hash sees: each shifts the 32-bit hash by two bits.
 _SEEN = 16
 
@@ -91,82 +96,176 @@ def _numbers(doc: np.ndarray) -> np.ndarray:
     return np.arange(doc.size) - np.repeat(begins, np.diff(np.append(begins, doc.size)))
 
 
+def _last_cut(size: np.ndarray, first: np.ndarray, doc: np.ndarray, most: int) -> np.ndarray:
+    """Of each chunk, where the chunk before it begins, or an earlier one if that begins at the cut of a long chunk; its own place in a text's first chunk."""
+    at = np.arange(size.size)
+    new = np.append(True, doc[1:] != doc[:-1])
+    free = new | np.append(True, size[:-1] < most - 3)  # begins at a cut by content, or its text
+    begin = np.maximum.accumulate(np.where(free, at, 0))
+    return np.where(new, first, first[begin[np.maximum(at - 1, 0)]])
+
+
 def chunk_digests(docs: DataFrame, mean: int = MEAN_BYTES, most: int = MAX_BYTES) -> DataFrame:
-    """Rows (key, id, n, digest) for each chunk of the columns key, id and text; n counts from 0 in a text."""
+    """Rows (key, id, n, digest, sizes) for each chunk of the columns key, id and text; n counts from 0 in a text.
+
+    sizes packs the bytes from the cut before the last to the chunk (cuts of long chunks do not count), of the
+    chunk, and of the one after it, 10 bits each.
+    """
     id_type = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _text.slices(batches, "text"):
             data, first, ends, doc = chunk_ends(part.column("text"), mean, most)
             if first.size:
-                owner = pa.array(doc)
+                owner, size = pa.array(doc), ends - first
+                after = np.append(size[1:] * (doc[1:] == doc[:-1]), 0)
+                before = np.minimum(first - _last_cut(size, first, doc, most), 1023)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("key").take(owner),
                         part.column("id").take(owner),
                         pa.array(_numbers(doc).astype(np.int32)),
                         _text.signed(_text.run_hashes(data, ends - first)),
+                        pa.array((before << 20 | size << 10 | after).astype(np.int32)),
                     ],
-                    ["key", "id", "n", "digest"],
+                    ["key", "id", "n", "digest", "sizes"],
                 )
 
-    return docs.select("key", "id", "text").mapInArrow(run, f"key long, id {id_type}, n int, digest long")
+    return docs.select("key", "id", "text").mapInArrow(run, f"key long, id {id_type}, n int, digest long, sizes int")
 
 
 def repeated_chunks(chunks: DataFrame) -> DataFrame:
-    """Chunks that occurred before: (key, n), and the first occurrence's document and chunk (first_id, first_key, first_n)."""
+    """Chunks that occurred before: (key, n, sizes), and the first occurrence's document and chunk (first_id, first_key, first_n)."""
     first = F.min(F.struct("id", "key", "n")).alias("first")
     known = chunks.groupBy("digest").agg(first, F.count("*").alias("times")).filter("times > 1").select("digest", "first")
     later = (F.col("c.key") != F.col("k.first.key")) | (F.col("c.n") != F.col("k.first.n"))
-    both = chunks.select("digest", "key", "n").alias("c").join(known.alias("k"), (F.col("c.digest") == F.col("k.digest")) & later)
-    return both.select("c.key", "c.n", *(F.col(f"k.first.{x}").alias(f"first_{x}") for x in ("id", "key", "n")))
+    both = chunks.select("digest", "key", "n", "sizes").alias("c").join(known.alias("k"), (F.col("c.digest") == F.col("k.digest")) & later)
+    return both.select("c.key", "c.n", "c.sizes", *(F.col(f"k.first.{x}").alias(f"first_{x}") for x in ("id", "key", "n")))
 
 
-def _seeds(dups: list[dict]) -> list[list[dict]]:
-    """First and last chunk of each seed, in order."""
-    out: list[list[dict]] = []
-    for n, d in sorted({d["n"]: d for d in dups}.items()):
-        last = out[-1][1] if out else None
-        if last and (n, d["first_key"], d["first_n"]) == (last["n"] + 1, last["first_key"], last["first_n"] + 1):
-            out[-1][1] = d
-        else:
-            out.append([d, d])
-    return out
+def _sum_runs(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values, begins) if begins.size else values[:0]
 
 
-def _around(found: DataFrame, slim: DataFrame, mean: int, most: int) -> DataFrame:
-    """(key, around): for the ends of each seed (n, after) the bytes at its first occurrence, before or after it."""
+def seeds(key: np.ndarray, n: np.ndarray, sizes: np.ndarray, first_key: np.ndarray, first_n: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """Of repeated chunks, in order of document and place, the seeds that may belong to a passage of so many bytes.
 
-    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Returns for each its first and last row, and how many bytes before and after
+    it may be equal. Repeated chunks in a row are a block, of one or more seeds; a
+    seed grows beyond its block's ends, not inside it, and not over more than
+    GROW_BYTES of other seeds. Blocks with up to 4 chunks between them may touch
+    once they have grown.
+    """
+    other = np.append(True, key[1:] != key[:-1])
+    gap = np.append(0, n[1:] - n[:-1])
+    block = other | (gap != 1)
+    seed = block | np.append(True, (first_key[1:] != first_key[:-1]) | (first_n[1:] != first_n[:-1] + 1))
+    heads = np.flatnonzero(seed)
+    tails = np.append(heads[1:], n.size) - 1
+    size = np.cumsum(sizes >> 10 & 1023)
+    block_of = np.cumsum(block) - 1
+    starts = np.flatnonzero(block)
+    stops = np.append(starts[1:], n.size) - 1
+    own = sizes >> 10 & 1023
+    before, after = (sizes[starts] >> 20) + _SEEN, sizes[stops] & 1023
+    done = size[heads] - own[heads] - (size[starts] - own[starts])[block_of[heads]]
+    ahead = size[stops][block_of[heads]] - size[tails]
+    left = np.where(done <= GROW_BYTES, before[block_of[heads]] + done, 0)
+    right = np.where(ahead <= GROW_BYTES, after[block_of[heads]] + ahead, 0)
+    runs = np.flatnonzero((other | (gap > 5))[starts])
+    reach = _sum_runs(before + size[stops] - size[starts] + own[starts] + after, runs)
+    run_of = np.cumsum((other | (gap > 5))[starts]) - 1
+    wanted = (reach >= least)[run_of[block_of[heads]]]
+    return heads[wanted], tails[wanted], left[wanted], right[wanted]
+
+
+def _lists(column: pa.ListArray) -> tuple[pa.StructArray, list[int]]:
+    """The items of all lists on end, and where each list begins and the last ends."""
+    sizes = np.diff(column.offsets.to_numpy()) if column.null_count == 0 else column.value_lengths().fill_null(0).to_numpy()
+    return column.flatten(), np.append(0, np.cumsum(sizes)).tolist()
+
+
+def _around(found: DataFrame, slim: DataFrame, mean: int, most: int, least: int) -> DataFrame:
+    """(key, n_dup, around): repeated chunks of each document; of each seed that may be part of a passage its first and
+    last chunk, and of its first occurrence the id, a digest and the bytes before and after."""
+    id_type = found.schema["first_id"].dataType.simpleString()
+    place = ["first_key", "first_n", "last_n"]
+
+    def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def asks(rows: pa.Table) -> pa.RecordBatch:
+            key, n, sizes, first_key, first_n = (rows[c].to_numpy() for c in ("key", "n", "sizes", "first_key", "first_n"))
+            head, tail, before, after = seeds(key, n, sizes, first_key, first_n, least)
+            begins = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            none = begins.size
+            columns = [
+                np.append(key[head], key[begins]),
+                np.append(n[head], np.full(none, -1)).astype(np.int32),
+                np.append(n[tail], np.diff(np.append(begins, key.size))).astype(np.int32),
+                np.append(first_key[head], np.zeros(none, np.int64)),
+                *(np.append(x, np.zeros(none, np.int32)).astype(np.int32) for x in (first_n[head], first_n[tail], before, after)),
+            ]
+            ids = rows["first_id"].combine_chunks().take(pa.array(np.append(head, begins)))
+            return pa.RecordBatch.from_arrays([*map(pa.array, columns), ids], ["key", "n", "last", *place, "before", "after", "first_id"])
+
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            out = []
-            for key, dups in zip(batch.column("key").to_pylist(), batch.column("dups"), strict=True):
-                for first, last in _seeds(dups.as_py()):
-                    out += [(key, d["n"], after, d["first_key"], d["first_n"]) for d, after in ((first, False), (last, True))]
-            types = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32())
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, types, strict=True)], ["key", "n", "after", "first_key", "first_n"])
+            if not batch.num_rows:
+                continue
+            key = batch.column("key").to_numpy()
+            whole = int(np.searchsorted(key, key[-1]))  # rows of the last document may go on in the next batch
+            if whole or (held and held[0].column("key")[0].as_py() != key[0]):
+                rows = pa.Table.from_batches([*held, batch.slice(0, whole)])
+                if rows.num_rows:
+                    yield asks(rows)
+                held = []
+            held.append(batch.slice(whole))
+        if held:
+            yield asks(pa.Table.from_batches(held))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _text.slices(batches, "text"):
             data, first, stop, doc = chunk_ends(part.column("text"), mean, most)
             _, at = _text.text_bytes(part.column("text"))
-            begin, out = np.searchsorted(doc, np.arange(part.num_rows + 1)), []
-            for row, (key, asks) in enumerate(zip(part.column("key").to_pylist(), part.column("asks").to_pylist(), strict=True)):
-                for a in asks:
-                    c = begin[row] + a["first_n"]
-                    lo, hi = (stop[c], min(stop[c] + AFTER_BYTES, at[row + 1])) if a["after"] else (max(first[c] - BEFORE_BYTES, at[row]), first[c])
-                    out.append((key, a["first_n"], a["after"], data[lo:hi].tobytes()))
-            types = (pa.int64(), pa.int32(), pa.bool_(), pa.binary())
-            columns = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, types, strict=True)], ["first_key", "first_n", "after", "bytes"])
-
-    asked = found.mapInArrow(ends, "key long, n int, after boolean, first_key long, first_n int")
-    place = ["first_key", "first_n", "after"]
-    asks = asked.select(*place).distinct().groupBy(F.col("first_key").alias("key")).agg(F.collect_list(F.struct("first_n", "after")).alias("asks"))
-    texts = slim.select("key", "text").join(asks, "key")
-    answers = texts.select("key", "text", "asks").mapInArrow(read, "first_key long, first_n int, after boolean, bytes binary").dropDuplicates(place)
-    return asked.join(answers, place).groupBy("key").agg(F.collect_list(F.struct("n", "after", "bytes")).alias("around"))
+            begin = np.searchsorted(doc, np.arange(part.num_rows + 1))
+            flat, cuts = _lists(part.column("asks"))
+            first_n, last_n, before, after = (flat.field(c).to_numpy() for c in ("first_n", "last_n", "before", "after"))
+            row = np.repeat(np.arange(part.num_rows), np.diff(cuts))
+            lo, hi = first[begin[row] + first_n], stop[begin[row] + last_n]
+            left, right, all_bytes = np.maximum(lo - before, at[row]), np.minimum(hi + after, at[row + 1]), data.tobytes()
+            spans = list(zip(left.tolist(), lo.tolist(), hi.tolist(), right.tolist(), strict=True))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column("key").take(pa.array(row)),
+                    pa.array(first_n),
+                    pa.array(last_n),
+                    pa.array([_digest(all_bytes[b:c]) for _, b, c, _ in spans], pa.binary()),
+                    pa.array([all_bytes[a:b] for a, b, _, _ in spans], pa.binary()),
+                    pa.array([all_bytes[c:d] for _, _, c, d in spans], pa.binary()),
+                ],
+                [*place, "digest", "before", "after"],
+            )
+
+    by_doc = found.repartition("key").sortWithinPartitions("key", "n").select("key", "n", "sizes", "first_id", "first_key", "first_n")
+    asked = cut(by_doc.mapInArrow(asking, f"key long, n int, last int, first_key long, first_n int, last_n int, before int, after int, first_id {id_type}"))
+    seed = asked.filter("n >= 0")
+    each = cut(seed.groupBy(place).agg(F.max("before").alias("before"), F.max("after").alias("after")))
+    asks = each.groupBy(F.col("first_key").alias("key")).agg(F.collect_list(F.struct("first_n", "last_n", "before", "after")).alias("asks"))
+    texts = slim.select("key", "text").join(asks, "key").select("key", "text", "asks")
+    answers = texts.mapInArrow(read, "first_key long, first_n int, last_n int, digest binary, before binary, after binary")
+    answers = cut(answers.dropDuplicates(place))
+    drop(each)
+    told = seed.withColumnsRenamed({"before": "left", "after": "right"}).join(answers, place)
+    # An answer holds what the longest ask wants; each seed takes what it asked for.
+    told = told.withColumn("before", F.expr("substring(before, greatest(length(before) - left, 0) + 1)")).withColumn("after", F.expr("substring(after, 1, right)"))
+    told = told.select("key", F.lit(None).cast("long").alias("n_dup"), F.struct("n", "last", "first_id", "digest", "before", "after").alias("one"))
+    counts = asked.filter("n < 0").select("key", F.col("last").cast("long").alias("n_dup"), F.lit(None).cast(told.schema["one"].dataType).alias("one"))
+    out = cut(told.unionByName(counts).groupBy("key").agg(F.max("n_dup").alias("n_dup"), F.collect_list("one").alias("around")))
+    drop(asked, answers)
+    return out
+
+
+def _digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
 
 
 def dedup_substrings(
@@ -185,16 +284,17 @@ def dedup_substrings(
     columns so named; the rest passes through. Null and empty texts have no
     chunks and stay as they are. Rows that agree in id and text are one document
     and get the same result, so neither removes the other; a null id is an id
-    like others and comes first. A text may end up empty; its row stays.
+    like others and comes first; of equal ids (ties) the row with the lesser hash
+    of id and text is the earlier one. Very long texts are chunked whole. A text
+    may end up empty; its row stays. No rows give no rows.
     """
     new = ["n_chunks", "n_dup_chunks", "n_removed_bytes", "removed", "first_ids"]
     keep = [c for c in docs.columns if c not in (text_col, *new)]
     text = F.col(text_col).cast("string")
     keyed = docs.select(F.struct(*keep).alias("row"), text.alias("text"), row_key(id_col, text_col).alias("key"))
     slim = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"), text.alias("text"))
-    found = repeated_chunks(chunk_digests(slim, mean, most)).groupBy("key")
-    found = cut(found.agg(F.collect_list(F.struct("n", "first_id", "first_key", "first_n")).alias("dups")))
-    rows = keyed.join(found.join(_around(found, slim, mean, most), "key", "left"), "key", "left")
+    found = repeated_chunks(chunk_digests(slim, mean, most))
+    rows = keyed.join(_around(found, slim, mean, most, min_run_bytes), "key", "left")
     id_type = docs.schema[id_col].dataType
     ids = T.ArrayType(id_type)
     spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -206,56 +306,65 @@ def dedup_substrings(
             data, first, ends, doc = chunk_ends(texts, mean, most)
             _, at = _text.text_bytes(texts)
             begin = np.searchsorted(doc, np.arange(part.num_rows + 1))
-            dups, around = part.column("dups").to_pylist(), part.column("around").to_pylist()
+            flat, cuts = _lists(part.column("around"))
+            told = list(zip(*(flat.field(c).to_pylist() for c in ("n", "last", "first_id", "digest", "before", "after")), strict=True))
+            n_dup, all_bytes = part.column("n_dup").fill_null(0).to_pylist(), data.tobytes()
             out: dict[str, list] = {n: [] for n in ("text", *new)}
             for row in range(part.num_rows):
-                marked = {d["n"]: d["first_id"] for d in dups[row] or ()}
                 lo, hi = begin[row], begin[row + 1]
-                own = data[at[row] : at[row + 1]].tobytes()
-                near = {(a["n"], a["after"]): a["bytes"] for a in around[row] or ()}
-                gone, held = _passages(own, first[lo:hi] - at[row], ends[lo:hi] - at[row], _seeds(dups[row] or []), marked, near, min_run_bytes)
-                value = texts[row].as_py() if not gone else _without(own, gone)
-                for n, v in zip(out, (value, int(hi - lo), len(marked), sum(e - s for s, e in gone), [{"start": s, "end": e} for s, e in gone], held), strict=True):
+                gone, held = [], []
+                value = texts[row].as_py()
+                if cuts[row] < cuts[row + 1]:
+                    own = all_bytes[at[row] : at[row + 1]]
+                    places = (first[lo:hi] - at[row]).tolist(), (ends[lo:hi] - at[row]).tolist()
+                    gone, held = _passages(own, *places, told[cuts[row] : cuts[row + 1]], min_run_bytes)
+                    value = _without(own, gone) if gone else value
+                for n, v in zip(out, (value, int(hi - lo), n_dup[row], sum(e - s for s, e in gone), [{"start": s, "end": e} for s, e in gone], held), strict=True):
                     out[n].append(v)
             yield pa.RecordBatch.from_arrays(
-                [part.column("row"), *(pa.array(v, t) for v, t in zip(out.values(), (pa.string(), pa.int64(), pa.int64(), pa.int64(), _SPANS, pa.list_(_first_id_type(part))), strict=True))],
+                [part.column("row"), *(pa.array(v, t) for v, t in zip(out.values(), (pa.string(), pa.int64(), pa.int64(), pa.int64(), _SPANS, pa.list_(flat.field("first_id").type)), strict=True))],
                 ["row", "text", *new],
             )
 
-    done = rows.select("row", "text", "dups", "around").mapInArrow(run, schema)
+    done = rows.select("row", "text", "n_dup", "around").mapInArrow(run, schema)
     return done.select(*(F.col("text").alias(text_col) if c == text_col else F.col(f"row.{c}").alias(c) for c in docs.columns if c not in new), *new)
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _first_id_type(part: pa.RecordBatch) -> pa.DataType:
-    return part.schema.field("dups").type.value_type.field("first_id").type
-
-
 def _equal(a: bytes, b: bytes) -> int:
     """How many first bytes agree."""
     n = min(len(a), len(b))
-    other = np.flatnonzero(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)) if n else np.zeros(0)
-    return int(other[0]) if other.size else n
+    if a[:n] == b[:n]:
+        return n
+    low = 0
+    while n - low > 1:
+        middle = (low + n) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            n = middle
+    return low
+
 
+def _passages(data: bytes, first: list[int], ends: list[int], told: list[tuple], least: int) -> tuple[list[tuple[int, int]], list]:
+    """Spans of grown seeds that touch, of at least so many bytes, and the ids that hold them; no character is split.
 
-def _passages(
-    data: bytes, first: np.ndarray, ends: np.ndarray, seeds: list[list[dict]], marked: dict, near: dict, least: int
-) -> tuple[list[tuple[int, int]], list]:
-    """Spans of grown seeds that touch, of at least so many bytes, and the ids that hold them; no character is split."""
+    A seed is told as its first and last chunk, and of its first occurrence the id, a digest and the bytes around it.
+    """
     spans: list[tuple[int, int, set]] = []
-    for head, tail in seeds:
-        start, end = int(first[head["n"]]), int(ends[tail["n"]])
-        before, after = near.get((head["n"], False), b""), near.get((tail["n"], True), b"")
+    for n, last, first_id, digest, before, after in told:
+        start, end = first[n], ends[last]
+        if digest != _digest(data[start:end]):
+            continue
         start -= _equal(data[max(0, start - len(before)) : start][::-1], before[::-1])
         end += _equal(data[end : end + len(after)], after)
         while data[start] & 0xC0 == 0x80:
             start += 1
         while end < len(data) and data[end] & 0xC0 == 0x80:
             end -= 1
-        ids = {marked[n] for n in range(head["n"], tail["n"] + 1)}
-        spans.append((start, end, ids))
+        spans.append((start, end, {first_id}))
     gone, held, run = [], set(), None
     for start, end, ids in [*sorted(spans, key=lambda x: x[:2]), (len(data) + 1, 0, set())]:
         if run and start <= run[1]:
