@@ -7,10 +7,10 @@ every j from 1 to q. A worker reads a count back by probing j = 1, 2, ... until
 the first miss. A false member can raise a level, never lower one.
 
 All pairs are stored, those seen once too. Of a history h the filter also holds
-how many of its tokens belong to stored pairs (kept) and how many to pairs seen
-once or not stored (rest: what a new pair may expect), and a probability is
+how many of its tokens belong to pairs seen once (rest: what a new pair may
+expect; histories are told apart by 32 bits there), and a probability is
 
-    p(w | h) = (count(h w) + (rest(h) + 0.5) * p(w)) / (kept(h) + rest(h) + 0.5)
+    p(w | h) = (count(h w) + (rest(h) + 0.5) * p(w)) / (count(h) + rest(h) + 0.5)
 
 so a weight like that of the rarest pairs goes to the words' own probabilities
 
@@ -19,8 +19,8 @@ so a weight like that of the rarest pairs goes to the words' own probabilities
 The bits of the filter follow the number of members, so the same counts are
 stored at every size. All levels of an n-gram lie in one block, blocks in pieces
 of bounded size that stay distributed. Texts are scored in chunks: a chunk sends
-each of its distinct n-grams to the piece that holds it and gets one byte back,
-the level. Only a caller who bounds the filter (max_filter_bytes) loses counts:
+each of its distinct n-grams, as 5 bytes, to the piece that holds it and gets its
+levels back, one byte each. Only a caller who bounds the filter (max_filter_bytes) loses counts:
 the least count that is stored then doubles until the members fit. Exact word
 counts, for the base score, are joined: the head of the vocabulary is broadcast
 (a fixed number of words), the tail is shuffled.
@@ -32,13 +32,14 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webgrain.llm import _text
-from webgrain.llm._spark import cut
+from webgrain.llm._spark import cut, drop
 
 #: Growth of the count from one level to the next.
 STEP = 1.5
@@ -59,8 +60,11 @@ MIN_WORD, MIN_PAIR = 1, 1
 
 _U = np.uint64
 START, END = _text.mix(np.array([1, 2], dtype=_U))
-WORD, PAIR, KEPT, REST = range(4)
-_KIND = _text.mix(np.arange(10, 14, dtype=_U))
+WORD, PAIR, REST = range(3)
+#: Levels of a pair stand under its own address, those of a word and of a history under that of the word.
+_KIND = _text.mix(np.array([10, 11, 10], dtype=_U))
+#: Bytes of an address, and how far the levels of REST lie above those of WORD.
+ADDRESS_BYTES, _REST_LEVEL = 5, 1 << 10
 
 
 def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -82,30 +86,29 @@ def pair_keys(history: np.ndarray, token: np.ndarray) -> np.ndarray:
     return (history & _U(0xFFFFFFFF00000000)) | (_text.join_hash(history, token) & _U(0xFFFFFFFF))
 
 
-def count_ngrams(docs: DataFrame, pairs: bool, text_col: str = "text") -> DataFrame:
-    """(k, n): key and count of each word, or of each pair, in all texts of docs."""
+def count_ngrams(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(pair, k, n): key and count of each word (pair is false) and of each pair in all texts of docs."""
 
-    def sums(kept: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        keys, inverse = np.unique(np.concatenate([k for k, _ in kept]), return_inverse=True)
-        n = np.bincount(inverse, weights=np.concatenate([n for _, n in kept])).astype(np.int64)
-        return pa.RecordBatch.from_arrays([_text.signed(keys), pa.array(n)], ["k", "n"])
+    def sums(kept: list[np.ndarray], pair: bool) -> pa.RecordBatch:
+        at, keys = pd.factorize(np.concatenate(kept).view(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(keys.size, pair)), pa.array(keys), pa.array(np.bincount(at, minlength=keys.size))], ["pair", "k", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple[np.ndarray, np.ndarray]] = []
+        kept: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
         size = 0
         for part in _text.slices(batches, text_col):
             tokens, doc = token_hashes(part.column(text_col))
-            keys, n = np.unique(pair_keys(histories(tokens, doc), tokens) if pairs else tokens, return_counts=True)
-            kept.append((keys, n))
-            size += keys.size
+            kept[0].append(tokens)
+            kept[1].append(pair_keys(histories(tokens, doc), tokens))
+            size += tokens.size
             if size >= GATHER:
-                yield sums(kept)
-                kept, size = [], 0
-        if kept:
-            yield sums(kept)
+                yield from (sums(kept[k], bool(k)) for k in (0, 1))
+                kept, size = ([], []), 0
+        if size:
+            yield from (sums(kept[k], bool(k)) for k in (0, 1))
 
     texts = docs.select(F.col(text_col).cast("string").alias(text_col))
-    return texts.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "pair boolean, k long, n long").groupBy("pair", "k").agg(F.sum("n").alias("n"))
 
 
 def level_of(count: np.ndarray, least: int) -> np.ndarray:
@@ -122,7 +125,17 @@ def count_of(level: np.ndarray, least: int) -> np.ndarray:
 
 
 def _address(keys: np.ndarray, kind: int) -> np.ndarray:
-    return _text.mix(keys ^ _KIND[kind])
+    return _text.mix(keys ^ _KIND[kind]) & _U((1 << 8 * ADDRESS_BYTES) - 1)
+
+
+def _to_bytes(address: np.ndarray) -> bytes:
+    return np.ascontiguousarray(address.view(np.uint8).reshape(-1, 8)[:, :ADDRESS_BYTES]).tobytes()
+
+
+def _from_bytes(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // ADDRESS_BYTES, 8), dtype=np.uint8)
+    out[:, :ADDRESS_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, ADDRESS_BYTES)
+    return out.view(_U).ravel()
 
 
 def _member(address: np.ndarray, level: int) -> np.ndarray:
@@ -140,7 +153,7 @@ class Shape(NamedTuple):
         return -(-self.blocks // self.piece_blocks)
 
     def block(self, address: np.ndarray) -> np.ndarray:
-        return ((address >> _U(32)) % _U(self.blocks)).astype(np.int64)
+        return ((address >> _U(8)) % _U(self.blocks)).astype(np.int64)
 
     def bits(self, address: np.ndarray, level: int) -> Iterator[np.ndarray]:
         """The bits of a level inside its piece: in the address's block, by double hashing."""
@@ -148,13 +161,13 @@ class Shape(NamedTuple):
         for probe in range(PROBES):
             yield base + ((member + _U(probe) * ((member >> _U(17)) | _U(1))) & _U(BLOCK_BITS - 1)).astype(np.int64)
 
-    def levels(self, bits: np.ndarray, address: np.ndarray) -> np.ndarray:
-        """Levels that a piece (bits in bytes) holds for its addresses."""
+    def levels(self, bits: np.ndarray, address: np.ndarray, above: int = 0) -> np.ndarray:
+        """Levels that a piece (bits in bytes) holds for its addresses; those of a history lie above."""
         level, live, k = np.zeros(address.size, dtype=np.uint8), np.arange(address.size), 0
         while live.size and k < 255:
             k += 1
             found = np.ones(live.size, dtype=bool)
-            for at in self.bits(address[live], k):
+            for at in self.bits(address[live], above + k):
                 found &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
             live = live[found]
             level[live] = k
@@ -187,8 +200,9 @@ def _packed(counts: DataFrame, kind: int, least: int, shape: Shape) -> DataFrame
         order, found, ends = _by_piece(shape, address)
         address, level = address[order], level_of(n, least)[order].astype(np.uint8)
         cuts = list(zip(ends[:-1], ends[1:], strict=True))
-        blobs = (pa.array([x[i:j].tobytes() for i, j in cuts], pa.binary()) for x in (address, level))
-        return pa.RecordBatch.from_arrays([pa.array(found), *blobs], ["piece", "address", "level"])
+        blobs = (pa.array([f(x[i:j]) for i, j in cuts], pa.binary()) for x, f in ((address, _to_bytes), (level, np.ndarray.tobytes)))
+        above = pa.array([_REST_LEVEL * (kind == REST)] * len(cuts), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(found), above, *blobs], ["piece", "above", "address", "level"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, size = [], 0
@@ -201,7 +215,7 @@ def _packed(counts: DataFrame, kind: int, least: int, shape: Shape) -> DataFrame
         if size:
             yield rows(kept)
 
-    return counts.filter(F.col("n") >= least).select("k", "n").mapInArrow(run, "piece long, address binary, level binary")
+    return counts.filter(F.col("n") >= least).select("k", "n").mapInArrow(run, "piece long, above int, address binary, level binary")
 
 
 def _size(counts: DataFrame, least: int) -> int:
@@ -221,8 +235,8 @@ class Model(NamedTuple):
 
 def train(docs: DataFrame, text_col: str = "text", max_filter_bytes: int | None = None) -> Model:
     """A model from all texts of docs; a null text is an empty one, which has its end token."""
-    words = cut(count_ngrams(docs, pairs=False, text_col=text_col))
-    pairs = cut(count_ngrams(docs, pairs=True, text_col=text_col))
+    counts = cut(count_ngrams(docs, text_col))
+    words, pairs = cut(counts.filter("NOT pair").select("k", "n")), counts.filter("pair").select("k", "n")
     n_docs = docs.count()
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).collect()[0]
     double = 0
@@ -231,18 +245,17 @@ def train(docs: DataFrame, text_col: str = "text", max_filter_bytes: int | None
         stored = pairs.filter(F.col("n") >= least_pair)
         half = lambda c: F.shiftright(c, 32)
         start = docs.sparkSession.createDataFrame([(int(START.view(np.int64)), n_docs)], "k long, n long")
+        seen_words = words.unionByName(start)
         kept = stored.groupBy(half("k").alias("h")).agg(F.sum("n").alias("kept"), F.count_if(F.col("n") == 1).alias("once"))
-        seen = words.unionByName(start).groupBy(half("k").alias("h")).agg(F.sum("n").alias("seen"))
-        both = kept.join(seen, "h").select(F.shiftleft("h", 32).alias("k"), "kept", (F.greatest(F.col("seen") - F.col("kept"), F.lit(0)) + F.col("once")).alias("rest"))
-        parts = [
-            (words, WORD, least_word),
-            (stored, PAIR, least_pair),
-            (both.select("k", F.col("kept").alias("n")), KEPT, 1),
-            (both.select("k", F.col("rest").alias("n")), REST, 1),
-        ]
+        own = seen_words.filter(F.col("k") != int(END.view(np.int64))).withColumn("h", half("k"))
+        seen = own.groupBy("h").agg(F.sum("n").alias("seen"))
+        both = kept.join(seen, "h").select("h", (F.greatest(F.col("seen") - F.col("kept"), F.lit(0)) + F.col("once")).alias("n"))
+        rest = cut(own.select("k", "h").join(both.filter("n > 0"), "h").select("k", "n"))
+        parts = [(seen_words, WORD, least_word), (stored, PAIR, least_pair), (rest, REST, 1)]
         members = sum(_size(counts, least) for counts, _, least in parts)
         if max_filter_bytes is None or members * BITS_PER_MEMBER <= max_filter_bytes * 8 or double >= 40:
             break
+        drop(rest)
         double += 1
     blocks = max(1, -(-members * BITS_PER_MEMBER // BLOCK_BITS))
     tasks = _tasks(docs)
@@ -258,20 +271,22 @@ def train(docs: DataFrame, text_col: str = "text", max_filter_bytes: int | None
 
         piece, bits = None, np.zeros(0, dtype=bool)
         for batch in batches:
-            for own, address, level in zip(*(batch.column(c) for c in ("piece", "address", "level")), strict=True):
+            for own, above, address, level in zip(*(batch.column(c) for c in ("piece", "above", "address", "level")), strict=True):
                 if own.as_py() != piece:
                     if piece is not None:
                         yield done()
                     piece, bits = own.as_py(), np.zeros(shape.piece_blocks * BLOCK_BITS, dtype=bool)
-                addresses, levels = np.frombuffer(address.as_py(), _U), np.frombuffer(level.as_py(), np.uint8)
+                addresses, levels = _from_bytes(address.as_py()), np.frombuffer(level.as_py(), np.uint8)
                 for k in range(1, int(levels.max(initial=0)) + 1):
-                    for at in shape.bits(addresses[levels >= k], k):
+                    for at in shape.bits(addresses[levels >= k], above.as_py() + k):
                         bits[at] = True
         if piece is not None:
             yield done()
 
     pieces = rows.repartition(max(tasks, shape.pieces // 8), "piece").sortWithinPartitions("piece").mapInArrow(fill, "piece long, bits binary")
-    return Model(words, int(total["n"]), int(total["v"]), Filter(cut(pieces), shape, least_word, least_pair))
+    made = cut(pieces)
+    drop(counts, rest)
+    return Model(words, int(total["n"]), int(total["v"]), Filter(made, shape, least_word, least_pair))
 
 
 def _tasks(df: DataFrame) -> int:
@@ -279,77 +294,95 @@ def _tasks(df: DataFrame) -> int:
 
 
 class _Chunk(NamedTuple):
-    """Tokens of some texts, and the addresses of their distinct n-grams.
+    """Tokens of some texts: distinct words (the last one is START) and pairs, and the addresses of both.
 
-    The addresses are those of words, of kept and of rest of histories, and of
-    pairs, in this order; word, head and pair give the place of each token's among them.
+    word, head and pair give the place of each token, of the one before it and of
+    its pair among them.
     """
 
-    tokens: np.ndarray
+    words: np.ndarray
     doc: np.ndarray
     word: np.ndarray
     head: np.ndarray
     pair: np.ndarray
-    address: tuple[np.ndarray, ...]
+    word_address: np.ndarray
+    pair_address: np.ndarray
 
 
 def _chunk(texts: pa.Array) -> _Chunk:
     tokens, doc = token_hashes(texts)
-    history = histories(tokens, doc)
-    (words, word), (heads, head), (pairs, pair) = (
-        np.unique(x, return_inverse=True) for x in (tokens, history & _U(0xFFFFFFFF00000000), pair_keys(history, tokens))
-    )
-    address = (_address(words, WORD), _address(heads, KEPT), _address(heads, REST), _address(pairs, PAIR))
-    return _Chunk(tokens, doc, word, head, pair, address)
+    word, found = pd.factorize(tokens.view(np.int64))
+    words = np.append(found.view(_U), START)
+    head = np.append(found.size, word[:-1])
+    head[np.append(True, doc[1:] != doc[:-1])] = found.size
+    pair, both = pd.factorize(head * np.int64(words.size) + word)
+    keys = pair_keys(words[both // words.size], words[both % words.size])
+    return _Chunk(words, doc, word, head, pair, _address(words, WORD), _address(keys, PAIR))
+
+
+def _split(shape: Shape, address: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """The order that puts addresses by piece, and the addresses of each piece."""
+    order, found, ends = _by_piece(shape, address)
+    address = address[order]
+    return order, {p: address[i:j] for p, i, j in zip(found.tolist(), ends[:-1], ends[1:], strict=True)}
 
 
 def _ask(chunks: DataFrame, shape: Shape) -> DataFrame:
-    """(chunk, piece, ask): the addresses of each chunk (chunk, texts) that lie in each piece."""
+    """(chunk, piece, words, pairs): the addresses of each chunk (chunk, texts) that lie in each piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, dtype=_U)
         for batch in batches:
             for number, texts in zip(batch.column("chunk"), batch.column("texts"), strict=True):
-                address = np.concatenate(_chunk(texts.values).address)
-                order, found, ends = _by_piece(shape, address)
-                address = address[order]
-                asks = pa.array([address[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([number.as_py()] * found.size, pa.int64()), pa.array(found), asks], ["chunk", "piece", "ask"])
+                chunk = _chunk(texts.values)
+                sides = [_split(shape, a)[1] for a in (chunk.word_address, chunk.pair_address)]
+                pieces = sorted({*sides[0], *sides[1]})
+                blobs = (pa.array([_to_bytes(side.get(p, none)) for p in pieces], pa.binary()) for side in sides)
+                yield pa.RecordBatch.from_arrays([pa.array([number.as_py()] * len(pieces), pa.int64()), pa.array(pieces, pa.int64()), *blobs], ["chunk", "piece", "words", "pairs"])
 
-    return chunks.select("chunk", "texts").mapInArrow(run, "chunk long, piece long, ask binary")
+    return chunks.select("chunk", "texts").mapInArrow(run, "chunk long, piece long, words binary, pairs binary")
 
 
 def _answer(asks: DataFrame, f: Filter) -> DataFrame:
-    """(chunk, piece, levels): one byte for each address, in the order of ask."""
+    """(chunk, piece, words, rests, pairs): one byte for each address, in the order asked; words have two."""
     shape = f.shape
-    held = f.pieces.select(F.lit(-1).cast("long").alias("chunk"), "piece", F.col("bits").alias("ask"))
+    held = f.pieces.select(F.lit(-1).cast("long").alias("chunk"), "piece", F.col("bits").alias("words"), F.lit(None).cast("binary").alias("pairs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits_of, bits = None, np.zeros(0, np.uint8)
         for batch in batches:
-            out: list[tuple[int, int, bytes]] = []
-            for chunk, piece, ask in zip(*(batch.column(c) for c in ("chunk", "piece", "ask")), strict=True):
+            out: list[tuple[int, int, bytes, bytes, bytes]] = []
+            for chunk, piece, words, pairs in zip(*(batch.column(c) for c in ("chunk", "piece", "words", "pairs")), strict=True):
                 if chunk.as_py() < 0:
-                    bits_of, bits = piece.as_py(), np.frombuffer(ask.as_py(), np.uint8)
+                    bits_of, bits = piece.as_py(), np.frombuffer(words.as_py(), np.uint8)
                     continue
-                address = np.frombuffer(ask.as_py(), _U)
-                level = shape.levels(bits, address) if piece.as_py() == bits_of else np.zeros(address.size, np.uint8)
-                out.append((chunk.as_py(), piece.as_py(), level.tobytes()))
-            columns = list(zip(*out, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["chunk", "piece", "levels"])
+                sides = [_from_bytes(x.as_py()) for x in (words, pairs)]
+                asked = ((sides[0], 0), (sides[0], _REST_LEVEL), (sides[1], 0))
+                there = piece.as_py() == bits_of
+                levels = (shape.levels(bits, a, above) if there else np.zeros(a.size, np.uint8) for a, above in asked)
+                out.append((chunk.as_py(), piece.as_py(), *(x.tobytes() for x in levels)))
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            types = (pa.int64(), pa.int64(), *[pa.binary()] * 3)
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, types, strict=True)], ["chunk", "piece", "words", "rests", "pairs"])
 
     both = asks.unionByName(held).repartition(max(_tasks(asks), shape.pieces // 8), "piece").sortWithinPartitions("piece", "chunk")
-    return both.mapInArrow(run, "chunk long, piece long, levels binary")
+    return both.mapInArrow(run, "chunk long, piece long, words binary, rests binary, pairs binary")
 
 
-def _lm_scores(shape: Shape, least_word: int, least_pair: int, own: _Chunk, answers: list[bytes], norm: float) -> np.ndarray:
+def _lm_scores(f: Filter, own: _Chunk, answers: list[dict[str, bytes]], norm: float) -> np.ndarray:
     """log10 p(token | history) of each token, from the levels by piece."""
-    order, _, _ = _by_piece(shape, np.concatenate(own.address))
-    level = np.empty(order.size, dtype=np.int64)
-    level[order] = np.frombuffer(b"".join(answers), np.uint8)
-    word, kept, rest, pair = np.split(level, np.cumsum([a.size for a in own.address])[:-1])
-    p = ((count_of(word, least_word) + 0.1) / norm)[own.word]
-    kept, rest = count_of(kept, 1)[own.head], count_of(rest, 1)[own.head]
-    seen = np.minimum(count_of(pair, least_pair)[own.pair], kept)
+
+    def put(order: np.ndarray, of: str) -> np.ndarray:
+        level = np.empty(order.size, dtype=np.int64)
+        level[order] = np.frombuffer(b"".join(a[of] for a in answers), np.uint8)
+        return level
+
+    by_word, by_pair = (_split(f.shape, a)[0] for a in (own.word_address, own.pair_address))
+    word = count_of(put(by_word, "words"), f.least_word)
+    rest, pair = count_of(put(by_word, "rests"), 1), count_of(put(by_pair, "pairs"), f.least_pair)
+    kept = word if f.least_pair == 1 else np.maximum(word - rest, 0)
+    p, kept, rest = ((word + 0.1) / norm)[own.word], kept[own.head], rest[own.head]
+    seen = np.minimum(pair[own.pair], kept)
     return np.log10(np.where(kept > 0, (seen + (rest + 0.5) * p) / (kept + rest + 0.5), p))
 
 
@@ -359,7 +392,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", head_words: int
     n_known counts tokens that training saw; base_score is the sum of log10 p(w)
     by exact counts, score that of log10 p(w | h) by the filter. New columns take
     the place of columns so named; the rest passes through. A null text is an
-    empty one, which has its end token. Repeated rows each give a row.
+    empty one, which has its end token; a very long one is a chunk of its own.
+    Repeated rows each give a row; there are no ties to break. No rows give no rows.
     """
     new = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     keep = [c for c in docs.columns if c not in (text_col, *new)]
@@ -367,7 +401,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", head_words: int
     sc = docs.sparkSession.sparkContext
     top = model.words.orderBy(F.desc("n"), "k").limit(head_words).toArrow().sort_by("k")
     head = sc.broadcast((top["k"].to_numpy(), top["n"].to_numpy()))
-    _, shape, least_word, least_pair = model.filter
+    f = model.filter._replace(pieces=None)
     rows = docs.select(F.struct(*keep).alias("row"), F.col(text_col).cast("string").alias("text"))
     row_type = rows.schema["row"].dataType.simpleString()
 
@@ -378,23 +412,25 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", head_words: int
             yield pa.RecordBatch.from_arrays([pa.array([first + k]), *whole], ["chunk", "rows", "texts"])
 
     chunks = cut(rows.mapInArrow(gather, f"chunk long, rows array<{row_type}>, texts array<string>"))
-    answers = _answer(_ask(chunks, shape), model.filter).repartition(_tasks(docs), "chunk")
-    answers = answers.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("piece", "levels"))).alias("answers"))
-    asked = chunks.repartition(_tasks(docs), "chunk").join(answers, "chunk").select("rows", "texts", F.col("answers.levels").alias("levels"))
+    answers = _answer(_ask(chunks, f.shape), model.filter).repartition(_tasks(docs), "chunk")
+    answers = cut(answers.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("piece", "words", "rests", "pairs"))).alias("answers")))
+    asked = chunks.repartition(_tasks(docs), "chunk").join(answers, "chunk").select("rows", "texts", "answers")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = head.value
         number = TaskContext.get().partitionId() << 33
         for batch in batches:
             for row in range(batch.num_rows):
-                texts, levels = batch.column("texts")[row].values, batch.column("levels")[row].as_py()
+                texts, levels = batch.column("texts")[row].values, batch.column("answers")[row].as_py()
                 chunk = _chunk(texts)
-                n, own, doc = len(texts), chunk.tokens.view(np.int64), chunk.doc
-                at = np.minimum(np.searchsorted(keys, own), max(keys.size - 1, 0))
-                inside = keys[at] == own if keys.size else np.zeros(own.size, dtype=bool)
-                lm = np.bincount(doc, weights=_lm_scores(shape, least_word, least_pair, chunk, levels, norm), minlength=n)
-                base = np.bincount(doc[inside], weights=np.log10((counts[at[inside]] + 0.1) / norm), minlength=n)
-                tail = [own[~inside], doc[~inside]]
+                n, words, doc = len(texts), chunk.words[:-1].view(np.int64), chunk.doc
+                at = np.minimum(np.searchsorted(keys, words), max(keys.size - 1, 0))
+                known = keys[at] == words if keys.size else np.zeros(words.size, dtype=bool)
+                log_p = np.where(known, np.log10(((counts[at] if keys.size else 0) + 0.1) / norm), 0.0)
+                inside = known[chunk.word]
+                lm = np.bincount(doc, weights=_lm_scores(f, chunk, levels, norm), minlength=n)
+                base = np.bincount(doc, weights=log_p[chunk.word], minlength=n)
+                tail = [words[chunk.word[~inside]], doc[~inside]]
                 ends = np.concatenate([[0], np.cumsum(np.bincount(tail[1], minlength=n))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -411,6 +447,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", head_words: int
                 number += n
 
     scored = cut(asked.mapInArrow(run, f"at long, row {row_type}, n_tokens long, head_known long, head_score double, score double, tail array<long>"))
+    drop(chunks, answers)
     each = scored.select("at", F.explode("tail").alias("k"))
     known = each.join(model.words, "k").groupBy("at").agg(
         F.count("*").alias("tail_known"), F.sum(F.log10((F.col("n") + 0.1) / norm)).alias("tail_score")
