@@ -49,12 +49,9 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as token ids; text is what the ids decode to."""
     ship(spark)
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    decoded = bpe_prefix.decode(bpe_prefix.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    decoded = bpe_prefix.encode(docs, ranks, public_tokenizers.PATTERN, decoded_col="decoded")
     return decoded.select(
-        "doc_id",
-        "lang",
-        "source",
-        "n_chars",
+        *(c for c in docs.columns if c not in ("text", "n_tokens", "ids", "decoded")),
         F.col("decoded").cast("string").alias("text"),
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         "ids",

@@ -12,7 +12,7 @@ near an edit: entries are recomputed from the edit until as many entries in a
 row as the longest token has bytes agree with the old ones.
 
 On Spark: a batch of whole texts goes through Arrow to a task, which keeps a
-bounded cache of the pieces it has seen. The rank file (its size is checked) is
+cache bounded in bytes of the pieces it has seen. The rank file (its size is checked) is
 read by the driver and broadcast. There is no shuffle.
 """
 
@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import base64
 import functools
-import hashlib
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -32,10 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from webgrain.llm import _text
+
 #: The rank file is broadcast; a larger one is refused.
 MAX_RANK_FILE_BYTES = 64 << 20
-#: Entries of a task's caches; a full cache is emptied.
-MAX_CACHED = 250_000
+#: Bytes of pieces and ids that a task's cache holds, and entries of its table of token pairs; a full one is emptied.
+MAX_CACHE_BYTES, MAX_PAIRS = 24 << 20, 100_000
+#: What an entry costs beside its bytes.
+_ENTRY_BYTES = 200
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -122,7 +125,7 @@ class PrefixBPE:
                 pair = last[j] << 32 | t
                 keep = known.get(pair)
                 if keep is None:
-                    if len(known) >= MAX_CACHED:
+                    if len(known) >= MAX_PAIRS:
                         known.clear()
                     keep = known[pair] = self.apart(last[j], t)
                 if keep:
@@ -220,29 +223,39 @@ def splitter(pattern: str) -> Callable[[str], list[str]]:
     return lambda text: whole.findall(text) if beyond.search(text) else fast.findall(text)
 
 
-_LOADED: dict[str, tuple[PrefixBPE, dict[str, bytes]]] = {}
+class PieceCache:
+    """Ids of pieces, as bytes. Bounded in bytes; a piece too large for it is encoded each time."""
 
+    def __init__(self, bpe: PrefixBPE, most: int = MAX_CACHE_BYTES):
+        self.bpe, self.most, self.size, self.known = bpe, most, 0, {}
 
-def _loaded(data: bytes) -> tuple[PrefixBPE, dict[str, bytes]]:
-    key = hashlib.sha256(data).hexdigest()
-    if key not in _LOADED:
-        _LOADED[key] = (PrefixBPE.from_rank_file(data), {})
-    return _LOADED[key]
+    def ids(self, pieces: list[str]) -> bytes:
+        known, out = self.known, []
+        for piece in pieces:
+            ids = known.get(piece)
+            if ids is None:
+                ids = np.array(self.bpe.encode_piece(piece.encode()), dtype="<u4").tobytes()
+                size = 4 * len(piece) + len(ids) + _ENTRY_BYTES
+                if size <= self.most // 64:
+                    if self.size + size > self.most:
+                        known.clear()
+                        self.size = 0
+                    known[piece] = ids
+                    self.size += size
+            out.append(ids)
+        return b"".join(out)
 
 
-_TOKENS: dict[str, np.ndarray] = {}
+def token_table(ranks: dict[bytes, int]) -> np.ndarray:
+    """The bytes of each token by its rank; None where there is none."""
+    table = np.full(max(ranks.values()) + 1, None, dtype=object)
+    for token, rank in ranks.items():
+        table[rank] = token
+    return table
 
 
-def _token_table(data: bytes) -> np.ndarray:
-    """The bytes of each token by its rank: all that decoding needs of a rank file."""
-    key = hashlib.sha256(data).hexdigest()
-    if key not in _TOKENS:
-        ranks = read_ranks(data)
-        table = np.full(max(ranks.values()) + 1, None, dtype=object)
-        for token, rank in ranks.items():
-            table[rank] = token
-        _TOKENS[key] = table
-    return _TOKENS[key]
+def _decoded(table: np.ndarray, ids: bytes) -> bytes:
+    return b"".join(table[np.frombuffer(ids, "<u4")].tolist())
 
 
 def _broadcast_ranks(df: DataFrame, rank_file: str):
@@ -253,31 +266,33 @@ def _broadcast_ranks(df: DataFrame, rank_file: str):
     return df.sparkSession.sparkContext.broadcast(data)
 
 
-def encode(df: DataFrame, rank_file: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+def encode(
+    df: DataFrame, rank_file: str, pattern: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None
+) -> DataFrame:
     """Each row with the token ids of its whole text instead of the text.
 
     ids_col is binary: ids as little-endian unsigned 32-bit integers, in order.
-    The other columns pass through; one that is named like ids_col is replaced.
-    A null text counts as empty and gives no ids. Repeated rows and rows with a
-    null id each give a row; no rows give no rows.
+    With decoded_col, the ids are decoded again in the same task, as decode does.
+    The other columns pass through; one that is named like a new one is replaced.
+    A null text counts as empty and gives no ids; a very long one is encoded in a
+    batch of its own. Repeated rows and rows with a null id each give a row; no
+    rows give no rows. Tables and caches belong to a task and end with it.
     """
     sent = _broadcast_ranks(df, rank_file)
-    keep = [c for c in df.columns if c not in (text_col, ids_col)]
-    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(ids_col, T.BinaryType())])
+    new = [ids_col] if decoded_col is None else [ids_col, decoded_col]
+    keep = [c for c in df.columns if c not in (text_col, *new)]
+    schema = T.StructType([*(df.schema[c] for c in keep), *(T.StructField(c, T.BinaryType()) for c in new)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, cache = _loaded(sent.value)
-        find = splitter(pattern)
-        for batch in batches:
-            out = []
-            for text in batch.column(text_col):
-                pieces = find(text.as_py() or "")
-                if len(cache) > MAX_CACHED:
-                    cache.clear()
-                for piece in set(pieces).difference(cache):
-                    cache[piece] = np.array(bpe.encode_piece(piece.encode()), dtype="<u4").tobytes()
-                out.append(b"".join(map(cache.__getitem__, pieces)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.binary())], [*keep, ids_col])
+        ranks = read_ranks(sent.value)
+        cache, find = PieceCache(PrefixBPE(ranks)), splitter(pattern)
+        table = token_table(ranks) if decoded_col is not None else None
+        for batch in _text.slices(batches, text_col):
+            out = [cache.ids(find(text.as_py() or "")) for text in batch.column(text_col)]
+            made = [pa.array(out, pa.binary())]
+            if table is not None:
+                made.append(pa.array([_decoded(table, ids) for ids in out], pa.binary()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], [*keep, *new])
 
     return df.select(*keep, F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, schema)
 
@@ -285,19 +300,17 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text_col: str = "text",
 def decode(df: DataFrame, rank_file: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """Each row with the bytes that its ids stand for, beside all its columns.
 
-    Null ids give null bytes. An id outside the vocabulary raises an error.
+    Null ids give null bytes. An id outside the vocabulary raises an error. A
+    column named like bytes_col is replaced; no rows give no rows.
     """
     sent = _broadcast_ranks(df, rank_file)
     keep = [c for c in df.columns if c != bytes_col]
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(bytes_col, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _token_table(sent.value)
-        for batch in batches:
-            out = []
-            for ids in batch.column(ids_col):
-                ids = ids.as_py()
-                out.append(None if ids is None else b"".join(table[np.frombuffer(ids, "<u4")].tolist()))
+        table = token_table(read_ranks(sent.value))
+        for batch in _text.slices(batches, ids_col):
+            out = [None if ids is None else _decoded(table, ids) for ids in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.binary())], [*keep, bytes_col])
 
     return df.mapInArrow(run, schema)

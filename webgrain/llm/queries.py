@@ -88,8 +88,7 @@ def op4_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path(RANKS)
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe_prefix.encode(docs, ranks, public_tokenizers.PATTERN)
-    return bpe_prefix.decode(ids, ranks).select(
+    return bpe_prefix.encode(docs, ranks, public_tokenizers.PATTERN, decoded_col="decoded").select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
