@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -36,9 +37,9 @@ from webgrain.llm import _text
 #: The rank file is broadcast; a larger one is refused.
 MAX_RANK_FILE_BYTES = 64 << 20
 #: Bytes of pieces and ids that a task's cache holds, and entries of its table of token pairs; a full one is emptied.
-MAX_CACHE_BYTES, MAX_PAIRS = 24 << 20, 100_000
-#: What an entry costs beside its bytes.
-_ENTRY_BYTES = 200
+MAX_CACHE_BYTES, MAX_PAIRS = 64 << 20, 100_000
+#: What an entry costs beside its bytes, and pieces that are looked up at once.
+_ENTRY_BYTES, _AT_ONCE = 200, 1 << 14
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -224,28 +225,38 @@ def splitter(pattern: str) -> Callable[[str], list[str]]:
 
 
 class PieceCache:
-    """Ids of pieces, as bytes. Bounded in bytes; a piece too large for it is encoded each time."""
+    """Ids of pieces, as bytes. Bounded in bytes, but for the pieces looked up at once."""
 
     def __init__(self, bpe: PrefixBPE, most: int = MAX_CACHE_BYTES):
         self.bpe, self.most, self.size, self.known = bpe, most, 0, {}
 
     def ids(self, pieces: list[str]) -> bytes:
-        known, out = self.known, []
-        for piece in pieces:
-            ids = known.get(piece)
-            if ids is None:
+        out = []
+        for at in range(0, len(pieces), _AT_ONCE):
+            some = pieces[at : at + _AT_ONCE]
+            if self.size > self.most:
+                self.known.clear()
+                self.size = 0
+            for piece in set(some).difference(self.known):
                 ids = np.array(self.bpe.encode_piece(piece.encode()), dtype="<u4").tobytes()
-                size = 4 * len(piece) + len(ids) + _ENTRY_BYTES
-                if size <= self.most // 64:
-                    if self.size + size > self.most:
-                        known.clear()
-                        self.size = 0
-                    known[piece] = ids
-                    self.size += size
-            out.append(ids)
+                self.known[piece] = ids
+                self.size += len(piece) + len(ids) + _ENTRY_BYTES
+            out.append(b"".join(map(self.known.__getitem__, some)))
         return b"".join(out)
 
 
+#: The vocabulary that a worker has read last; it holds no texts and does not grow with them.
+_READ: dict[str, PrefixBPE] = {}
+
+
+def _loaded(data: bytes) -> PrefixBPE:
+    key = hashlib.sha256(data).hexdigest()
+    if key not in _READ:
+        _READ.clear()
+        _READ[key] = PrefixBPE.from_rank_file(data)
+    return _READ[key]
+
+
 def token_table(ranks: dict[bytes, int]) -> np.ndarray:
     """The bytes of each token by its rank; None where there is none."""
     table = np.full(max(ranks.values()) + 1, None, dtype=object)
@@ -276,7 +287,7 @@ def encode(
     The other columns pass through; one that is named like a new one is replaced.
     A null text counts as empty and gives no ids; a very long one is encoded in a
     batch of its own. Repeated rows and rows with a null id each give a row; no
-    rows give no rows. Tables and caches belong to a task and end with it.
+    rows give no rows. The cache of pieces belongs to a task and ends with it.
     """
     sent = _broadcast_ranks(df, rank_file)
     new = [ids_col] if decoded_col is None else [ids_col, decoded_col]
@@ -284,9 +295,9 @@ def encode(
     schema = T.StructType([*(df.schema[c] for c in keep), *(T.StructField(c, T.BinaryType()) for c in new)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = read_ranks(sent.value)
-        cache, find = PieceCache(PrefixBPE(ranks)), splitter(pattern)
-        table = token_table(ranks) if decoded_col is not None else None
+        bpe = _loaded(sent.value)
+        cache, find = PieceCache(bpe), splitter(pattern)
+        table = token_table(bpe.ranks) if decoded_col is not None else None
         for batch in _text.slices(batches, text_col):
             out = [cache.ids(find(text.as_py() or "")) for text in batch.column(text_col)]
             made = [pa.array(out, pa.binary())]
