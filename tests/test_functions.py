@@ -91,14 +91,15 @@ def test_refine_palette(spark):
 
     darks = refine(["#0a0a0a", "#0b0b0b", "#0c0c0c", "#0d0d0d", "#0e0e0e"])
     assert darks["distinct_count"] <= 2 and 1 <= len(darks["colors"]) <= 4
+    # Four alike blues weigh more together than one red: both stay, the blues as one.
     blues = refine(["#c0392b", "#1e5aa8", "#1f5ba9", "#205caa", "#1d59a7", "#ffffff"])["colors"]
-    assert blues[0] == "#c0392b" and sum(c.startswith(("#1", "#20")) for c in blues) == 1
+    assert "#c0392b" in blues and sum(c.startswith(("#1", "#20")) for c in blues) == 1
     assert refine([])["colors"] == [] and refine(None)["colors"] == []
 
 
 def test_status(spark):
     assert values(spark, status.status, ["Success", "no data", "", None, "weird", "timeout", "OK"]) == ["success", "not_run", "not_run", "not_run", "failed", "failed", "success"]
     assert values(spark, status.run_id_iso, ["20240102030405", "20240102030405678", "x", "20249902030405"]) == ["2024-01-02T03:04:05.000Z", "2024-01-02T03:04:05.678Z", None, None]
-    assert values(spark, status.score_kind, ["", "N/A", "2", "2.0", "7"]) == ["blank", "na", "2", "2", "invalid"]
+    assert values(spark, status.score_kind, ["", "N/A", "2", " 3 ", "2.0", "na", "7"]) == ["blank", "na", "2", "3", "invalid", "invalid", "invalid"]
     assert values(spark, lambda c: status.depth_bucket(status.pages_inspected(c)), ["", "0", "3", "5 pages", "9"]) == ["0", "0", "3", "4-5", "6+"]
     assert values(spark, lambda c: status.short_number(c.try_cast("double")), ["2.5", "3", "x"]) == ["2.5", "3", ""]

@@ -60,7 +60,7 @@ def sort_millis(processed_at: Column, run_id: Column, queue: Column) -> Column:
 def score_kind(c: Column) -> Column:
     """blank, na, 0, 1, 2, 3 or invalid."""
     t = F.lower(trim(c))
-    return F.when(t == "", "blank").when(t.isin("n/a", "na"), "na").when(t.rlike(r"^[0-3](\.0+)?$"), F.substring(t, 1, 1)).otherwise("invalid")
+    return F.when(t == "", "blank").when(t == "n/a", "na").when(t.isin("0", "1", "2", "3"), t).otherwise("invalid")
 
 
 def score_value(c: Column) -> Column:
@@ -86,4 +86,5 @@ def depth_bucket(pages: Column) -> Column:
 
 def short_number(c: Column) -> Column:
     """Three decimals at most, without closing zeros; '' for null."""
-    return F.coalesce(F.regexp_replace(F.regexp_replace(F.format_string("%.3f", c), "0+$", ""), r"\.$", ""), F.lit(""))
+    text = F.regexp_replace(F.regexp_replace(F.format_string("%.3f", c), "0+$", ""), r"\.$", "")
+    return F.when(c.isNotNull(), text).otherwise("")

@@ -10,6 +10,8 @@ from webgrain.functions.base import percent, trim
 from webgrain.operators.presence import FIELDS
 
 STRONG, WEAK = 80, 50
+#: The metrics of a snapshot, in order.
+METRICS = [*FIELDS, *(f"pages_{b}" for b in status.DEPTH_BUCKETS)]
 
 
 def _is_success() -> Column:
@@ -41,13 +43,13 @@ def snapshot(reviews: DataFrame, snapshot_id: str) -> DataFrame:
 
 
 def compare_snapshots(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(metric, pct_before, pct_after, delta, text); the largest changes have the lowest rank."""
+    """(metric, pct_before, pct_after, delta, text); the largest changes have the lowest rank, ties in the order of METRICS."""
     b = before.select("metric", F.col("pct").alias("pct_before"))
     a = after.select("metric", F.col("pct").alias("pct_after"))
     rows = a.join(b, "metric").withColumn("delta", F.col("pct_after") - F.col("pct_before"))
     sign = F.when(F.col("delta") > 0, "+").otherwise("")
     text = F.concat("metric", F.lit(": "), "pct_before", F.lit("% → "), "pct_after", F.lit("% ("), sign, "delta", F.lit(" pts)"))
-    rank = F.row_number().over(Window.orderBy(F.abs("delta").desc(), "metric"))
+    rank = F.row_number().over(Window.orderBy(F.abs("delta").desc(), F.array_position(F.array(*map(F.lit, METRICS)), F.col("metric"))))
     return rows.select("metric", "pct_before", "pct_after", "delta", text.alias("text"), rank.cast("long").alias("rank"))
 
 

@@ -12,6 +12,8 @@ from webgrain.operators.presence import FIELDS
 
 #: Reviews up to this many rows are broadcast; beyond, Spark chooses the join.
 MAX_BROADCAST = 100_000
+#: Ranges that a total order is numbered in, and rows that their bounds are taken from.
+RANGES, SAMPLE = 64, 6_400
 
 
 def review_index(reviews: DataFrame, seq_col: str = "seq") -> DataFrame:
@@ -93,17 +95,30 @@ def sort_rank(inventory: DataFrame, mode: str) -> DataFrame:
     """The inventory with rank, from 1, in one of five orders: recent, original, domain, status, needs_work.
 
     A total order of the viewer's table; for pages of it take orderBy and limit.
+    Ranges of the order are numbered apart and moved by the counts of the ranges
+    before them; their bounds come from a sample, the ranks from all rows.
     """
     recent = F.coalesce(status.sort_millis(F.col("review.processed_at"), F.col("review.extraction_run_id"), F.col("review.source_review_queue")), F.lit(0))
-    orders = {
-        "recent": [F.desc("_recent"), F.asc("original_index")],
-        "original": [F.asc("original_index")],
-        "domain": [F.asc("canonical_domain"), F.asc("original_index")],
-        "status": [F.desc("_rank"), F.asc("original_index")],
-        "needs_work": [F.desc("_work"), F.asc("original_index")],
-    }
-    keyed = inventory.withColumns({"_recent": recent, "_rank": status.outcome_rank(F.col("extraction_status")), "_work": F.coalesce(_failed(), F.lit(False))})
-    return keyed.withColumn("rank", F.row_number().over(Window.orderBy(*orders[mode])).cast("long")).drop("_recent", "_rank", "_work")
+    first = {
+        "recent": -recent,
+        "original": F.lit(0),
+        "domain": F.coalesce("canonical_domain", F.lit("")),
+        "status": -status.outcome_rank(F.col("extraction_status")),
+        "needs_work": F.when(_failed(), 0).otherwise(1),
+    }[mode]
+    keyed = inventory.withColumn("_by", F.struct(first.alias("a"), F.col("original_index").alias("b")))
+    sample = keyed.select("_by").orderBy(F.xxhash64("_by"), "_by").limit(SAMPLE).orderBy("_by").collect()
+    kind = keyed.schema["_by"].dataType.simpleString()
+    bounds = [F.struct(F.lit(r["_by"]["a"]), F.lit(r["_by"]["b"])).cast(kind) for r in sample[:: -(-len(sample) // RANGES) or 1][1:]]
+    range_of = F.lit(0)
+    for bound in bounds:
+        range_of = range_of + (F.col("_by") >= bound).cast("int")
+    keyed = keyed.withColumn("_range", range_of)
+    counts = keyed.groupBy("_range").agg(F.count("*").alias("n"))  # RANGES rows at most
+    offsets = counts.select("_range", F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy("_by"))
+    ranked = keyed.join(F.broadcast(offsets), "_range").withColumn("rank", (inside + F.col("_before")).cast("long"))
+    return ranked.drop("_by", "_range", "_before")
 
 
 def latest_batch(reviews: DataFrame) -> DataFrame:

@@ -32,6 +32,11 @@ def plain_text(html: Column) -> Column:
     return trim(F.regexp_replace(bare, r"[\s ]+", " "))
 
 
+def without_scripts(html: Column) -> Column:
+    """Markup without scripts, styles and comments, whose text is no part of the page."""
+    return F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " ")
+
+
 def title(html: Column) -> Column:
     return plain_text(_first(html, r"(?is)<title[^>]*>(.*?)</title>"))
 
@@ -66,7 +71,8 @@ def phone_links(html: Column) -> Column:
 
 def font_families(html: Column) -> Column:
     """Families of font-family declarations and of Google font links, distinct, without keywords."""
-    css = F.flatten(F.transform(_all(html, r"(?i)font-family\s*:\s*([^;}\"]+)"), lambda f: F.split(f, ",")))
+    name = r"""(?:"[^"<>]*"|'[^'<>]*'|[^;}"',]+)"""
+    css = F.flatten(F.transform(_all(html, rf"(?i)font-family\s*:\s*({name}(?:\s*,\s*{name})*)"), lambda f: F.split(f, ",")))
     google = F.transform(_all(html, r"(?i)fonts\.googleapis\.com/css2?\?family=([^:&\"']+)"), lambda f: F.replace(f, F.lit("+"), F.lit(" ")))
     names = F.transform(F.concat(google, css), lambda f: trim(F.regexp_replace(f, "[\"']", "")))
     keep = F.filter(names, lambda f: (f != "") & ~f.rlike(r"^(?i)(inherit|initial|unset|serif|sans-serif|monospace|cursive|system-ui|var\(.*|[\d.]+(px|em|rem|%)?)$"))
@@ -108,7 +114,7 @@ def site_links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     inside their page's row, so nothing but short rows is shuffled.
     """
     home = U.page_key(F.col(url_col))
-    links = F.transform(hrefs(F.col(html_col)), lambda h, i: F.struct(absolute(h, F.col(url_col)).alias("url"), i.alias("at")))
+    links = F.transform(hrefs(without_scripts(F.col(html_col))), lambda h, i: F.struct(absolute(h, F.col(url_col)).alias("url"), i.alias("at")))
     each = pages.select(F.col(id_col), F.col(url_col).alias("_base"), home.alias("_home"), F.explode(links).alias("l"))
     each = each.select(id_col, "_base", "_home", F.col("l.url").alias("url"), F.col("l.at").alias("at"), U.page_key(F.col("l.url")).alias("key"))
     kept = each.filter(U.same_host(F.col("url"), F.col("_base")) & ~F.col("url").rlike(ASSET) & (F.col("key") != F.col("_home")))
@@ -120,21 +126,26 @@ def site_links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
 
 def pick_extra_pages(links: DataFrame, id_col: str = "page_id", most: int = 3) -> DataFrame:
-    """Of each page up to three links: the best of about, services, contact and portfolio, then the best of the rest."""
-    kind = F.array_position(F.array(*(F.lit(t) for t in ("about", "services", "contact", "portfolio"))), F.col("page_type"))
-    in_kind = F.row_number().over(Window.partitionBy(id_col, "page_type").orderBy("rank"))
-    turn = F.when((kind > 0) & (in_kind == 1), kind).otherwise(5)
+    """Of each page up to three links, by rank: all about, then all services, contact or portfolio, positive scores, the rest."""
+    kind = F.col("page_type")
+    turn = (
+        F.when(kind == "about", 1)
+        .when(kind == "services", 2)
+        .when(kind.isin("contact", "portfolio"), 3)
+        .when(F.col("score") > 0, 4)
+        .otherwise(5)
+    )
     picked = links.withColumn("turn", turn).withColumn("pick", F.row_number().over(Window.partitionBy(id_col).orderBy("turn", "rank")))
     return picked.filter(F.col("pick") <= most)
 
 
 def page_features(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Every page with its features in place of the markup; a null page has empty ones."""
-    h = F.col(html_col)
+    h = without_scripts(F.col(html_col))
     new = {
         "title": title(h), "heading": heading(h), "description": meta(h, "description"), "og_title": meta(h, "og:title"),
         "footer": footer_text(h), "emails": distinct_capped(mail_links(h), 16), "phones": distinct_capped(phone_links(h), 16),
-        "fonts": font_families(h), "n_links": F.size(hrefs(h)), "text": plain_text(h),
+        "fonts": font_families(F.col(html_col)), "n_links": F.size(hrefs(h)), "text": plain_text(h),
         "page_type": U.page_type(F.regexp_extract(url_col, r"^(?i)https?://[^/?#]+([^?#]*)", 1)),
     }
     return pages.select(*(c for c in pages.columns if c not in (*new, html_col)), *(v.alias(k) for k, v in new.items()))

@@ -49,4 +49,4 @@ def exact_score(expected: Column, found: Column) -> Column:
 
 
 def present_score(found: Column) -> Column:
-    return F.when(trim(found) == "", "0").otherwise("present")
+    return F.when(trim(found) == "", "0").otherwise("review")

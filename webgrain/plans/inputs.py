@@ -14,7 +14,7 @@ CANDIDATES = {
     "raw_url": """CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN concat('(', url, ').')
         WHEN 2 THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) WHEN 3 THEN concat(regexp_extract(url, '^(https?://[^/?#]+/[^/?#]+)', 1), '/')
         WHEN 4 THEN concat(regexp_extract(url, '^(https?://[^/?#]+/[^/?#]+)', 1), '?b=2&utm_source=x&a=1') ELSE regexp_extract(url, '^https?://(.*)$', 1) END""",
-    "normalized_url": "CASE WHEN page_id % 6 IN (0, 2) THEN regexp_extract(url, '^([^?#]*)', 1) ELSE '' END",
+    "normalized_url": "CASE WHEN page_id % 6 = 0 THEN regexp_extract(url, '^([^?#]*)', 1) ELSE '' END",
     "domain": "CASE WHEN page_id % 9 = 0 THEN '' ELSE regexp_extract(url, '^https?://([^/?#]+)', 1) END",
     "canonical_domain": "CASE WHEN page_id % 9 < 5 THEN '' ELSE regexp_replace(regexp_extract(url, '^https?://([^/?#]+)', 1), '^www[.]', '') END",
     "source_column": "CASE page_id % 3 WHEN 0 THEN 'website_url' WHEN 1 THEN 'first_req_note' ELSE 'first_req_description' END",
@@ -28,8 +28,11 @@ REVIEWS = {
     "project_type": "''",
     "shop_code": "''",
     "source_column": "'website_url'",
-    "normalized_url": "regexp_extract(url, '^(https?://[^/?#]+)', 1)",
-    "domain": "regexp_extract(url, '^https?://([^/?#]+)', 1)",
+    # Two thirds of the reviews are of other sites, so that some candidates have none.
+    "normalized_url": """CASE WHEN page_id % 3 = 0 THEN regexp_extract(url, '^(https?://[^/?#]+)', 1)
+        ELSE concat('https://old-', regexp_replace(regexp_extract(url, '^https?://([^/?#]+)', 1), '^www[.]', '')) END""",
+    "domain": """CASE WHEN page_id % 3 = 0 THEN regexp_extract(url, '^https?://([^/?#]+)', 1)
+        ELSE concat('old-', regexp_replace(regexp_extract(url, '^https?://([^/?#]+)', 1), '^www[.]', '')) END""",
     "canonical_domain": "''",
     "status": "CASE page_id % 7 WHEN 0 THEN 'fetch_error' WHEN 1 THEN 'OK' WHEN 2 THEN 'odd' ELSE 'success' END",
     "error_message": "CASE WHEN page_id % 7 = 0 THEN concat('HTTP 403 for ', regexp_extract(url, '^([^?#]*)', 1), ' (blocked)') ELSE '' END",

@@ -57,12 +57,12 @@ def merge_full_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inventory_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    inv = inventory.build_inventory(I.derive(spark, sf_dir, I.CANDIDATES), _reviews(spark, sf_dir).filter("seq % 3 = 0"))
+    inv = inventory.build_inventory(I.derive(spark, sf_dir, I.CANDIDATES), _reviews(spark, sf_dir))
     return inv.select("seq", "extraction_status", F.col("review.seq").alias("review_seq"))
 
 
 def _inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inventory.build_inventory(I.derive(spark, sf_dir, I.CANDIDATES), _reviews(spark, sf_dir).filter("seq % 3 = 0"))
+    return inventory.build_inventory(I.derive(spark, sf_dir, I.CANDIDATES), _reviews(spark, sf_dir))
 
 
 def inventory_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +81,7 @@ def _sorted(mode: str):
     return run
 
 
-_INV = f"""{_R}, b AS (SELECT * FROM r WHERE seq % 3 = 0),
+_INV = f"""{_R}, b AS (SELECT * FROM r),
   k AS (SELECT unnest(list_distinct([{S.canonical(S.host_of("normalized_url"))}, {S.domain_key("canonical_domain", "domain", "''", "''")}])) AS domain_key, b.* FROM b),
   i AS (SELECT * FROM k WHERE domain_key IS NOT NULL AND domain_key <> '' QUALIFY row_number() OVER (PARTITION BY domain_key ORDER BY seq DESC) = 1),
   c AS ({I.sql(I.CANDIDATES)}),
@@ -123,9 +123,13 @@ def scrape_depth_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.scrape_depth(_reviews(spark, sf_dir), status.pages_inspected(F.col("pages_inspected")))
 
 
+#: Runs from here on are not yet in the earlier snapshot.
+_SECOND_RUNS = "20240106"
+
+
 def coverage_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _reviews(spark, sf_dir)
-    return coverage.compare_snapshots(coverage.snapshot(rows.filter("seq % 2 = 0"), "a"), coverage.snapshot(rows, "b"))
+    return coverage.compare_snapshots(coverage.snapshot(rows.filter(f"extraction_run_id < '{_SECOND_RUNS}'"), "a"), coverage.snapshot(rows, "b"))
 
 
 def palette_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,7 +176,7 @@ def publish_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SUCCESS = "status = 'success'"
-_KIND = """CASE WHEN lower(trim({0})) = '' THEN 'blank' WHEN lower(trim({0})) IN ('n/a', 'na') THEN 'na' WHEN regexp_matches(trim({0}), '^[0-3]([.]0+)?$') THEN trim({0})[1] ELSE 'invalid' END"""
+_KIND = """CASE WHEN lower(trim({0})) = '' THEN 'blank' WHEN lower(trim({0})) = 'n/a' THEN 'na' WHEN trim({0}) IN ('0', '1', '2', '3') THEN trim({0}) ELSE 'invalid' END"""
 _BUCKET = "CASE WHEN p <= 0 THEN '0' WHEN p <= 3 THEN CAST(p AS VARCHAR) WHEN p <= 5 THEN '4-5' ELSE '6+' END"
 
 
@@ -197,8 +201,8 @@ def _snapshot(where: str) -> str:
 _FLAGS = {"email": "emails", "phone": "phones", "address": "address", "social": "social"}
 _DELTA = f"""{_R}, x AS (SELECT *, {_KEY} AS site_key, {_status("status")} AS st FROM r),
   old AS (SELECT * FROM x WHERE seq % 2 = 0 QUALIFY row_number() OVER (PARTITION BY site_key ORDER BY seq DESC) = 1),
-  d AS (SELECT n.site_key, coalesce(o.st, 'not_run') AS status_before, n.st AS status_after, {", ".join(
-    f"CASE WHEN n.st <> 'success' THEN 'unchanged' WHEN {has_n} AND NOT coalesce({has_o}, FALSE) THEN 'gained' WHEN NOT {has_n} AND coalesce({has_o}, FALSE) THEN 'lost' ELSE 'unchanged' END AS {f}"
+  d AS (SELECT n.site_key, coalesce(o.st, 'not_run') AS status_before, n.st AS status_after, NOT ({" AND ".join(f"CASE WHEN n.st = 'success' OR o.seq IS NULL THEN n.{_HAS[g]} ELSE o.{_HAS[g]} END" for g in _FLAGS.values())}) AS still_missing, {", ".join(
+    f"CASE WHEN o.seq IS NULL OR n.st <> 'success' OR {has_n} = {has_o} THEN 'unchanged' WHEN {has_n} THEN 'gained' ELSE 'lost' END AS {f}"
     for f, (has_n, has_o) in ((f, (f"(n.{_HAS[g]})", f"(o.{_HAS[g]})")) for f, g in _FLAGS.items())
   )} FROM (SELECT * FROM x WHERE seq % 2 = 1) n LEFT JOIN old o USING (site_key))"""
 _ANY = {how: "(" + " OR ".join(f"{f} = '{how}'" for f in _FLAGS) + ")" for how in ("gained", "lost")}
@@ -248,8 +252,8 @@ SQL = {
     "viewer_query_filters": f"WITH {_R} SELECT seq, domain FROM r WHERE {_HAS['logos']} AND extracted_emails = '' AND {_status('status')} <> 'not_run' AND contains(lower(domain || ' ' || extracted_business_name), 'th')",
     "coverage_fields": f"WITH {_R} SELECT *, CASE WHEN pct >= 80 THEN 'strong' WHEN pct < 50 THEN 'weak' ELSE '' END AS verdict FROM ({_field_rows('TRUE')})",
     "scrape_depth_histogram": f"WITH {_R} {_depth_rows('TRUE')}",
-    "coverage_delta": f"""WITH {_R}, a AS ({_snapshot("seq % 2 = 0")}), b AS ({_snapshot("TRUE")}), d AS (SELECT metric, a.pct AS pct_before, b.pct AS pct_after, b.pct - a.pct AS delta FROM b JOIN a USING (metric))
-      SELECT *, concat(metric, ': ', pct_before, '% → ', pct_after, '% (', CASE WHEN delta > 0 THEN '+' ELSE '' END, delta, ' pts)') AS text, row_number() OVER (ORDER BY abs(delta) DESC, metric) AS rank FROM d""",
+    "coverage_delta": f"""WITH {_R}, a AS ({_snapshot(f"extraction_run_id < '{_SECOND_RUNS}'")}), b AS ({_snapshot("TRUE")}), d AS (SELECT metric, a.pct AS pct_before, b.pct AS pct_after, b.pct - a.pct AS delta FROM b JOIN a USING (metric))
+      SELECT *, concat(metric, ': ', pct_before, '% → ', pct_after, '% (', CASE WHEN delta > 0 THEN '+' ELSE '' END, delta, ' pts)') AS text, row_number() OVER (ORDER BY abs(delta) DESC, list_position({coverage.METRICS}, metric)) AS rank FROM d""",
     "palette_diagnostics": f"WITH {_R} SELECT count(*) FILTER ({_HAS['colors']}) AS with_colors, count(*) FILTER (palette_source <> '') AS with_source, count(*) FILTER ({_HAS['colors']} AND palette_source = '') AS colors_without_source FROM r WHERE {_SUCCESS}",
     "missing_contact": f"WITH {_R} SELECT count(*) AS total, "
     + ", ".join(f"count(*) FILTER (NOT ({_HAS[f]})) AS missing_{f}" for f in ("emails", "phones", "address", "social"))
@@ -261,7 +265,8 @@ SQL = {
     "contact_delta": f"WITH {_DELTA} SELECT * FROM d",
     "contact_delta_counts": f"WITH {_DELTA} SELECT count(*) AS n_rows, count(*) FILTER (status_after = 'success') AS n_success, count(*) FILTER (status_after = 'failed') AS n_failed, count(*) FILTER (status_before = 'success') AS n_success_before, "
     + ", ".join(f"count(*) FILTER ({f} = '{how}') AS {f}_{how}" for f in _FLAGS for how in ("gained", "lost"))
-    + f", count(*) FILTER ({_ANY['gained']} AND NOT {_ANY['lost']}) AS n_improved, count(*) FILTER ({_ANY['lost']}) AS n_regressed FROM d",
+    + f", count(*) FILTER ({_ANY['gained']}) AS n_any_gained, count(*) FILTER (NOT {_ANY['gained']} AND NOT {_ANY['lost']}) AS n_unchanged, count(*) FILTER ({_ANY['lost']}) AS n_lost"
+    + f", count(*) FILTER (NOT {_ANY['gained']} AND NOT {_ANY['lost']} AND still_missing) AS n_still_missing FROM d",
     "publish_sanitize": rf"""WITH {_R} SELECT seq, {_HOST} AS domain, 'https://' || {_HOST} AS normalized_url, status,
       trim(regexp_replace(regexp_replace(error_message, '(?i)https?://[^\s)]+', '[url]', 'g'), '(?i)[a-z0-9-]+\.(com|net|org|io)/[^\s)]+', '[path]', 'g')) AS error_message, extracted_business_name, processed_at FROM r""",
     "publish_collapse": f"""WITH {_R}, p AS (SELECT *, 'https://' || {_HOST} AS u, CASE {_status("status")} WHEN 'success' THEN 3 WHEN 'failed' THEN 2 ELSE 1 END AS o FROM r),

@@ -36,9 +36,8 @@ def excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_overlap_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    a, b = turns.filter("turn = 0"), turns.filter("turn = 1")
-    both = a.select("conv_id", F.col("text").alias("x")).join(b.select("conv_id", F.col("text").alias("y")), "conv_id")
-    return both.select("conv_id", text.overlap_hint(F.col("x"), F.col("y")).alias("hint"))
+    a, b = turns.select("conv_id", "turn", F.col("text").alias("x")), turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("y"))
+    return a.join(b, ["conv_id", "turn"]).select("conv_id", "turn", text.overlap_hint(F.col("x"), F.col("y")).alias("hint"))
 
 
 def color_lab(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,8 +81,9 @@ def _plain(x: str) -> str:
     return _TRIM.format(rf"regexp_replace({bare}, '[\s ]+', ' ', 'g')")
 
 
+_BARE = r"(SELECT page_id, url, regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', ' ', 'g') AS html FROM pages)"
 _WORDS = ["about", "contact", "service", "product", "portfolio", "work", "team", "story", "menu", "shop", "location"]
-_LINKS = rf"""h AS (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\b[^>]*\bhref=["'']([^"'']*)["'']', 1) AS hs FROM pages),
+_LINKS = rf"""h AS (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\b[^>]*\bhref=["'']([^"'']*)["'']', 1) AS hs FROM {_BARE}),
   e AS (SELECT page_id, url AS base, unnest(hs) AS h, generate_subscripts(hs, 1) - 1 AS nr FROM h),
   a AS (SELECT page_id, base, nr, CASE WHEN starts_with(h, '/') THEN regexp_extract(base, '^(?i)(https?://[^/?#]+)', 1) || h ELSE h END AS url FROM e WHERE starts_with(h, '/') OR regexp_matches(h, '^https?://')),
   k AS (SELECT *, regexp_replace(lower(regexp_replace(url, '#.*$', '')), '/+$', '') AS key, regexp_replace(lower(regexp_replace(base, '#.*$', '')), '/+$', '') AS home FROM a
@@ -116,8 +116,8 @@ SQL = {
         || CASE WHEN length(doc_id::VARCHAR) >= 3 THEN ', +44 20 ' || doc_id ELSE '' END AS phones, 'a' || doc_id || '@ex.org' AS emails
       FROM (SELECT doc_id, lpad(CAST(doc_id * 7919 % 1000000000 AS VARCHAR), 9, '0') || '0' AS d FROM documents)""",
     "excerpt": f"SELECT doc_id, CASE WHEN length(t) <= 240 THEN t ELSE t[1:239] || '…' END AS excerpt FROM (SELECT doc_id, {_TRIM.format(r'''regexp_replace(text, '[\s ]+', ' ', 'g')''')} AS t FROM documents)",
-    "token_overlap_hint": f"""SELECT conv_id, CASE WHEN len(x) = 0 OR len(y) = 0 THEN '' WHEN o >= 0.5 THEN 'high' WHEN o >= 0.2 THEN 'partial' ELSE 'low' END AS hint FROM (
-      SELECT *, len(list_intersect(x, y)) / greatest(len(x), len(y)) AS o FROM (SELECT a.conv_id, {_TOKENS.format("a.text")} AS x, {_TOKENS.format("b.text")} AS y FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1))""",
+    "token_overlap_hint": f"""SELECT conv_id, turn, CASE WHEN len(x) = 0 OR len(y) = 0 THEN '' WHEN o >= 0.5 THEN 'high' WHEN o >= 0.2 THEN 'partial' ELSE 'low' END AS hint FROM (
+      SELECT *, len(list_intersect(x, y)) / greatest(len(x), len(y)) AS o FROM (SELECT a.conv_id, a.turn, {_TOKENS.format("a.text")} AS x, {_TOKENS.format("b.text")} AS y FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1))""",
     "color_lab": f"""WITH c AS (SELECT doc_id, (doc_id * 7919 % 16777216) // 65536 AS r, (doc_id * 7919 % 16777216) // 256 % 256 AS g, doc_id * 7919 % 256 AS b FROM documents),
       l AS (SELECT *, {_LIN.format("r")} AS lr, {_LIN.format("g")} AS lg, {_LIN.format("b")} AS lb, greatest(r, g, b) / 255.0 AS hi, least(r, g, b) / 255.0 AS lo FROM c),
       x AS (SELECT *, (lr * 0.4124 + lg * 0.3576 + lb * 0.1805) / 0.95047 AS x, lr * 0.2126 + lg * 0.7152 + lb * 0.0722 AS y, (lr * 0.0193 + lg * 0.1192 + lb * 0.9505) / 1.08883 AS z, (hi + lo) / 2 AS light FROM l),
@@ -125,10 +125,9 @@ SQL = {
       SELECT doc_id, round(116 * fy - 16, 6) AS l, round(500 * (fx - fy), 6) AS a, round(200 * (fy - fz), 6) AS b, round(1.05 / (y + 0.05), 6) AS contrast,
         CASE WHEN light < 0.08 THEN 'dark' WHEN light > 0.92 AND sat < 0.12 THEN 'light' WHEN sat < 0.15 AND light > 0.12 AND light < 0.88 THEN 'gray' ELSE '' END AS neutral FROM f""",
     "page_links_ranked": f"WITH {_LINKS} SELECT page_id, url, score, page_type, rank FROM l",
-    "page_extra_pick": f"""WITH {_LINKS}, t AS (SELECT *, CASE WHEN page_type <> 'other' AND row_number() OVER (PARTITION BY page_id, page_type ORDER BY rank) = 1
-        THEN list_position(['about', 'services', 'contact', 'portfolio'], page_type) ELSE 5 END AS turn FROM l),
+    "page_extra_pick": f"""WITH {_LINKS}, t AS (SELECT *, CASE WHEN page_type = 'about' THEN 1 WHEN page_type = 'services' THEN 2 WHEN page_type IN ('contact', 'portfolio') THEN 3 WHEN score > 0 THEN 4 ELSE 5 END AS turn FROM l),
       q AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY turn, rank) AS pick FROM t) SELECT page_id, url, pick FROM q WHERE pick <= 3""",
     "page_features": rf"""WITH h AS (SELECT page_id, {_plain("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title, {_plain("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")} AS heading,
-        {_plain("regexp_extract(html, '(?is)<footer[^>]*>(.*?)</footer>', 1)")} AS footer, len(regexp_extract_all(html, '(?is)<a\b[^>]*\bhref=["'']')) AS n_links, length({_plain("html")}) AS text_chars FROM pages)
+        {_plain("regexp_extract(html, '(?is)<footer[^>]*>(.*?)</footer>', 1)")} AS footer, len(regexp_extract_all(html, '(?is)<a\b[^>]*\bhref=["'']')) AS n_links, length({_plain("html")}) AS text_chars FROM {_BARE})
       SELECT page_id, title, heading, CASE WHEN length(footer) >= 20 THEN footer[1:2000] ELSE '' END AS footer, n_links, text_chars FROM h""",
 }

@@ -85,7 +85,7 @@ _MINED = rf"""e AS ({I.sql(I.EXPORT)}),
 
 
 def _reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.derive(spark, sf_dir, I.REVIEWS).filter("seq % 3 = 0")
+    return I.derive(spark, sf_dir, I.REVIEWS)
 
 
 def _batch(options: Options):
@@ -111,7 +111,7 @@ def _batch_sql(o: Options, where: str) -> str:
     pool = "deduped" if o.allow_duplicate_domains else "(SELECT * FROM deduped QUALIFY canonical_domain = '' OR row_number() OVER (PARTITION BY canonical_domain ORDER BY seq) = 1)"
     url = "coalesce(nullif(trim(normalized_url), ''), raw_url)"
     return f"""
-WITH {_DEDUPED}, r AS ({I.sql(I.REVIEWS, where="page_id % 3 = 0")}),
+WITH {_DEDUPED}, r AS ({I.sql(I.REVIEWS)}),
   x AS (SELECT *, {S.site_key("canonical_domain", "domain", "normalized_url", "''")} AS site_key FROM r),
   i AS (SELECT site_key, CASE WHEN status = 'success' THEN 'success' ELSE 'failed' END AS processed, extracted_emails, extracted_phone_numbers,
       selected_logo_url <> '' AS has_logo, extracted_color_hexes <> '' OR primary_color_hex <> '' AS has_colors
