@@ -59,19 +59,15 @@ class Block(NamedTuple):
     near_owners: list[list[str]]  # the items of each group
 
 
-def build_index(
-    docs: DataFrame, vocabulary: np.ndarray | None = None, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Segments of the positional index of docs, lazily; store them before searching.
 
-    With a vocabulary (sorted term hashes), only postings of its terms are kept.
     Columns: segment, ids and n_words (arrays, by document), terms (sorted 64-bit
     hashes), ends (of each term's postings) and postings (document << 32 |
     position), all three binary. A null text has no words; null and repeated ids
     are documents like others. No rows give no segments.
     """
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    sent = None if vocabulary is None else own.sparkSession.sparkContext.broadcast(vocabulary)
     id_type = own.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,12 +81,8 @@ def build_index(
                 per_doc = np.bincount(found.doc, minlength=small.num_rows)
                 n_words[done : done + small.num_rows] = per_doc
                 place = np.arange(found.doc.size) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
-                wanted = np.ones(found.doc.size, dtype=bool)
-                if sent is not None:
-                    at = np.searchsorted(sent.value, found.hash)
-                    wanted = np.append(sent.value, _text.U64(0))[at] == found.hash
                 posting = ((found.doc + done).astype(np.uint64) << np.uint64(32)) | (place + _SHIFT).astype(np.uint64)
-                kept.append((found.hash[wanted], posting[wanted]))
+                kept.append((found.hash, posting))
                 done += small.num_rows
             terms, postings = (np.concatenate(x) for x in zip(*kept, strict=True))
             order = np.argsort(terms, kind="stable")
@@ -314,9 +306,8 @@ def find_contamination(
     """
     blocks = item_blocks(items, item_col, item_text_col, block_words)
     first, second = next(blocks, []), next(blocks, None)
-    vocabulary = None if second else np.unique(np.concatenate([np.zeros(0, np.uint64), *(w for _, w in first)]))
-    index = cut(build_index(docs, vocabulary, id_col, text_col))
-    counts = term_counts(index)
+    index = cut(build_index(docs, id_col, text_col))
+    counts = cut(term_counts(index)) if second else term_counts(index)
     hits = []
     for block in itertools.chain([first] if first else [], [second] if second else [], blocks):
         found = search(index, query_block(block, _counts_of(counts, block)))

@@ -23,6 +23,7 @@ RANKS = "byte_bpe_50k.tiktoken"
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and the probe; rows without a conversation id belong to none and are left out."""
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(
         F.lit(PROBE_CONV).cast("long").alias("conv_id"),

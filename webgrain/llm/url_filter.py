@@ -20,9 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: More intervals than this are not broadcast. A key is a host and a path, cut by list_intervals to MAX_KEY characters.
-MAX_BROADCAST = 50_000
-MAX_KEY = 2_000
+#: More intervals than this, or with longer keys in all, are not broadcast.
+MAX_BROADCAST, MAX_KEY_BYTES = 50_000, 16 << 20
 SALTS = 32
 
 
@@ -60,14 +59,13 @@ def list_intervals(entries: DataFrame) -> DataFrame:
     Returns list, key, valid_from, valid_to (null: still valid), the start
     included and the end not. action 'add' opens and 'remove' closes; of entries
     of one list and key at one time, a removal wins. Rows with a null in any of the
-    four columns, an empty key, a key of over 2,000 characters or another action
-    raise no error and are left out. Repeated rows change nothing.
+    four columns, an empty key or another action raise no error and are left out. Repeated rows change nothing.
     """
     key = list_key(F.col("pattern"))
     at = (
         entries.filter(F.col("action").isin("add", "remove"))
         .select("list", key.alias("key"), F.col("dated").cast("timestamp").alias("dated"), (F.col("action") == "add").alias("adds"))
-        .filter(F.col("list").isNotNull() & F.col("dated").isNotNull() & (F.length("key").between(1, MAX_KEY)))
+        .filter(F.col("list").isNotNull() & F.col("dated").isNotNull() & (F.length("key") > 0))
         .groupBy("list", "key", "dated")
         .agg(F.min("adds").alias("adds"))
     )
@@ -103,7 +101,8 @@ def filter_urls(
     keyed = rows.select("capture", "at", "host", "fetched", F.explode_outer(url_keys(F.col("host"), F.col("path"))).alias("key"))
     spans = list_intervals(entries)
     on = ["key"]
-    if spans.limit(max_broadcast + 1).count() <= max_broadcast:
+    size = spans.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("key") + F.octet_length("list")), F.lit(0)).alias("bytes")).collect()[0]
+    if size["n"] <= max_broadcast and size["bytes"] <= MAX_KEY_BYTES:
         spans = F.broadcast(spans)
     else:
         on = ["key", "salt"]
