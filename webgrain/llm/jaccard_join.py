@@ -14,8 +14,8 @@ reaches a threshold; the result is the connected components of these links.
 
 Many near copies would give all pairs of a large group. So verification goes in
 rounds. First, each node is verified against one: the least node that stands in
-a list with it. Then each component that a list still holds against the list's
-least node. Then only pairs across the components found so far are left; lists
+a list with it. Then each component against several nodes of its lists, the
+least by different hashes. Then only pairs across the components found so far are left; lists
 inside one component are done.
 
 A list that many components share (a passage that thousands of texts quote)
@@ -46,6 +46,8 @@ from webgrain.llm.components import components
 FREQUENT = 1 << 18
 #: Lists whose pairs outnumber so many times the rows of their parts are paired by parts.
 BY_PARTS = 4
+#: Partners that each component tries in the second round, each by another order of nodes.
+PARTNERS = 12
 #: Counters of a set's n-grams by hash, which bound the overlap of two sets from above.
 COUNTERS = 128
 #: A task sums this many n-grams before it says which of them occur in MIN_SEEN texts or more.
@@ -322,16 +324,19 @@ def _labelled(docs: DataFrame, width: int, percent: int, id_col: str, text_col:
     links = _linked(star.unionByName(inside), own, nodes, width, percent)
     known = cut(components(links))
 
-    # Each component of a list with the list's least node.
+    # Each component with several nodes of its lists.
     def entries_of(known: DataFrame) -> tuple[DataFrame, DataFrame]:
         placed = cut(nodes.select("grp", "node", "n").join(known, "node", "left").select("grp", "node", "n", F.coalesce("label", "node").alias("comp")))
         cells = cut(placed.groupBy("grp", "comp").agg(F.min("node").alias("rep")))
         return cut(lists.drop("rep").join(cells, "grp")), placed
 
     entries, placed = entries_of(known)
-    heads = entries.groupBy("gram", "band").agg(F.min("comp").alias("head"), F.max("comp").alias("last")).filter("head < last").select("gram", "band", "head")
-    more = entries.join(cut(heads), ["gram", "band"]).filter(F.col("comp") != F.col("head"))
-    star = more.groupBy("comp", "head").agg(F.min("rep").alias("rep")).select(F.col("head").alias("a"), F.col("rep").alias("b"))
+    least = [F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("by"), F.lit(k).alias("k"), F.col("rep").alias("head"), F.col("comp").alias("of"))) for k in range(PARTNERS)]
+    heads = entries.groupBy("gram", "band").agg(F.array(*least).alias("heads"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
+    heads = cut(heads.select("gram", "band", F.explode("heads").alias("h")).select("gram", "band", "h.*"))
+    more = entries.join(heads, ["gram", "band"]).filter(F.col("comp") != F.col("of"))
+    star = more.groupBy("comp", "k").agg(F.min(F.struct("by", "head", "rep")).alias("e"))
+    star = star.select(F.least("e.head", "e.rep").alias("a"), F.greatest("e.head", "e.rep").alias("b"))
     links = links.unionByName(_linked(star, own, nodes, width, percent))
     drop(entries, placed, known)
     known = cut(components(links))
