@@ -1,0 +1,147 @@
+"""Cleaning of extracted values, and the name of a business from its page titles."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from webgrain.functions.base import distinct_by, let, trim
+from webgrain.functions.text import name_from_domain
+
+# The formats ask for these characters, words and bounds.
+NOISE = r"\s,;:·•|.\-"
+PUNCTUATION = r"[(){}\[\].,;:!?\-_|/\\·•]"
+SHORT_WORDS = ["ai", "ar", "vr", "tv", "uk", "us", "eu", "qr", "co", "id", "it", "hr", "pr", "ux", "ui", "3d", "2d", "4k", "8k", "5g", "4g"]
+NAVIGATION = r"(?i)^(home|menu|sign[-_ ]?in|sign[-_ ]?up|log[-_ ]?in|log[-_ ]?out|cart|account|search)$"
+GENERIC_TITLE = r"(?i)^(home|homepage|welcome|official\s+site|index|untitled)$"
+LIST_ITEMS, FIELD_ITEMS, ITEM_CHARS, NAME_CHARS = 8, 6, 64, 200
+
+
+def squeeze(c: Column) -> Column:
+    """White space runs, no-break spaces included, as one space; none at the ends; null is ''."""
+    return F.trim(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"[\s\x{A0}]+", " "))
+
+
+def without_noise(c: Column) -> Column:
+    """Without empty brackets, doubled separators and separators at the ends or inside a bracket's ends."""
+    steps = [
+        (rf"\([{NOISE}]*\)|\[[{NOISE}]*\]", " "),
+        (r"[,;]+\s*[,;]+", ", "),
+        (r"\.{2,}", "."),
+        (rf"\([{NOISE}]*([^()]*?)[{NOISE}]*\)", "($1)"),
+        (r"\(\)", " "),
+        (r"\s+([,;:.!?])", "$1"),
+        (r"([,;])\1+", "$1"),
+        (rf"^[\s,;:·•|.]+|[{NOISE}]+$", ""),
+    ]
+    for pattern, new in steps:
+        c = F.regexp_replace(c, pattern, new)
+    return squeeze(c)
+
+
+def _count(c: Column, pattern: str) -> Column:
+    return F.regexp_count(c, F.lit(pattern))
+
+
+def is_meaningful(item: Column) -> Column:
+    """Whether a list item says something: words or a size, not punctuation, repeats of one letter or navigation."""
+
+    def check(t: Column) -> Column:
+        letters, digits, marks = _count(t, "[A-Za-z]"), _count(t, "[0-9]"), _count(t, PUNCTUATION)
+        lower = F.lower(t)
+        most = F.greatest(*(_count(lower, chr(k)) for k in range(ord("a"), ord("z") + 1)))
+        long_enough = (
+            t.rlike(r"[A-Za-z]{3,}|(?i)\b\d+\s*[x×]\s*\d+\b")
+            & ~((letters >= 6) & (most > 0.7 * letters))
+            & ~t.rlike(NAVIGATION)
+            & (F.length(t) <= ITEM_CHARS)
+        )
+        sound = (letters + digits > 0) & ((marks == 0) | (marks < letters + digits))
+        return sound & F.when(F.length(t) < 3, lower.isin(*SHORT_WORDS)).otherwise(long_enough)
+
+    return let(trim(item), check)
+
+
+def clean_list(c: Column, most: int = LIST_ITEMS) -> Column:
+    """The meaningful items of a list in prose, distinct whatever the case; '' if one of five or more is left."""
+
+    def pick(parts: Column) -> Column:
+        def add(kept: Column, item: Column) -> Column:
+            known = F.exists(kept, lambda k: F.lower(k) == F.lower(item))
+            return F.when((F.size(kept) >= most) | known | ~is_meaningful(item), kept).otherwise(F.array_append(kept, item))
+
+        return let(F.aggregate(parts, F.array().cast("array<string>"), add), lambda kept: joined(parts, kept))
+
+    def joined(parts: Column, kept: Column) -> Column:
+        return F.when((F.size(parts) >= 5) & (F.size(kept) == 1), "").otherwise(F.array_join(kept, ", "))
+
+    parts = F.split(without_noise(squeeze(c)), r"\s*[,;·•|]\s*")
+    bare = F.transform(parts, lambda p: F.trim(F.regexp_replace(without_noise(p), rf"^[{NOISE}]+|[{NOISE}]+$", "")))
+    return let(F.filter(bare, lambda p: p != ""), pick)
+
+
+def clean_text(c: Column) -> Column:
+    """Free text without noise; '' if it has under three letters or is mostly punctuation."""
+
+    def check(t: Column) -> Column:
+        letters = _count(t, "[A-Za-z]")
+        return F.when((letters >= 3) & (_count(t, PUNCTUATION) <= 1.2 * letters), t).otherwise("")
+
+    return let(without_noise(squeeze(c)), check)
+
+
+def clean_phone(c: Column) -> Column:
+    """Digits and what may stand between them; '' if there are under seven."""
+    t = squeeze(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?i)[^\d+()\-\s.,/ext]", ""))
+    return F.when(_count(t, r"\d") >= 7, t).otherwise("")
+
+
+def clean_email(c: Column) -> Column:
+    """The first address, or ''."""
+    return F.regexp_extract(F.coalesce(c, F.lit("")), r"[\w.+\-]+@[\w\-]+\.[\w.\-]+", 0)
+
+
+def clean_field(field: str, c: Column) -> Column:
+    """A value of the named field, cleaned as that field asks."""
+    if field in ("services", "products"):
+        return clean_list(c, FIELD_ITEMS)
+    if field in ("social", "address", "logo"):
+        return clean_text(c)
+    return {"phone": clean_phone, "email": clean_email, "brandColors": lambda x: without_noise(squeeze(x))}[field](c)
+
+
+def domain_label(host: Column) -> Column:
+    return F.regexp_extract(trim(F.regexp_replace(trim(host), r"(?i)^www\.", "")), r"^([^.]*)", 1)
+
+
+def is_brand_like(segment: Column, label: Column) -> Column:
+    """Whether a part of a title reads like a name: like the domain's label, or one capitalised word."""
+    bare, name = F.regexp_replace(F.lower(segment), r"\s+", ""), F.lower(label)
+    bad = (
+        ~F.length(segment).between(2, 80)
+        | segment.rlike(GENERIC_TITLE)
+        | (F.size(F.split(segment, r"\s+")) > 6)
+        | (segment.rlike(r"(?i)^(the|a|an)\s+") & (F.length(segment) > 48))
+    )
+    of_domain = (name != "") & (bare.contains(name) | name.contains(bare))
+    return ~bad & (of_domain | segment.rlike(r"[A-Z][a-z]+[A-Z]|^[A-Z][a-zA-Z0-9&.'-]{1,40}$"))
+
+
+def brand_segments(title: Column, label: Column) -> Column:
+    parts = F.filter(F.transform(F.split(trim(title), r"\s*[|\-–—:]\s*"), trim), lambda p: p != "")
+    return F.filter(let(parts, lambda items: distinct_by(items, F.lower)), lambda p: is_brand_like(p, label))
+
+
+def business_name(suggested: Column, og_title: Column, title: Column, host: Column) -> Column:
+    """struct(name, source): what was suggested, else the longest brand-like title part, else the domain's label."""
+    label = domain_label(host)
+    parts = F.concat(brand_segments(og_title, label), brand_segments(title, label))
+    longest = F.aggregate(parts, F.lit(""), lambda best, p: F.when(F.length(p) > F.length(best), p).otherwise(best))
+    named = F.array(
+        *(
+            F.struct(F.substring(c, 1, NAME_CHARS).alias("name"), F.lit(kind).alias("source"))
+            for c, kind in ((trim(suggested), "suggested"), (longest, "title"), (name_from_domain(host), "domain"))
+        )
+    )
+    found = F.get(F.filter(named, lambda n: n["name"] != ""), F.lit(0))
+    return F.coalesce(found, F.struct(F.lit("").alias("name"), F.lit("none").alias("source")))

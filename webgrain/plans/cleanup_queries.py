@@ -1,0 +1,93 @@
+"""Queries on the cleaning of extracted values and on business names."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from webgrain.functions import cleanup
+from webgrain.functions.base import trim
+
+_FIELDS = ("services", "address", "phone", "email", "brandColors")
+
+
+def extracted_value_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    cell = F.concat(F.lit("( , ) Home | 10 x 12;; aaaaaaab, (- big -) ..."), F.coalesce("text", F.lit("")), F.lit("· AI [;] "))
+    return docs.select("doc_id", *(cleanup.clean_field(f, cell).alias(f.lower()) for f in _FIELDS))
+
+
+def business_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    title = trim(F.regexp_replace(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " "))
+    heading = trim(F.regexp_replace(F.regexp_replace(F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1>", 1), "<[^>]*>", " "), r"\s+", " "))
+    host = F.regexp_extract("url", r"^https?://([^/?#:]+)", 1)
+    found = pages.select("page_id", cleanup.business_name(F.lit(None).cast("string"), heading, title, host).alias("b"))
+    return found.select("page_id", "b.name", F.col("b.source").alias("name_source"))
+
+
+def _squeeze(x: str) -> str:
+    return rf"trim(regexp_replace({x}, '[\s ]+', ' ', 'g'))"
+
+
+def _bare(x: str) -> str:
+    for pattern, new in (
+        (r"\([\s,;:·•|.\-]*\)", " "),
+        (r"\[[\s,;:·•|.\-]*\]", " "),
+        (r"[,;]+\s*[,;]+", ", "),
+        (r"\.{2,}", "."),
+        (r"\([\s,;:·•|.\-]*([^()]*?)[\s,;:·•|.\-]*\)", r"(\1)"),
+        (r"\(\)", " "),
+        (r"\s+([,;:.!?])", r"\1"),
+        (",+", ","),
+        (";+", ";"),
+        (r"^[\s,;:·•|.]+", ""),
+        (r"[\s,;:·•|.\-]+$", ""),
+    ):
+        x = f"regexp_replace({x}, '{pattern}', '{new}', 'g')"
+    return _squeeze(x)
+
+
+def _n(x: str, chars: str) -> str:
+    return f"length(regexp_replace({x}, '[^{chars}]', '', 'g'))"
+
+
+_PUNCT = r"(){}\[\].,;:!?\-_|/\\·•"
+_TITLE = r"trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g'))"
+_HEADING = r"trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"
+
+QUERIES = {"extracted_value_cleanup": extracted_value_cleanup, "business_name": business_name}
+
+SQL = {
+    "extracted_value_cleanup": rf"""WITH r AS (SELECT doc_id, '( , ) Home | 10 x 12;; aaaaaaab, (- big -) ...' || coalesce(text, '') || '· AI [;] ' AS raw FROM documents),
+      c AS (SELECT doc_id, raw, {_bare(_squeeze("raw"))} AS bare FROM r),
+      s AS (SELECT doc_id, unnest(regexp_split_to_array(bare, '\s*[,;·•|]\s*')) AS part, generate_subscripts(regexp_split_to_array(bare, '\s*[,;·•|]\s*'), 1) AS nr FROM c),
+      p AS (SELECT doc_id, nr, trim(regexp_replace(regexp_replace({_bare("part")}, '^[\s,;:·•|.\-]+', ''), '[\s,;:·•|.\-]+$', '')) AS t FROM s),
+      f AS (SELECT doc_id, nr, t, {_n("t", "A-Za-z")} AS letters, {_n("t", "0-9")} AS digits, {_n("t", _PUNCT)} AS marks,
+          (SELECT max(length(lower(t)) - length(replace(lower(t), chr(k), ''))) FROM (SELECT unnest(range(97, 123))::INTEGER AS k)) AS most FROM p WHERE t <> ''),
+      k AS (SELECT doc_id, t, min(nr) OVER (PARTITION BY doc_id, lower(t)) AS first, nr FROM f WHERE letters + digits > 0 AND (marks = 0 OR marks < letters + digits)
+        AND CASE WHEN length(t) < 3 THEN lower(t) IN ('ai','ar','vr','tv','uk','us','eu','qr','co','id','it','hr','pr','ux','ui','3d','2d','4k','8k','5g','4g')
+          ELSE (regexp_matches(t, '[A-Za-z]{{3}}') OR regexp_matches(t, '(?i)\b\d+\s*[x×]\s*\d+\b')) AND NOT (letters >= 6 AND most > 0.7 * letters) AND length(t) <= 64
+            AND NOT regexp_matches(t, '(?i)^(home|menu|sign[-_ ]?in|sign[-_ ]?up|log[-_ ]?in|log[-_ ]?out|cart|account|search)$') END),
+      o AS (SELECT doc_id, t, row_number() OVER (PARTITION BY doc_id ORDER BY nr) AS place FROM k WHERE nr = first),
+      l AS (SELECT doc_id, count(*) AS n, string_agg(t, ', ' ORDER BY place) AS items FROM o WHERE place <= 6 GROUP BY doc_id),
+      a AS (SELECT doc_id, count(*) AS parts FROM f GROUP BY doc_id),
+      h AS (SELECT doc_id, bare, raw, {_squeeze(r"regexp_replace(raw, '(?i)[^\d+()\-\s.,/ext]', '', 'g')")} AS ph FROM c)
+      SELECT doc_id, CASE WHEN coalesce(parts, 0) >= 5 AND n = 1 THEN '' ELSE coalesce(items, '') END AS services,
+        CASE WHEN {_n("bare", "A-Za-z")} >= 3 AND {_n("bare", _PUNCT)} <= 1.2 * {_n("bare", "A-Za-z")} THEN bare ELSE '' END AS address,
+        CASE WHEN {_n("ph", "0-9")} >= 7 THEN ph ELSE '' END AS phone, regexp_extract(raw, '[\w.+\-]+@[\w\-]+\.[\w.\-]+') AS email, bare AS brandcolors
+      FROM h LEFT JOIN a USING (doc_id) LEFT JOIN l USING (doc_id)""",
+    "business_name": rf"""WITH h AS (SELECT page_id, {_TITLE} AS title, {_HEADING} AS heading, regexp_replace(regexp_extract(url, '^https?://([^/?#:]+)', 1), '(?i)^www\.', '') AS host FROM pages),
+      n AS (SELECT page_id, title, heading, regexp_extract(lower(host), '^([^.]*)', 1) AS label FROM h),
+      s AS (SELECT page_id, label, 1 AS which, unnest(regexp_split_to_array(heading, '\s*[|\-–—:]\s*')) AS s, generate_subscripts(regexp_split_to_array(heading, '\s*[|\-–—:]\s*'), 1) AS nr FROM n
+        UNION ALL SELECT page_id, label, 2, unnest(regexp_split_to_array(title, '\s*[|\-–—:]\s*')), generate_subscripts(regexp_split_to_array(title, '\s*[|\-–—:]\s*'), 1) FROM n),
+      b AS (SELECT *, replace(lower(s), ' ', '') AS bare FROM (SELECT page_id, label, which, trim(s) AS s, nr FROM s)
+        WHERE length(s) BETWEEN 2 AND 80 AND NOT regexp_matches(s, '(?i)^(home|homepage|welcome|official\s+site|index|untitled)$')
+          AND len(string_split(s, ' ')) <= 6 AND NOT (regexp_matches(s, '(?i)^(the|a|an)\s') AND length(s) > 48)),
+      g AS (SELECT page_id, s, row_number() OVER (PARTITION BY page_id ORDER BY length(s) DESC, which, nr) AS place FROM b
+        WHERE (label <> '' AND (contains(bare, label) OR contains(label, bare))) OR regexp_matches(s, '[A-Z][a-z]+[A-Z]') OR regexp_matches(s, '^[A-Z][a-zA-Z0-9&.''-]{{1,40}}$')),
+      d AS (SELECT page_id, string_agg(upper(w[1]) || w[2:], ' ' ORDER BY nr) AS name FROM (SELECT page_id, unnest(regexp_split_to_array(label, '[-_]+')) AS w,
+        generate_subscripts(regexp_split_to_array(label, '[-_]+'), 1) AS nr FROM n) WHERE w <> '' GROUP BY page_id)
+      SELECT n.page_id, coalesce(g.s, d.name, '') AS name, CASE WHEN g.s IS NOT NULL THEN 'title' WHEN d.name IS NOT NULL THEN 'domain' ELSE 'none' END AS name_source
+      FROM n LEFT JOIN g ON n.page_id = g.page_id AND g.place = 1 LEFT JOIN d ON n.page_id = d.page_id""",
+}
