@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from webgrain.functions import cleanup
-from webgrain.plans import cleanup_queries
+from webgrain.plans import cleanup_queries, file_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -53,14 +53,14 @@ def test_business_name(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", list(cleanup_queries.QUERIES))
+@pytest.mark.parametrize("name", [*cleanup_queries.QUERIES, *file_queries.QUERIES])
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
     for table in ("documents", "pages"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
-    want = con.execute(cleanup_queries.SQL[name])
+    want = con.execute((cleanup_queries.SQL | file_queries.SQL)[name])
     names = sorted(d[0] for d in want.description)
     expected = Counter(tuple(dict(zip((d[0] for d in want.description), row, strict=True))[n] for n in names) for row in want.fetchall())
-    got = cleanup_queries.QUERIES[name](spark, SF)
+    got = (cleanup_queries.QUERIES | file_queries.QUERIES)[name](spark, SF)
     assert sorted(got.columns) == names and len(expected) >= 50
     assert Counter(tuple(r[n] for n in names) for r in got.collect()) == expected

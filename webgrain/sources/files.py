@@ -44,15 +44,3 @@ def read_review_queues(spark: SparkSession, glob: str, columns: list[str]) -> Da
     cells = raw.select(*(trim(F.col(f"`{c}`")).alias(c) if c in raw.columns else F.lit("").alias(c) for c in columns), name.alias("file_name"))
     batch = cells.filter(~F.col("file_name").rlike("manual|combined"))
     return batch.withColumns({"run_id": status.run_id_of(F.col("file_name")), "source_review_queue": F.col("file_name")})
-
-
-def file_kind(name):
-    """candidates, review_queue, run, summary, scores or other, from a file's name."""
-    return (
-        F.when(name.rlike(r"url_candidates.*\.csv$"), "candidates")
-        .when(name.rlike(r"review_queue.*\.csv$"), "review_queue")
-        .when(name.rlike(r"\.jsonl$"), "run")
-        .when(name.rlike(r"score_summary.*\.csv$"), "scores")
-        .when(name.rlike(r"summary.*\.csv$"), "summary")
-        .otherwise("other")
-    )
