@@ -1,4 +1,4 @@
-"""The queries op1 to op10: each operator on its whole table, as digest columns."""
+"""The queries op1 to op13: each operator on its whole table, as digest columns."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from webgrain.llm.classifier_queries import op2_language_id, op3_quality_lr
 from webgrain.llm.decontamination_query import OP6_SQL, op6_positional_index
 from webgrain.llm.dedup_queries import OP8_SQL, op8_jaccard_join, op9_cdc_dedup
 from webgrain.llm.lm_query import op5_lm_bloom
+from webgrain.llm.pii_query import OP13_SQL, op13_pii_spans
 from webgrain.llm.url_filter_query import OP7_SQL, op7_url_filter
 
 #: Texts full of control strings, added to the conversations.
@@ -109,8 +110,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_jaccard_join": op8_jaccard_join,
         "op9_cdc_dedup": op9_cdc_dedup,
         "op10_byte_bpe": op10_byte_bpe,
+        "op13_pii_spans": op13_pii_spans,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op6_positional_index": OP6_SQL, "op7_url_filter": OP7_SQL, "op8_jaccard_join": OP8_SQL}
+    return {
+        "op1_chat_format": OP1_SQL,
+        "op6_positional_index": OP6_SQL,
+        "op7_url_filter": OP7_SQL,
+        "op8_jaccard_join": OP8_SQL,
+        "op13_pii_spans": OP13_SQL,
+    }
