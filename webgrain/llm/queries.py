@@ -14,7 +14,9 @@ from webgrain.llm.classifier_queries import op2_language_id, op3_quality_lr
 from webgrain.llm.decontamination_query import OP6_SQL, op6_positional_index
 from webgrain.llm.dedup_queries import OP8_SQL, op8_jaccard_join, op9_cdc_dedup
 from webgrain.llm.lm_query import op5_lm_bloom
+from webgrain.llm.merkle_query import OP12_SQL, op12_merkle_manifest
 from webgrain.llm.pii_query import OP13_SQL, op13_pii_spans
+from webgrain.llm.spelling_query import OP11_SQL, op11_spelling_groups
 from webgrain.llm.url_filter_query import OP7_SQL, op7_url_filter
 
 #: Texts full of control strings, added to the conversations.
@@ -110,6 +112,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_jaccard_join": op8_jaccard_join,
         "op9_cdc_dedup": op9_cdc_dedup,
         "op10_byte_bpe": op10_byte_bpe,
+        "op11_spelling_groups": op11_spelling_groups,
+        "op12_merkle_manifest": op12_merkle_manifest,
         "op13_pii_spans": op13_pii_spans,
     }
 
@@ -120,5 +124,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_positional_index": OP6_SQL,
         "op7_url_filter": OP7_SQL,
         "op8_jaccard_join": OP8_SQL,
+        "op11_spelling_groups": OP11_SQL,
+        "op12_merkle_manifest": OP12_SQL,
         "op13_pii_spans": OP13_SQL,
     }
