@@ -32,11 +32,11 @@ from pyspark.sql import types as T
 from webgrain.llm._spark import cut, drop
 
 #: Most leaves of a run (one row of about 200 bytes for each).
-RUN_LEAVES = 1 << 14
+RUN_LEAVES = 1 << 12
 #: Levels that one shuffle of boundary nodes climbs.
 STRIDE = 12
 #: Rows of proofs handed on at once.
-PROOF_ROWS = 1 << 11
+PROOF_ROWS = 1 << 10
 #: The step of a proof where a node has no sibling.
 ALONE = "-"
 
