@@ -52,6 +52,17 @@ def distinct_by(items: Column, key) -> Column:
     return F.filter(items, lambda x, i: F.array_position(F.transform(items, key), key(x)) == i + 1)
 
 
+def first_by(items: Column, key, most: int | None = None) -> Column:
+    """The first item of each key, in order, up to so many; in time by items and kept ones, for lists of any length."""
+
+    def pick(v: Column) -> Column:
+        keys = F.array_distinct(v["keys"])
+        kept = keys if most is None else F.slice(keys, 1, most)
+        return F.transform(kept, lambda k: F.get(v["items"], (F.array_position(v["keys"], k) - 1).cast("int")))
+
+    return let(F.struct(items.alias("items"), F.transform(items, key).alias("keys")), pick)
+
+
 def distinct_ignoring_case(items: Column) -> Column:
     return distinct_by(items, F.lower)
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from webgrain.plans import cleanup_queries, file_queries, review_queries, text_queries, url_queries
+from webgrain.plans import cleanup_queries, file_queries, record_queries, review_queries, text_queries, url_queries
 
-_MODULES = (url_queries, review_queries, text_queries, cleanup_queries, file_queries)
+_MODULES = (url_queries, review_queries, text_queries, cleanup_queries, file_queries, record_queries)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL = {name: text for m in _MODULES for name, text in m.SQL.items()}
