@@ -147,4 +147,4 @@ def resolve(link: Column, base: Column) -> Column:
         )
         return href(whole)
 
-    return let(split(base), against)
+    return F.when(link.isNotNull(), let(split(base), against))

@@ -1,7 +1,7 @@
 r"""URLs, hosts and site keys.
 
-A URL is split by one regular expression, so that all engines agree on it.
-Punycode, dot segments and percent-encoding are left as they are.
+A URL is split by one regular expression, so that all engines agree on it; paths and
+queries are written as the URL standard has them (see href). Punycode is left as it is.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from webgrain.functions import href as H
 from webgrain.functions.base import filled, first_filled, let, none, trim
 
 #: Query parameters that only track.
@@ -40,10 +41,20 @@ def _query_pairs(query: Column) -> Column:
     return F.transform(pairs, lambda p: F.struct(F.regexp_extract(p, "^([^=]*)", 1).alias("k"), F.regexp_extract(p, "^[^=]*=(.*)$", 1).alias("v")))
 
 
+def _decoded(c: Column) -> Column:
+    """A name or value of a form; one that is no proper encoding stays."""
+    return F.when(c.rlike("[%+]"), F.coalesce(F.try_url_decode(c), F.replace(c, F.lit("+"), F.lit(" ")))).otherwise(c)
+
+
+def _encoded(c: Column) -> Column:
+    return F.when(c.rlike("[^A-Za-z0-9*._-]"), F.url_encode(c)).otherwise(c)
+
+
 def sorted_query(query: Column) -> Column:
-    """The query without tracking parameters, sorted by key and value; '' if nothing is left."""
-    kept = F.array_sort(F.filter(_query_pairs(query), lambda p: ~p["k"].isin(*TRACKING_PARAMS)))
-    text = F.array_join(F.transform(kept, lambda p: F.concat(p["k"], F.lit("="), p["v"])), "&")
+    """The query without tracking parameters, sorted by key and value, encoded as forms are; '' if nothing is left."""
+    read = F.transform(_query_pairs(query), lambda p: F.struct(_decoded(p["k"]).alias("k"), _decoded(p["v"]).alias("v")))
+    kept = F.array_sort(F.filter(read, lambda p: ~p["k"].isin(*TRACKING_PARAMS)))
+    text = F.array_join(F.transform(kept, lambda p: F.concat(_encoded(p["k"]), F.lit("="), _encoded(p["v"]))), "&")
     return F.regexp_replace(text, "^(?=.)", "?")
 
 
@@ -67,7 +78,7 @@ def normalize(c: Column) -> Column:
         return F.concat(p["scheme"], F.lit("://"), p["host"], F.when(bare, "").otherwise(p["path"]), p["query"])
 
     def tidy(p: Column) -> Column:
-        path = let(_drop_end_slash(p["path"]), lambda x: F.when(x == "", "/").otherwise(x))
+        path = let(_drop_end_slash(H.clean_path(p["path"])), lambda x: F.when(x == "", "/").otherwise(x))
         return F.when(p.isNotNull(), F.struct(p["scheme"].alias("scheme"), p["host"].alias("host"), path.alias("path"), sorted_query(p["query"]).alias("query")))
 
     href = let(strip_punctuation(c), lambda raw: F.when(~raw.rlike(blocked), with_scheme(raw)))
@@ -181,9 +192,7 @@ def dedupe_key(normalized: Column, raw: Column, dom: Column) -> Column:
 
 def safe_href(c: Column) -> Column:
     """An http(s) address to open, or null."""
-    t = trim(c)
-    href = F.when(t.rlike(r"^(?i)https?://"), t).when(~t.rlike(r"^(?i)[a-z][a-z0-9+.\-]*:") & ~t.contains(" ") & (t != ""), F.concat(F.lit("https://"), t))
-    return F.when(href.rlike(_PARTS), href)
+    return H.safe(c)
 
 
 def host_only(c: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from webgrain.functions import contact
+from webgrain.functions import contact, href
 from webgrain.functions import url as U
 from webgrain.functions.base import distinct_capped, distinct_ignoring_case, trim
 
@@ -92,19 +92,9 @@ def style_guess(families: Column) -> Column:
     )
 
 
-def absolute(href: Column, base: Column) -> Column:
-    """An http(s) address from a link and its page's address; null for other schemes. Dot segments stay."""
-    root = F.regexp_extract(base, r"^(?i)(https?://[^/?#]+)", 1)
-    folder = F.regexp_extract(F.regexp_replace(base, r"[?#].*$", ""), r"^(?i)(https?://[^/]+/(?:.*/)?)", 1)
-    h = trim(href)
-    return (
-        F.when(h.rlike("^(?i)https?://"), h)
-        .when(h.startswith("//"), F.concat(F.regexp_extract(base, r"^(?i)(https?:)", 1), h))
-        .when(h.rlike(r"^(?i)[a-z][a-z0-9+.\-]*:") | (h == "") | h.startswith("#"), F.lit(None).cast("string"))
-        .when(h.startswith("/"), F.concat(root, h))
-        .when(h.startswith("?"), F.concat(F.regexp_replace(base, r"[?#].*$", ""), h))
-        .otherwise(F.concat(F.when(folder == "", F.concat(root, F.lit("/"))).otherwise(folder), h))
-    )
+def absolute(link: Column, base: Column) -> Column:
+    """An http(s) address from a link and its page's address, as the URL standard resolves it; null for other schemes."""
+    return href.resolve(link, base)
 
 
 def site_links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

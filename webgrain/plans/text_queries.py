@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from webgrain.functions import color, contact, text
 from webgrain.operators import pages
+from webgrain.plans.url_sql import resolve_sql
 
 _HEX = "concat('#', lpad(lower(hex(doc_id * 7919 % 16777216)), 6, '0'))"
 
@@ -85,7 +86,7 @@ _BARE = r"(SELECT page_id, url, regexp_replace(html, '(?is)<script\b.*?</script>
 _WORDS = ["about", "contact", "service", "product", "portfolio", "work", "team", "story", "menu", "shop", "location"]
 _LINKS = rf"""h AS (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\b[^>]*\bhref=["'']([^"'']*)["'']', 1) AS hs FROM {_BARE}),
   e AS (SELECT page_id, url AS base, unnest(hs) AS h, generate_subscripts(hs, 1) - 1 AS nr FROM h),
-  a AS (SELECT page_id, base, nr, CASE WHEN starts_with(h, '/') THEN regexp_extract(base, '^(?i)(https?://[^/?#]+)', 1) || h ELSE h END AS url FROM e WHERE starts_with(h, '/') OR regexp_matches(h, '^https?://')),
+  a AS (SELECT page_id, base, nr, url FROM (SELECT page_id, base, nr, {resolve_sql("h", "base")} AS url FROM e) WHERE url IS NOT NULL),
   k AS (SELECT *, regexp_replace(lower(regexp_replace(url, '#.*$', '')), '/+$', '') AS key, regexp_replace(lower(regexp_replace(base, '#.*$', '')), '/+$', '') AS home FROM a
     WHERE regexp_replace(lower(regexp_extract(url, '^https?://([^/?#:]*)', 1)), '^www[.]', '') = regexp_replace(lower(regexp_extract(base, '^https?://([^/?#:]*)', 1)), '^www[.]', '')),
   f AS (SELECT *, row_number() OVER (PARTITION BY page_id, key ORDER BY nr) AS first FROM k WHERE key <> home AND NOT regexp_matches(url, '(?i)[.](pdf|zip|jpe?g|png|gif|webp|svg|ico|css|js|mp[34]|docx?|xlsx?)([?#]|$)')),
