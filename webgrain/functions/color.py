@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from webgrain.functions.base import trim
-from webgrain.functions.text import json_strings
+from webgrain.functions.text import is_json, json_strings
 
 
 def hex_code(c: Column) -> Column:
@@ -31,7 +31,7 @@ def hex_list(c: Column) -> Column:
     t = trim(c)
     listed = F.transform(json_strings(c), lambda x: F.coalesce(hex_code(x), x))
     parts = F.filter(F.transform(F.split(t, r"[;,|·]"), hex_code), lambda x: x.isNotNull())
-    return F.when(F.try_parse_json(t).isNotNull(), listed).otherwise(parts)
+    return F.when(is_json(t), listed).otherwise(parts)
 
 
 def hex_codes_in_text(c: Column) -> Column:

@@ -59,13 +59,23 @@ def title_overlap_hint(title: Column, name: Column) -> Column:
     return F.when((a == "") | (b == ""), "").when(a.contains(b) | b.contains(a), "high").otherwise(overlap_hint(title, name))
 
 
+#: The outline of a JSON value. Spark's own check passes over what follows a first value.
+JSON_SHAPE = r'(?s)^(\[.*\]|\{.*\}|".*"|-?\d+(\.\d+)?([eE][+-]?\d+)?|true|false|null)$'
+
+
+def is_json(c: Column) -> Column:
+    """Whether the trimmed text is one JSON value."""
+    t = trim(c)
+    return F.try_parse_json(t).isNotNull() & t.rlike(JSON_SHAPE)
+
+
 def json_strings(c: Column) -> Column:
     """A JSON list's items as trimmed strings; other JSON gives none; no JSON is split at ; , | and ·."""
     t = trim(c)
     listed = F.filter(F.transform(F.from_json(t, "array<string>"), trim), lambda x: x != "")
     parts = F.filter(F.transform(F.split(t, r"[;,|·]"), trim), lambda x: x != "")
     nothing = F.array().cast("array<string>")
-    valid = F.try_parse_json(t).isNotNull()
+    valid = is_json(t)
     return F.when(t == "", nothing).when(valid & t.startswith("["), F.coalesce(listed, nothing)).when(valid, nothing).otherwise(parts)
 
 

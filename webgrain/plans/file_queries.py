@@ -2,23 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from webgrain.plans import inputs
+from webgrain.shared import new_path
 from webgrain.sources import typed
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder where all executors can write: below the shared one, or a local one where none is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared or tempfile.mkdtemp(prefix='webgrain-files-')}/candidates-{uuid.uuid4().hex}"
-
-
 def candidate_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _folder(spark)
+    path = new_path(spark, "candidates")
     typed.write_typed(inputs.derive(spark, sf_dir, inputs.CANDIDATES | {"first_req_note": 'concat(\'a "b", \', url, chr(10), \'c\')'}), path, typed.CANDIDATES)
     return typed.read_candidates(spark, path).select("ds_number", "raw_url", "normalized_url", "domain", "canonical_domain", "source_column", "shop_code", "first_req_note")
 

@@ -10,6 +10,7 @@ from webgrain.operators import coverage, delta, inventory, merge, publish, score
 from webgrain.operators import presence as P
 from webgrain.plans import inputs as I
 from webgrain.plans import url_sql as S
+from webgrain.plans.merge_sql import MERGE_SQL
 
 _STATUS = """CASE WHEN {0} IN ('', 'not_run', 'pending', 'missing', 'no_data_yet', 'no_data', 'blank') THEN 'not_run'
   WHEN {0} IN ('success', 'ok', 'completed') THEN 'success' ELSE 'failed' END"""
@@ -235,6 +236,7 @@ QUERIES = {
 _FILLED = [c for c in merge.FILLED if c in I.REVIEWS]
 _HOST = S.domain_key("canonical_domain", "domain", "normalized_url", "''")
 SQL = {
+    "merge_full_fold": MERGE_SQL,
     "status_normalize_counts": f"SELECT event_type, {_status('event_type')} AS status, count(*) AS n FROM events GROUP BY event_type",
     "review_status_counts": f"WITH {_R} SELECT " + ", ".join(f"count(*) FILTER ({_status('status')} = '{v}') AS {v}" for v in ("success", "failed", "not_run")) + " FROM r",
     "merge_best_attempt": f"""WITH {_R}, x AS (SELECT *, {_KEY} AS attempt_key, CASE {_status("status")} WHEN 'success' THEN 3 WHEN 'failed' THEN 2 ELSE 1 END AS o,

@@ -40,7 +40,7 @@ def read_json_rows(spark: SparkSession, path: str, field: str = "rows") -> DataF
 def read_review_queues(spark: SparkSession, glob: str, columns: list[str]) -> DataFrame:
     """All batch files of a folder as one table, with their run ids; manual and combined files are left out."""
     raw = spark.read.csv(glob, header=True, multiLine=True, quote='"', escape='"', inferSchema=False)
-    name = F.col("_metadata.file_name")
-    cells = raw.select(*(trim(F.col(f"`{c}`")).alias(c) if c in raw.columns else F.lit("").alias(c) for c in columns), name.alias("file_name"))
+    name, start = F.col("_metadata.file_name"), F.col("_metadata.file_block_start")
+    cells = raw.select(*(trim(F.col(f"`{c}`")).alias(c) if c in raw.columns else F.lit("").alias(c) for c in columns), name.alias("file_name"), start.alias("file_block_start"))
     batch = cells.filter(~F.col("file_name").rlike("manual|combined"))
     return batch.withColumns({"run_id": status.run_id_of(F.col("file_name")), "source_review_queue": F.col("file_name")})
