@@ -24,15 +24,19 @@ def squeeze(c: Column) -> Column:
 
 def without_noise(c: Column) -> Column:
     """Without empty brackets, doubled separators and separators at the ends or inside a bracket's ends."""
+    # The order of these replacements is part of the format. Each tries a run from its first character only,
+    # so a long run of separators costs its length.
     steps = [
-        (rf"\([{NOISE}]*\)|\[[{NOISE}]*\]", " "),
+        (rf"\([{NOISE}]*+\)|\[[{NOISE}]*+\]", " "),
         (r"[,;]+\s*[,;]+", ", "),
         (r"\.{2,}", "."),
-        (rf"\([{NOISE}]*([^()]*?)[{NOISE}]*\)", "($1)"),
+        (rf"\([{NOISE}]++(?=[^()]*+\))", "("),
+        (rf"\(([^()]*[^(){NOISE}])[{NOISE}]++\)", "($1)"),
         (r"\(\)", " "),
-        (r"\s+([,;:.!?])", "$1"),
-        (r"([,;])\1+", "$1"),
-        (rf"^[\s,;:·•|.]+|[{NOISE}]+$", ""),
+        (r"(?<!\s)\s++([,;:.!?])", "$1"),
+        (r"([,;])\1++", "$1"),
+        (r"^[\s,;:·•|.]++", ""),
+        (rf"(?<![{NOISE}])[{NOISE}]++$", ""),
     ]
     for pattern, new in steps:
         c = F.regexp_replace(c, pattern, new)
@@ -132,6 +136,27 @@ def brand_segments(title: Column, label: Column) -> Column:
     return F.filter(let(parts, lambda items: distinct_by(items, F.lower)), lambda p: is_brand_like(p, label))
 
 
+#: Fixed value: the name that stands in a form that nobody has filled in.
+PLACEHOLDER = "Example Brand Co."
+
+
+def usable_suggestion(suggested: Column, intake: Column) -> Column:
+    """A suggested name, '' where it only repeats the form's placeholder or the name that the form was left with."""
+    name, given = trim(suggested), trim(intake)
+    echoed = (given.isin("", PLACEHOLDER)) & ((name == PLACEHOLDER) | ((given != "") & (F.lower(name) == F.lower(given))))
+    return F.when(echoed, "").otherwise(name)
+
+
+def resolved_name(suggested: Column, intake: Column, og_title: Column, title: Column, host: Column) -> Column:
+    """struct(name, source: claude, title, domain or none; inferred_from_domain) from a suggestion that is usable, the titles, the host."""
+
+    def label(b: Column) -> Column:
+        source = F.when(b["source"] == "suggested", "claude").otherwise(b["source"])
+        return F.struct(b["name"].alias("name"), source.alias("source"), (b["source"] == "domain").alias("inferred_from_domain"))
+
+    return let(business_name(usable_suggestion(suggested, intake), og_title, title, host), label)
+
+
 def business_name(suggested: Column, og_title: Column, title: Column, host: Column) -> Column:
     """struct(name, source): what was suggested, else the longest brand-like title part, else the domain's label."""
     label = domain_label(host)

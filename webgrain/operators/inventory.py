@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from webgrain.functions import status
 from webgrain.functions import url as U
 from webgrain.functions.base import filled, trim
+from webgrain.operators import merge
 from webgrain.operators.presence import FIELDS
 
-#: Reviews up to this many rows are broadcast; beyond, Spark chooses the join.
-MAX_BROADCAST = 100_000
+#: What an inventory row's state weighs, and the rank of its outcome.
+PROCESSED, PER_RANK = 1_000_000, 500_000
 #: Ranges that a total order is numbered in, and rows that their bounds are taken from.
 RANGES, SAMPLE = 64, 6_400
 
@@ -33,12 +34,11 @@ def _review_status(review: Column) -> Column:
 def build_inventory(candidates: DataFrame, reviews: DataFrame, seq_col: str = "seq") -> DataFrame:
     """Every candidate with original_index, extraction_status and the review of its host, if there is one.
 
-    Two left joins on a build side with one row for each key: by the URL's host,
-    then by the domain columns.
+    Two left joins on a side with one row for each key: by the URL's host, then
+    by the domain columns. Spark broadcasts it if its bytes are few, else it splits
+    the rows of frequent hosts.
     """
     index = review_index(reviews)
-    if index.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
-        index = F.broadcast(index)
     by_url = U.canonical_domain_or_null(filled(U.host_of(F.col("normalized_url"))))
     by_domain = U.domain_key(F.col("canonical_domain"), F.col("domain"), F.col("normalized_url"), F.col("raw_url"))
     rows = candidates.withColumns({"_k1": by_url, "_k2": by_domain, "original_index": F.col(seq_col)})
@@ -48,28 +48,40 @@ def build_inventory(candidates: DataFrame, reviews: DataFrame, seq_col: str = "s
     return joined.drop("_k1", "_k2", "_r1", "_r2").withColumn("extraction_status", _review_status(F.col("review")))
 
 
+def row_score(inventory: DataFrame) -> Column:
+    """Priority of an inventory row: its outcome, its review's own priority, a host without www."""
+    have = {f.name for f in inventory.schema["review"].dataType.fields}
+    cell = lambda n: F.col(f"review.{n}") if n in have else F.lit("")
+    return (
+        F.when(F.col("extraction_status") != "not_run", PROCESSED).otherwise(0)
+        + status.outcome_rank(F.col("extraction_status")) * PER_RANK
+        + F.when(F.col("review").isNotNull(), merge.row_priority(cell)).otherwise(0)
+        + F.when(~U.is_www(F.col("domain")) & ~U.is_www(F.col("normalized_url")), 1).otherwise(0)
+    )
+
+
 def collapse_inventory(inventory: DataFrame) -> DataFrame:
-    """One row of each site key, the best by priority; sources are united and hidden spellings counted.
+    """One row of each site key, the best by priority, of equal ones the first; sources are united and hidden spellings counted.
 
-    Priority is the sum that the review tool uses: a constant for the status plus
-    the review's time in milliseconds, so the newest processed row comes first;
-    then a host without www., then the first row.
+    Taking row after row, a better row puts its sources before those so far, another
+    one after them. So the rows that were the best so far stand in reverse, then the
+    rest in order: a place for each row, of which each source takes the least.
     """
     key = U.site_key(F.col("canonical_domain"), F.col("domain"), F.col("normalized_url"), F.col("raw_url"))
-    when = F.when(F.col("review").isNotNull(), status.sort_millis(F.col("review.processed_at"), F.col("review.extraction_run_id"), F.col("review.source_review_queue")))
-    score = (
-        F.when(F.col("extraction_status") != "not_run", 1_000_000).otherwise(0)
-        + status.outcome_rank(F.col("extraction_status")) * 500_000
-        + F.coalesce(when, F.lit(0))
-        + F.when(~U.is_www(F.col("domain")) & ~U.is_www(F.col("normalized_url")), 1).otherwise(0)
-    )
     row = F.struct(*inventory.columns)
-    rows = inventory.select(key.alias("site_key"), row.alias("row"), score.alias("score"), F.col("original_index").alias("i"))
-    best = rows.filter("site_key IS NOT NULL").groupBy("site_key").agg(
-        F.max_by("row", F.struct(F.col("score"), -F.col("i"))).alias("row"), F.min("i").alias("first_index"), F.count("*").alias("n_variants")
-    )
+    rows = inventory.select(key.alias("site_key"), row.alias("row"), row_score(inventory).alias("score"), F.col("original_index").alias("i")).filter("site_key IS NOT NULL")
+    best = rows.groupBy("site_key").agg(F.max_by("row", F.struct(F.col("score"), -F.col("i"))).alias("row"), F.min("i").alias("first_index"), F.count("*").alias("n_variants"))
     columns = [c for c in inventory.columns if c != "original_index"]
-    return best.select("site_key", *(F.col(f"row.{c}").alias(c) for c in columns), F.col("first_index").alias("original_index"), (F.col("n_variants") - 1).alias("hidden_variants"))
+    if "source_column" in columns:
+        before = Window.partitionBy("site_key").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+        narrow = rows.select("site_key", "i", "score", F.col("row.source_column").alias("sources"))
+        place = F.when(F.col("score") > F.coalesce(F.max("score").over(before), F.lit(-1)), -F.col("i")).otherwise(F.col("i"))
+        tokens = F.posexplode(F.filter(F.transform(F.split(F.coalesce("sources", F.lit("")), ";"), trim), lambda x: x != ""))
+        each = narrow.select("site_key", place.alias("place"), "sources").select("site_key", "place", tokens.alias("k", "source"))
+        found = each.groupBy("site_key", "source").agg(F.min(F.struct("place", "k")).alias("at")).groupBy("site_key").agg(F.array_sort(F.collect_list(F.struct("at", "source"))).alias("found"))
+        best = best.join(found, "site_key", "left").withColumn("united", F.coalesce(F.array_join(F.transform("found", lambda x: x["source"]), "; "), F.lit("")))
+    chosen = (F.col("united").alias(c) if c == "source_column" else F.col(f"row.{c}").alias(c) for c in columns)
+    return best.select("site_key", *chosen, F.col("first_index").alias("original_index"), (F.col("n_variants") - 1).alias("hidden_variants"))
 
 
 def inventory_stats(raw: DataFrame, collapsed: DataFrame) -> DataFrame:

@@ -127,6 +127,15 @@ def _state(rows: DataFrame, cells: list[str]) -> Column:
     )
 
 
+def row_priority(cell) -> Column:
+    """What a row's status, filled cells, time and host weigh; cell(name) gives a cell."""
+    n = count_true(*(is_filled(cell(c)) for c in COUNTED))
+    processed, success = is_filled(cell("status")), trim(cell("status")) == "success"
+    time = status.sort_millis(cell("processed_at"), cell("extraction_run_id"), cell("source_review_queue"))
+    of_status = F.when(success, PROCESSED + SUCCEEDED).when(processed, PROCESSED + FAILED).otherwise(0)
+    return of_status + PER_FIELD * n + time + F.when(U.is_www(cell("domain")) | U.is_www(cell("normalized_url")), 0).otherwise(1)
+
+
 class _Fold:
     """The merge of two states, as expressions; cells are found by their place."""
 

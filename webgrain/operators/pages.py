@@ -79,16 +79,26 @@ def font_families(html: Column) -> Column:
     return F.slice(distinct_ignoring_case(keep), 1, 14)
 
 
+# Families that hint at a style.
+SERIF = "playfair|georgia|garamond|merriweather|lora|times|baskerville|caslon|dm serif|libre baskerville|noto serif|source serif"
+SANS = "inter|helvetica|arial|roboto|open sans|lato|segoe|sf pro|system|neue|frutiger|avenir|futura|gill sans|source sans|noto sans|ibm plex sans|work sans"
+GEOMETRIC = "montserrat|poppins|nunito|raleway|quicksand|rubik|outfit|manrope|urbanist"
+PLAYFUL = "comic|pacifico|lobster|fredoka|baloo|chewy|bubblegum|marker|handwriting|caveat|amatic"
+TECHNICAL = "mono|courier|consolas|menlo|fira code|jetbrains|source code|ibm plex mono|roboto mono|inconsolata|space mono"
+
+
 def style_guess(families: Column) -> Column:
-    """playful, technical, serif or sans, from font families."""
-    f = F.lower(F.array_join(families, " "))
-    serif = F.size(F.filter(families, lambda x: F.lower(x).rlike("serif|georgia|times|garamond|playfair|merriweather|lora") & ~F.lower(x).contains("sans")))
+    """playful, technical, classic_serif (serif hints and no others), modern_sans or unknown, from font families."""
+    names = F.lower(F.array_join(families, " "))
+    hints = lambda words: names.rlike(rf"\b({words})\b")
+    plain = hints(SANS) | hints(GEOMETRIC)
     return (
-        F.when(F.size(families) == 0, "unknown")
-        .when(f.rlike("comic|pacifico|lobster|fredoka|baloo"), "playful")
-        .when(f.rlike("mono|code|courier|consolas"), "technical")
-        .when(serif * 2 > F.size(families), "serif")
-        .otherwise("sans")
+        F.when(trim(names) == "", "unknown")
+        .when(hints(PLAYFUL), "playful")
+        .when(hints(TECHNICAL), "technical")
+        .when(hints(SERIF) & ~plain, "classic_serif")
+        .when(plain, "modern_sans")
+        .otherwise("unknown")
     )
 
 
@@ -151,10 +161,44 @@ def within_budget(pages: DataFrame, site_col: str, seq_col: str, text_col: str =
     return sized.withColumn("_before", before).withColumn(text_col, F.substring(F.col(text_col), F.lit(1), left)).drop("_own", "_before")
 
 
-def quality_grade(pages_seen: Column, has_name: Column, n_contacts: Column, n_colors: Column, blocked: Column) -> Column:
-    """high, medium or low: the least of the grades for identity, contact and look; low if blocked."""
-    identity = F.when(has_name & (pages_seen >= 2), 3).when(has_name, 2).otherwise(1)
-    reach = F.when(n_contacts >= 2, 3).when(n_contacts == 1, 2).otherwise(1)
-    look = F.when(n_colors >= 2, 3).when(n_colors == 1, 2).otherwise(1)
-    least = F.when(blocked, 1).otherwise(F.least(identity, reach, look))
-    return F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), least)
+LEVELS = ["low", "medium", "high"]
+# Where good logo candidates come from, and the roles of weak ones.
+STRONG_LOGO_SOURCES, WEAK_LOGO_ROLES = ["header-image", "img-logo", "og:image"], ["fallback_icon", "social_preview", "unknown"]
+FETCHED = ["success", "partial"]
+
+
+def is_favicon(logo: Column) -> Column:
+    """Whether a candidate without a role (struct url, source) is a page's small icon and no logo."""
+    u, s = logo["url"], logo["source"]
+    svg = u.rlike(r"(?i)\.svg(?:$|\?)") & u.rlike("(?i)logo|wordmark")
+    icon = ~svg & (u.rlike(r"(?i)\.ico(?:$|\?)|favicon") | (s == "icon"))
+    return F.coalesce(F.when(s.isin("og:image", "twitter:image"), ~u.rlike("(?i)logo|brand|wordmark")).when(s.isin("icon", "apple-touch-icon"), icon), F.lit(False))
+
+
+def only_favicons(logos: Column) -> Column:
+    """Whether there are candidates (url, source, logoRole) and none is more than a small icon or a social preview."""
+    role = lambda x: F.coalesce(x["logoRole"], F.lit(""))
+    by_role = F.forall(logos, lambda x: role(x).isin(*WEAK_LOGO_ROLES))
+    return (F.size(logos) > 0) & F.when(F.exists(logos, lambda x: role(x) != ""), by_role).otherwise(F.forall(logos, is_favicon))
+
+
+def quality_levels(name: Column, name_source: Column, logos: Column, n_services: Column, n_products: Column, blocked: Column, fetch_status: Column) -> Column:
+    """struct(business_name, logo, services_products, overall): low, medium or high each; overall is the least of them.
+
+    logos: array of (url, source, logoRole), best first. A blocked fetch that left nothing useful makes overall low.
+    """
+    top = F.get(logos, F.lit(0))
+    of_name = F.when(trim(name) == "", "low").when(name_source == "claude", "high").when(name_source == "title", "medium").otherwise("low")
+    of_logo = (
+        F.when((F.size(logos) == 0) | only_favicons(logos), "low")
+        .when(top["logoRole"] == "wordmark", "high")
+        .when(top["logoRole"] == "icon_mark", "medium")
+        .when(top["source"].isin(*STRONG_LOGO_SOURCES), "high")
+        .otherwise("medium")
+    )
+    of_offers = F.when((n_services >= 2) | (n_products >= 2) | ((n_services >= 1) & (n_products >= 1)), "high").when(n_services + n_products >= 1, "medium").otherwise("low")
+    useful = fetch_status.isin(*FETCHED) & ((F.size(logos) > 0) | (n_services > 0) | (n_products > 0))
+    levels = F.array(of_name, of_logo, of_offers)
+    least = F.when(F.array_contains(levels, "low"), "low").when(F.array_contains(levels, "medium"), "medium").otherwise("high")
+    overall = F.when(blocked & ~F.coalesce(useful, F.lit(False)), "low").otherwise(least)
+    return F.struct(of_name.alias("business_name"), of_logo.alias("logo"), of_offers.alias("services_products"), overall.alias("overall"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from webgrain.functions import cleanup
 from webgrain.functions.base import trim
+from webgrain.operators import pages
 
 _FIELDS = ("services", "address", "phone", "email", "brandColors")
 
@@ -26,6 +27,29 @@ def business_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "b.name", F.col("b.source").alias("name_source"))
 
 
+# What a form was left with and what was suggested for it; both engines read these alike.
+_SUGGESTED = "CASE page_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'Example Brand Co.' WHEN 2 THEN concat('Shop ', CAST(page_id % 50 AS STRING)) ELSE regexp_extract(html, '<title>([^ <]*)', 1) END"
+_INTAKE = "CASE page_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'Example Brand Co.' ELSE concat('SHOP ', CAST(page_id % 40 AS STRING)) END"
+
+
+def business_name_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As business_name, with suggestions and forms in which the placeholder stands."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").selectExpr("*", f"{_SUGGESTED} AS suggested", f"{_INTAKE} AS intake")
+    title = trim(F.regexp_replace(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " "))
+    heading = trim(F.regexp_replace(F.regexp_replace(F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1>", 1), "<[^>]*>", " "), r"\s+", " "))
+    host = F.regexp_extract("url", r"^https?://([^/?#:]+)", 1)
+    return pages.select("page_id", cleanup.resolved_name(F.col("suggested"), F.col("intake"), heading, title, host).alias("b")).select("page_id", "b.name", F.col("b.source").alias("name_source"), "b.inferred_from_domain")
+
+
+def font_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The style that a page's font families hint at; its title words stand in for families."""
+    pages_ = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return pages_.selectExpr("page_id", f"split({_FAMILIES}, ',') AS families").select("page_id", pages.style_guess(F.col("families")).alias("style"))
+
+
+_FAMILIES = "concat(CASE page_id % 8 WHEN 0 THEN 'Georgia,' WHEN 1 THEN 'Playfair Display,Inter,' WHEN 2 THEN 'Roboto Mono,' WHEN 3 THEN 'Poppins,' WHEN 4 THEN 'Comic Sans MS,Arial,' WHEN 5 THEN '' WHEN 6 THEN 'Monotype,' ELSE 'Lora,' END, CASE page_id % 3 WHEN 0 THEN regexp_extract(html, '<a href=\"/([^\"]*)\"', 1) ELSE '' END)"
+
+
 def _squeeze(x: str) -> str:
     return rf"trim(regexp_replace({x}, '[\s ]+', ' ', 'g'))"
 
@@ -56,7 +80,7 @@ _PUNCT = r"(){}\[\].,;:!?\-_|/\\·•"
 _TITLE = r"trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g'))"
 _HEADING = r"trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"
 
-QUERIES = {"extracted_value_cleanup": extracted_value_cleanup, "business_name": business_name}
+QUERIES = {"extracted_value_cleanup": extracted_value_cleanup, "business_name": business_name, "business_name_resolved": business_name_resolved, "font_style": font_style}
 
 SQL = {
     "extracted_value_cleanup": rf"""WITH r AS (SELECT doc_id, '( , ) Home | 10 x 12;; aaaaaaab, (- big -) ...' || coalesce(text, '') || '· AI [;] ' AS raw FROM documents),
@@ -91,3 +115,11 @@ SQL = {
       SELECT n.page_id, coalesce(g.s, d.name, '') AS name, CASE WHEN g.s IS NOT NULL THEN 'title' WHEN d.name IS NOT NULL THEN 'domain' ELSE 'none' END AS name_source
       FROM n LEFT JOIN g ON n.page_id = g.page_id AND g.place = 1 LEFT JOIN d ON n.page_id = d.page_id""",
 }
+
+SQL["business_name_resolved"] = f"""SELECT page_id, CASE WHEN s <> '' THEN s ELSE name END AS name, CASE WHEN s <> '' THEN 'claude' ELSE name_source END AS name_source, s = '' AND name_source = 'domain' AS inferred_from_domain
+  FROM (SELECT page_id, CASE WHEN i IN ('', 'Example Brand Co.') AND (g = 'Example Brand Co.' OR (i <> '' AND lower(g) = lower(i))) THEN '' ELSE g END AS s FROM (SELECT page_id, trim({_SUGGESTED}) AS g, {_INTAKE} AS i FROM pages))
+  JOIN ({SQL["business_name"]}) USING (page_id)"""
+_HINT = rf"regexp_matches(f, '\b({{0}})\b')"
+SQL["font_style"] = f"""SELECT page_id, CASE WHEN trim(f) = '' THEN 'unknown' WHEN {_HINT.format(pages.PLAYFUL)} THEN 'playful' WHEN {_HINT.format(pages.TECHNICAL)} THEN 'technical'
+  WHEN {_HINT.format(pages.SERIF)} AND NOT {_HINT.format(pages.SANS + "|" + pages.GEOMETRIC)} THEN 'classic_serif' WHEN {_HINT.format(pages.SANS + "|" + pages.GEOMETRIC)} THEN 'modern_sans' ELSE 'unknown' END AS style
+  FROM (SELECT page_id, lower(replace({_FAMILIES}, ',', ' ')) AS f FROM pages)"""

@@ -72,7 +72,7 @@ def inventory_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inventory_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inventory.collapse_inventory(_inventory(spark, sf_dir)).select("site_key", "seq", "original_index", "extraction_status", "hidden_variants")
+    return inventory.collapse_inventory(_inventory(spark, sf_dir)).select("site_key", "seq", "original_index", "extraction_status", "hidden_variants", "source_column")
 
 
 def _sorted(mode: str):
@@ -89,18 +89,22 @@ _INV = f"""{_R}, b AS (SELECT * FROM r),
   j AS (SELECT c.*, coalesce(x.seq, y.seq) AS review_seq FROM c LEFT JOIN i x ON x.domain_key = nullif({S.canonical(S.host_of("c.normalized_url"))}, '')
     LEFT JOIN i y ON y.domain_key = {S.domain_key("c.canonical_domain", "c.domain", "c.normalized_url", "c.raw_url")}),
   inv AS (SELECT j.*, CASE WHEN review_seq IS NULL THEN 'not_run' WHEN b.status = '' THEN 'failed' ELSE {_status("b.status")} END AS extraction_status,
-      b.processed_at, b.extracted_business_name, b.selected_logo_url, b.logo_candidate_count, b.extracted_color_hexes, b.primary_color_hex
+      b.processed_at, b.extracted_business_name, b.selected_logo_url, b.logo_candidate_count, b.extracted_color_hexes, b.primary_color_hex,
+      CASE b.status WHEN 'success' THEN 1500000 WHEN '' THEN 0 ELSE 1200000 END + 1000 * ({" + ".join(f"CAST(b.{c} <> '' AS INT)" for c in merge.COUNTED if c in I.REVIEWS)})
+        + CASE WHEN regexp_matches(b.domain, '^(?i)(https?://)?www[.]') OR regexp_matches(b.normalized_url, '^(?i)(https?://)?www[.]') THEN 0 ELSE 1 END AS review_priority
     FROM j LEFT JOIN b ON b.seq = j.review_seq)"""
 
 _COLLAPSED = f"""{_INV}, scored AS (
     SELECT *, {S.site_key("canonical_domain", "domain", "normalized_url", "raw_url")} AS site_key,
       CASE WHEN extraction_status <> 'not_run' THEN 1000000 ELSE 0 END + 500000 * CASE extraction_status WHEN 'success' THEN 3 WHEN 'failed' THEN 2 ELSE 1 END
-      + coalesce(epoch_ms(CAST(replace(replace(processed_at, 'T', ' '), 'Z', '') AS TIMESTAMP)), 0)
+      + coalesce(epoch_ms(CAST(replace(replace(processed_at, 'T', ' '), 'Z', '') AS TIMESTAMP)) + review_priority, 0)
       + CASE WHEN regexp_matches(domain, '^(?i)(https?://)?www[.]') OR regexp_matches(normalized_url, '^(?i)(https?://)?www[.]') THEN 0 ELSE 1 END AS score FROM inv
   ), col AS (
-    SELECT site_key, seq, extraction_status, review_seq, canonical_domain, min(seq) OVER (PARTITION BY site_key) AS original_index, count(*) OVER (PARTITION BY site_key) - 1 AS hidden_variants,
+    SELECT site_key, seq, extraction_status, review_seq, canonical_domain, source_column, score, min(seq) OVER (PARTITION BY site_key) AS original_index, count(*) OVER (PARTITION BY site_key) - 1 AS hidden_variants,
       row_number() OVER (PARTITION BY site_key ORDER BY score DESC, seq) AS nr FROM scored WHERE site_key IS NOT NULL
-  ), collapsed AS (SELECT * FROM col WHERE nr = 1)"""
+  ), collapsed AS (SELECT * FROM col WHERE nr = 1),
+  step AS (SELECT site_key, source_column, seq, score > coalesce(max(score) OVER (PARTITION BY site_key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS is_best FROM col),
+  united AS (SELECT site_key, string_agg(source_column, '; ' ORDER BY place) AS sources FROM (SELECT site_key, source_column, min(CASE WHEN is_best THEN -seq ELSE seq END) AS place FROM step WHERE source_column <> '' GROUP BY ALL) GROUP BY site_key)"""
 
 _ORDERS = {
     "recent": "coalesce(processed_at, '') DESC, seq",
@@ -246,7 +250,7 @@ SQL = {
         SELECT *, count(*) OVER (PARTITION BY attempt_key) AS n_attempts, row_number() OVER (PARTITION BY attempt_key ORDER BY o DESC, processed_at DESC, filled DESC, www, seq) AS nr FROM x
       ) WHERE nr = 1""",
     "inventory_left_join": f"WITH {_INV} SELECT seq, extraction_status, review_seq FROM inv",
-    "inventory_collapse": f"WITH {_COLLAPSED} SELECT site_key, seq, original_index, extraction_status, hidden_variants FROM collapsed",
+    "inventory_collapse": f"WITH {_COLLAPSED} SELECT site_key, seq, original_index, extraction_status, hidden_variants, coalesce(sources, '') AS source_column FROM collapsed LEFT JOIN united USING (site_key)",
     "inventory_stats": f"""WITH {_COLLAPSED} SELECT (SELECT count(*) FROM inv) AS n_raw, count(*) AS n_rows, count(*) FILTER (extraction_status = 'success') AS n_success,
       count(*) FILTER (extraction_status = 'failed') AS n_failed, count(*) FILTER (extraction_status = 'not_run') AS n_not_run, count(review_seq) AS n_with_review,
       count(DISTINCT canonical_domain) AS n_domains, CAST(coalesce(sum(hidden_variants), 0) AS BIGINT) AS n_hidden FROM collapsed""",

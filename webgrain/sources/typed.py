@@ -86,8 +86,12 @@ def write_typed(df: DataFrame, path: str, columns: list[str]) -> None:
 
 
 def read_score_summary(rows: DataFrame) -> DataFrame:
-    """One row from (section, key, value) rows: input_file, the metrics (0 where they are no numbers), averages, status counts and notes."""
-    cells = rows.select(*(trim(F.col(c)).alias(c) for c in ("section", "key", "value"))).filter("section <> '' AND key <> ''")
+    """One row from (section, key, value) rows: input_file, the metrics (0 where they are no numbers), averages, status counts and notes.
+
+    Of rows with one section and key the last counts.
+    """
+    each = rows.select(*(trim(F.col(c)).alias(c) for c in ("section", "key", "value")), F.monotonically_increasing_id().alias("at")).filter("section <> '' AND key <> ''")
+    cells = each.groupBy("section", "key").agg(F.max_by("value", "at").alias("value"))
     number = lambda c: F.coalesce(c.try_cast("double"), F.lit(0.0)).cast("long")
 
     def of(section: str, value: Column) -> Column:
