@@ -202,3 +202,39 @@ def quality_levels(name: Column, name_source: Column, logos: Column, n_services:
     least = F.when(F.array_contains(levels, "low"), "low").when(F.array_contains(levels, "medium"), "medium").otherwise("high")
     overall = F.when(blocked & ~F.coalesce(useful, F.lit(False)), "low").otherwise(least)
     return F.struct(of_name.alias("business_name"), of_logo.alias("logo"), of_offers.alias("services_products"), overall.alias("overall"))
+
+
+# The codes of warnings, in their order, and what a fetch's diagnostics are called among them.
+BLOCKED_CODE, FETCH_CODE, PARTIAL_CODE, CUT_CODE, SKIPPED_CODE = "site_blocked_static_fetch", "website_fetch_failed", "large_site_partial_extraction", "body_truncated", "claude_failed_or_skipped"
+NAME_CODE, DOMAIN_NAME_CODE, LOGO_CODE, FAVICON_CODE, OFFER_CODE, EMPTY_CODE = "missing_business_name", "business_name_inferred_from_domain", "missing_logo_candidates", "favicon_only_logo_candidate", "missing_services_products", "low_content_extracted"
+DEPTH_CODES = {c: c for c in ("scrape_depth_low", "pages_failed", "no_same_domain_links", "no_contact_pages_found", "timeout", "body_truncated")} | {"blocked": BLOCKED_CODE}
+MOST_WARNINGS = 16
+
+
+def warning_codes(fetch: Column, analysed: Column, name: Column, name_source: Column, logos: Column, n_services: Column, n_products: Column, has_contact: Column) -> Column:
+    """Distinct codes of what makes an extraction less reliable, in order.
+
+    fetch: struct(status, reason, blocked, diagnostics: array); analysed: whether the
+    analysis ran and succeeded; logos: array of (url, source, logoRole).
+    """
+    given = F.create_map(*(F.lit(x) for pair in DEPTH_CODES.items() for x in pair))
+    partial = (fetch["status"] == "partial") | F.coalesce(fetch["reason"] == "body_truncated", F.lit(False))
+    no_offers, no_logos = (n_services == 0) & (n_products == 0), F.size(logos) == 0
+    of_depth = F.transform(F.coalesce(fetch["diagnostics"], F.array().cast("array<string>")), lambda d: F.try_element_at(given, d))
+    listed = F.concat(
+        F.array(F.when(fetch["blocked"], BLOCKED_CODE), F.when(~fetch["status"].isin(*FETCHED), FETCH_CODE), F.when(partial, PARTIAL_CODE), F.when(partial, CUT_CODE)),
+        of_depth,
+        F.array(
+            F.when(~analysed, SKIPPED_CODE),
+            F.when(trim(name) == "", NAME_CODE).when(name_source == "domain", DOMAIN_NAME_CODE),
+            F.when(no_logos, LOGO_CODE).when(only_favicons(logos), FAVICON_CODE),
+            F.when(no_offers, OFFER_CODE),
+            F.when(no_offers & ~has_contact & no_logos, EMPTY_CODE),
+        ),
+    )
+    return F.array_distinct(F.array_compact(listed))
+
+
+def merged_warnings(written: Column, codes: Column) -> Column:
+    """Written warnings, then codes: trimmed, distinct, capped."""
+    return distinct_capped(F.transform(F.concat(written, codes), trim), MOST_WARNINGS)
