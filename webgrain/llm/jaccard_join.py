@@ -35,7 +35,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webgrain.llm import _text
@@ -232,8 +232,17 @@ def _band_width(percent: int) -> float:
     return max(-float(np.log(percent / 100)), 1e-6) * 1.000001
 
 
+def _parts_of(band: Column, percent: int) -> Column:
+    """part_number of a column of bands."""
+    return F.ceil(F.exp((band + 1) * _band_width(percent)) * (1 - percent / 100) / (percent / 100)) + 2
+
+
 def _parts(docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
-    """(node, band, part, sign): a hash of what each set has in each part, for the nodes (node, key, band) and their band's number of parts."""
+    """(node, band, part, sign): a hash of what each set has in each part, for the nodes (node, key, band) and their band's number of parts.
+
+    A set with something in more parts than it can differ in from a set that it links with
+    agrees with that one on a part that is not empty, so its empty parts are left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _text.slices(batches, "text"):
@@ -243,9 +252,13 @@ def _parts(docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataF
             at = first[doc] + ((hashed >> _U(32)) * number[doc].astype(_U) >> _U(32)).astype(np.int64)
             sign = np.zeros(int(number.sum()), dtype=_U)
             np.add.at(sign, at, _text.mix(hashed ^ _U(0x2545F4914F6CDD1D)))
-            owner = pa.array(np.repeat(np.arange(part.num_rows), number))
-            place = np.arange(sign.size) - np.repeat(first, number)
-            yield pa.RecordBatch.from_arrays([part.column("node").take(owner), part.column("band").take(owner), pa.array(place.astype(np.int32)), _text.signed(sign)], ["node", "band", "part", "sign"])
+            owner = np.repeat(np.arange(part.num_rows), number)
+            filled = np.zeros(sign.size, dtype=bool)
+            filled[at] = True
+            enough = np.bincount(owner[filled], minlength=part.num_rows) > number - 2
+            sent = filled | ~enough[owner]
+            place, rows = (np.arange(sign.size) - np.repeat(first, number))[sent], pa.array(owner[sent])
+            yield pa.RecordBatch.from_arrays([part.column("node").take(rows), part.column("band").take(rows), pa.array(place.astype(np.int32)), _text.signed(sign[sent])], ["node", "band", "part", "sign"])
 
     found = docs.select("key", "text").join(few(nodes), "key").select("node", "band", "text")
     return found.mapInArrow(run, "node long, band int, part int, sign long")
@@ -261,7 +274,7 @@ def _across(entries: DataFrame, placed: DataFrame, own: DataFrame, nodes: DataFr
     x = entries.withColumn("cell", F.col("band"))
     y = entries.withColumn("cell", F.explode(F.array(F.col("band"), F.col("band") - 1)))
     cells = x.groupBy("gram", "cell").agg(F.count("*").alias("nx")).join(y.groupBy("gram", "cell").agg(F.count("*").alias("ny")), ["gram", "cell"])
-    parts = F.ceil(F.exp((F.col("cell") + 1) * _band_width(percent)) * (1 - percent / 100) / (percent / 100)) + 2
+    parts = _parts_of(F.col("cell"), percent)
     cells = cut(cells.select("gram", "cell", (F.col("nx").cast("double") * F.col("ny") > BY_PARTS * (F.col("nx") + F.col("ny")) * parts).alias("long_list")))
 
     # Short lists: all pairs that size and position let pass.
@@ -272,22 +285,27 @@ def _across(entries: DataFrame, placed: DataFrame, own: DataFrame, nodes: DataFr
     fits = (100 * F.col("p.n") >= percent * F.col("q.n")) & ((100 + percent) * left >= percent * (F.col("p.n") + F.col("q.n")))
     same = (F.col("p.gram") == F.col("q.gram")) & (F.col("p.cell") == F.col("q.cell")) & (F.col("p.comp") != F.col("q.comp"))
     groups = p.join(q, same & ordered & fits).select(*(F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "pq" for c in ("grp", "comp"))).distinct()
-    # Members of one group that the earlier rounds left in several components.
-    halves = placed.select("grp", "comp").distinct()
-    mixed = halves.groupBy("grp").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("grp")
-    halves = cut(halves.join(mixed, "grp"))
-    within = halves.alias("p").join(halves.alias("q"), (F.col("p.grp") == F.col("q.grp")) & (F.col("p.comp") < F.col("q.comp")))
+    # Members of one group that the earlier rounds left in several components; many of them go by parts too.
+    halves = placed.select("grp", "comp", "n").distinct()
+    band = F.floor(F.log("n") / _band_width(percent)).cast("int")
+    mixed = halves.groupBy("grp").agg(F.count("*").alias("comps"), F.min("n").alias("n")).filter("comps > 1").withColumn("band", band)
+    mixed = cut(mixed.withColumn("long_group", F.col("comps") > 2 * BY_PARTS * _parts_of(F.col("band"), percent)))
+    few_halves = cut(halves.join(mixed.filter("NOT long_group").select("grp"), "grp"))
+    within = few_halves.alias("p").join(few_halves.alias("q"), (F.col("p.grp") == F.col("q.grp")) & (F.col("p.comp") < F.col("q.comp")))
     within = within.select(*(F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "pq" for c in ("grp", "comp")))
     groups = cut(groups.unionByName(within))
     side = lambda s, name: placed.select(F.col("grp").alias(f"grp_{s}"), F.col("comp").alias(f"comp_{s}"), F.col("node").alias(name))
     pairs = groups.join(side("p", "a"), ["grp_p", "comp_p"]).join(side("q", "b"), ["grp_q", "comp_q"]).select("a", "b")
 
-    # Long lists: pairs that agree on a whole part.
+    # Long lists and groups: pairs that agree on a whole part.
+    long_groups = mixed.filter("long_group").select("grp", "band")
+
     def asked(entry: DataFrame) -> DataFrame:
         found = entry.join(long, ["gram", "cell"]).select("grp", "comp", F.col("cell").alias("band")).distinct()
-        return cut(found.join(placed, ["grp", "comp"]).select("node", "comp", "n", "band").distinct())
+        rows = found.join(placed, ["grp", "comp"]).select("node", "comp", "n", "band")
+        return cut(rows.unionByName(placed.join(long_groups, "grp").select("node", "comp", "n", "band")).distinct())
 
-    if long.limit(1).count():
+    if long.limit(1).count() or long_groups.limit(1).count():
         sides = [asked(x), asked(y)]
         wanted = sides[0].select("node", "band").union(sides[1].select("node", "band")).distinct()
         signs = cut(_parts(own, nodes.select("node", "key").join(wanted, "node"), width, percent))
