@@ -31,6 +31,7 @@ a pair send theirs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -48,8 +49,11 @@ FREQUENT = 1 << 18
 BY_PARTS = 4
 #: Partners that each component tries in the second round, each by another order of nodes.
 PARTNERS = 12
-#: Counters of a set's n-grams by hash, which bound the overlap of two sets from above.
-COUNTERS = 128
+#: Words of 64 bits in a set's sketch: a bit for each part of the hash range, set where the part holds an odd number of
+#: n-grams. Bits in which two sketches differ are no more than the n-grams in which the sets differ.
+SKETCH = 16
+#: So many rows are sketched at once.
+SKETCHED = 1 << 10
 #: A task sums this many n-grams before it says which of them occur in MIN_SEEN texts or more.
 GATHER, MIN_SEEN = 1 << 21, 4
 
@@ -148,16 +152,12 @@ def global_order(docs: DataFrame, width: int, most: int = FREQUENT, text_col: st
 
 
 def _documents(docs: DataFrame, width: int, percent: int, order_of: Order) -> DataFrame:
-    """(id, key, node, n, prefix, counters) of each row of (id, key, text).
-
-    node is a hash of the set, null if it is empty; counters say how many of its
-    n-grams fall to each of COUNTERS parts of the hash range.
-    """
+    """(id, key, node, n, prefix, sketch) of each row of (id, key, text); node is a hash of the set, null if it is empty."""
     sent = docs.sparkSession.sparkContext.broadcast(order_of)
     id_type = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _text.slices(batches, "text"):
+        for part in _text.slices(batches, "text", rows=SKETCHED):
             rows = part.num_rows
             hashed, doc = shingle_sets(part.column("text"), width)
             n = np.bincount(doc, minlength=rows)
@@ -170,8 +170,9 @@ def _documents(docs: DataFrame, width: int, percent: int, order_of: Order) -> Da
             size = np.where(100 * n >= percent * (n + 1), prefix_size(n, percent), 0)
             taken = order[place < size[doc]]
             ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-            part_of = doc * COUNTERS + (hashed >> _U(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
-            counters = np.bincount(part_of, minlength=rows * COUNTERS).astype(np.int32)
+            bit = doc * (SKETCH * 64) + (_text.mix(hashed ^ _U(0x1D8E4E27C47D124F)) >> _U(64 - (SKETCH * 64).bit_length() + 1)).astype(np.int64)
+            odd = (np.bincount(bit, minlength=rows * SKETCH * 64) & 1).astype(np.uint8)
+            sketch = np.packbits(odd, bitorder="little").view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("id"),
@@ -179,12 +180,12 @@ def _documents(docs: DataFrame, width: int, percent: int, order_of: Order) -> Da
                     pa.array(node.view(np.int64), mask=n == 0),
                     pa.array(n.astype(np.int64)),
                     pa.ListArray.from_arrays(pa.array(ends), _text.signed(hashed[taken])),
-                    pa.ListArray.from_arrays(pa.array(np.arange(0, (rows + 1) * COUNTERS, COUNTERS, dtype=np.int32)), pa.array(counters)),
+                    pa.ListArray.from_arrays(pa.array(np.arange(0, (rows + 1) * SKETCH, SKETCH, dtype=np.int32)), pa.array(sketch)),
                 ],
-                ["id", "key", "node", "n", "prefix", "counters"],
+                ["id", "key", "node", "n", "prefix", "sketch"],
             )
 
-    return docs.mapInArrow(run, f"id {id_type}, key long, node long, n long, prefix array<long>, counters array<int>")
+    return docs.mapInArrow(run, f"id {id_type}, key long, node long, n long, prefix array<long>, sketch array<long>")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
@@ -200,16 +201,21 @@ def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     return found.mapInArrow(run, "node long, grams array<long>").dropDuplicates(["node"])
 
 
+def _may_link(x: Column, y: Column, sizes: Column, percent: int) -> Column:
+    """Whether two sets, by their sketches and the sum of their sizes, may reach the threshold; true where a sketch is null."""
+    bits = reduce(lambda a, b: a + b, (F.bit_count(F.get(x, F.lit(k)).bitwiseXOR(F.get(y, F.lit(k)))) for k in range(SKETCH)))
+    return F.coalesce((100 + percent) * bits <= (100 - percent) * sizes, F.lit(True))
+
+
 def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
     """Those pairs (a, b) of nodes that reach the threshold.
 
-    Counters discard pairs that cannot overlap enough; the rest is verified on
-    whole sets.
+    Sketches discard pairs that differ too much; the rest is verified on whole
+    sets.
     """
-    side = lambda s, c: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("counters").alias(c))
+    side = lambda s, c: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(c))
     near = cut(pairs.distinct()).join(side("a", "x"), "a").join(side("b", "y"), "b")
-    most = F.aggregate(F.zip_with("x", "y", lambda p, q: F.least(p, q)), F.lit(0), lambda n, c: n + c)
-    pairs = cut(near.filter((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b"))
+    pairs = cut(near.filter(_may_link(F.col("x"), F.col("y"), F.col("n_a") + F.col("n_b"), percent)).select("a", "b"))
     wanted = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
     sets = cut(_sets(docs, nodes.select("node", "key").join(wanted, "node"), width))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(
@@ -264,8 +270,12 @@ def _parts(docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataF
     return found.mapInArrow(run, "node long, band int, part int, sign long")
 
 
+def all_equal(p: str, q: str, *columns: str) -> Column:
+    return reduce(lambda a, b: a & b, (F.col(f"{p}.{c}") == F.col(f"{q}.{c}") for c in columns))
+
+
 def _across(entries: DataFrame, placed: DataFrame, own: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b): candidate pairs of nodes across components, from list entries (gram, band, grp, comp, n, place).
+    """(a, b): candidate pairs of nodes across components, from list entries (gram, band, grp, comp, n, place, sketch: of a lone node).
 
     a is the smaller set, or the lesser node of equal ones; b stands in the same band or the next.
     """
@@ -283,6 +293,7 @@ def _across(entries: DataFrame, placed: DataFrame, own: DataFrame, nodes: DataFr
     left = F.least(F.col("p.n") - F.col("p.place"), F.col("q.n") - F.col("q.place"))
     ordered = (F.col("p.n") < F.col("q.n")) | ((F.col("p.n") == F.col("q.n")) & (F.col("p.comp") < F.col("q.comp")))
     fits = (100 * F.col("p.n") >= percent * F.col("q.n")) & ((100 + percent) * left >= percent * (F.col("p.n") + F.col("q.n")))
+    fits = fits & _may_link(F.col("p.sketch"), F.col("q.sketch"), F.col("p.n") + F.col("q.n"), percent)
     same = (F.col("p.gram") == F.col("q.gram")) & (F.col("p.cell") == F.col("q.cell")) & (F.col("p.comp") != F.col("q.comp"))
     groups = p.join(q, same & ordered & fits).select(*(F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "pq" for c in ("grp", "comp"))).distinct()
     # Members of one group that the earlier rounds left in several components; many of them go by parts too.
@@ -294,25 +305,26 @@ def _across(entries: DataFrame, placed: DataFrame, own: DataFrame, nodes: DataFr
     within = few_halves.alias("p").join(few_halves.alias("q"), (F.col("p.grp") == F.col("q.grp")) & (F.col("p.comp") < F.col("q.comp")))
     within = within.select(*(F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "pq" for c in ("grp", "comp")))
     groups = cut(groups.unionByName(within))
-    side = lambda s, name: placed.select(F.col("grp").alias(f"grp_{s}"), F.col("comp").alias(f"comp_{s}"), F.col("node").alias(name))
-    pairs = groups.join(side("p", "a"), ["grp_p", "comp_p"]).join(side("q", "b"), ["grp_q", "comp_q"]).select("a", "b")
+    side = lambda s, name: placed.select(F.col("grp").alias(f"grp_{s}"), F.col("comp").alias(f"comp_{s}"), F.col("node").alias(name), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
+    first, second = groups.join(side("p", "a"), ["grp_p", "comp_p"]).alias("l"), side("q", "b").alias("r")
+    met = all_equal("l", "r", "grp_q", "comp_q") & _may_link(F.col("sketch_p"), F.col("sketch_q"), F.col("n_p") + F.col("n_q"), percent)
+    pairs = first.join(second, met).select("a", "b")
 
     # Long lists and groups: pairs that agree on a whole part.
     long_groups = mixed.filter("long_group").select("grp", "band")
 
     def asked(entry: DataFrame) -> DataFrame:
         found = entry.join(long, ["gram", "cell"]).select("grp", "comp", F.col("cell").alias("band")).distinct()
-        rows = found.join(placed, ["grp", "comp"]).select("node", "comp", "n", "band")
-        return cut(rows.unionByName(placed.join(long_groups, "grp").select("node", "comp", "n", "band")).distinct())
+        columns = ["node", "comp", "n", "band", "sketch"]
+        rows = found.join(placed, ["grp", "comp"]).select(*columns)
+        return cut(rows.unionByName(placed.join(long_groups, "grp").select(*columns)).dropDuplicates(["node", "band"]))
 
     if long.limit(1).count() or long_groups.limit(1).count():
         sides = [asked(x), asked(y)]
         wanted = sides[0].select("node", "band").union(sides[1].select("node", "band")).distinct()
         signs = cut(_parts(own, nodes.select("node", "key").join(wanted, "node"), width, percent))
         p, q = (part.join(signs, ["node", "band"]).alias(s) for part, s in zip(sides, "pq", strict=True))
-        same = F.lit(True)
-        for c in ("band", "part", "sign"):
-            same = same & (F.col(f"p.{c}") == F.col(f"q.{c}"))
+        same = all_equal("p", "q", "band", "part", "sign") & _may_link(F.col("p.sketch"), F.col("q.sketch"), F.col("p.n") + F.col("q.n"), percent)
         ordered = (F.col("p.n") < F.col("q.n")) | ((F.col("p.n") == F.col("q.n")) & (F.col("p.node") < F.col("q.node")))
         fits = (F.col("p.comp") != F.col("q.comp")) & (100 * F.col("p.n") >= percent * F.col("q.n"))
         pairs = pairs.unionByName(p.join(q, same & ordered & fits).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")))
@@ -326,7 +338,7 @@ def _labelled(docs: DataFrame, width: int, percent: int, id_col: str, text_col:
     own = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
     rows = cut(_documents(own, width, percent, global_order(docs, width, text_col=text_col)).withColumn("grp", F.xxhash64("n", "prefix")))
     with_prefix = rows.filter("size(prefix) > 0")
-    one = with_prefix.select("node", "key", "n", "grp", "counters").dropDuplicates(["node"])
+    one = with_prefix.select("node", "key", "n", "grp", "sketch").dropDuplicates(["node"])
     nodes = cut(one.withColumn("band", F.floor(F.log("n") / _band_width(percent)).cast("int")))
 
     each = with_prefix.select("grp", "n", "node", F.posexplode("prefix").alias("place", "gram"))
@@ -344,8 +356,9 @@ def _labelled(docs: DataFrame, width: int, percent: int, id_col: str, text_col:
 
     # Each component with several nodes of its lists.
     def entries_of(known: DataFrame) -> tuple[DataFrame, DataFrame]:
-        placed = cut(nodes.select("grp", "node", "n").join(known, "node", "left").select("grp", "node", "n", F.coalesce("label", "node").alias("comp")))
-        cells = cut(placed.groupBy("grp", "comp").agg(F.min("node").alias("rep")))
+        placed = cut(nodes.select("grp", "node", "n", "sketch").join(known, "node", "left").select("grp", "node", "n", "sketch", F.coalesce("label", "node").alias("comp")))
+        own_sketch = F.when(F.count("*") == 1, F.first("sketch"))
+        cells = cut(placed.groupBy("grp", "comp").agg(F.min("node").alias("rep"), own_sketch.alias("sketch")))
         return cut(lists.drop("rep").join(cells, "grp")), placed
 
     entries, placed = entries_of(known)
