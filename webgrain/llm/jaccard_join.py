@@ -51,7 +51,9 @@ BY_PARTS = 4
 PARTNERS = 12
 #: Words of 64 bits in a set's sketch: a bit for each part of the hash range, set where the part holds an odd number of
 #: n-grams. Bits in which two sketches differ are no more than the n-grams in which the sets differ.
-SKETCH = 16
+SKETCH = 8
+#: Words of the folded sketch that rows of lists carry: words of the whole one, added bit by bit.
+FOLDED = [f"fold_{k}" for k in range(4)]
 #: So many rows are sketched at once.
 SKETCHED = 1 << 10
 #: A task sums this many n-grams before it says which of them occur in MIN_SEEN texts or more.
@@ -60,9 +62,13 @@ GATHER, MIN_SEEN = 1 << 21, 4
 _U = np.uint64
 
 
-def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, text) of the distinct word n-grams, by text and hash; fewer words than width are one n-gram."""
-    found = _text.words(texts, _text.NOT_SPACE, lower=True)
+def lower_words(texts: pa.Array) -> _text.Words:
+    return _text.words(texts, _text.NOT_SPACE, lower=True)
+
+
+def shingle_sets(texts: pa.Array, width: int, found: _text.Words | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text) of the distinct word n-grams, by text and hash; fewer words than width are one n-gram. found: the texts' words."""
+    found = found or lower_words(texts)
     hashed, first = _text.windows(found.hash, found.doc, width)
     doc = found.doc[first]
     n_words = np.bincount(found.doc, minlength=len(texts))
@@ -129,8 +135,9 @@ def global_order(docs: DataFrame, width: int, most: int = FREQUENT, text_col: st
                 parts.clear()
 
         for part in _text.slices(batches, text_col):
-            kept[0].append(shingle_sets(part.column(text_col), width)[0])
-            kept[1].append(_text.words(part.column(text_col), _text.NOT_SPACE, lower=True).hash)
+            found = lower_words(part.column(text_col))
+            kept[0].append(shingle_sets(part.column(text_col), width, found)[0])
+            kept[1].append(found.hash)
             size += kept[1][-1].size
             if size >= GATHER:
                 yield from seen()
@@ -158,13 +165,13 @@ def _documents(docs: DataFrame, width: int, percent: int, order_of: Order) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _text.slices(batches, "text", rows=SKETCHED):
-            rows = part.num_rows
-            hashed, doc = shingle_sets(part.column("text"), width)
+            rows, found = part.num_rows, lower_words(part.column("text"))
+            hashed, doc = shingle_sets(part.column("text"), width, found)
             n = np.bincount(doc, minlength=rows)
             node = np.zeros(rows, dtype=_U)
             np.add.at(node, doc, _text.mix(hashed ^ _U(0x5851F42D4C957F2D)))
             node = _text.mix(node + n.astype(_U))
-            rank = sent.value.ranks(_text.words(part.column("text"), _text.NOT_SPACE, lower=True), hashed, width)
+            rank = sent.value.ranks(found, hashed, width)
             order = np.lexsort((hashed, rank, doc))
             place = np.arange(hashed.size) - np.repeat(np.cumsum(n) - n, n)
             size = np.where(100 * n >= percent * (n + 1), prefix_size(n, percent), 0)
@@ -201,12 +208,18 @@ def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     return found.mapInArrow(run, "node long, grams array<long>").dropDuplicates(["node"])
 
 
-def _may_link(x: Column, y: Column, sizes: Column, percent: int) -> Column:
-    """Whether two sets, by their sketches and the sum of their sizes, may reach the threshold; true where a sketch is null."""
-    bits = reduce(lambda a, b: a + b, (F.bit_count(F.get(x, F.lit(k)).bitwiseXOR(F.get(y, F.lit(k)))) for k in range(SKETCH)))
+def _may_link(x: list[Column], y: list[Column], sizes: Column, percent: int) -> Column:
+    """Whether two sets, by the words of their sketches and the sum of their sizes, may reach the threshold; true where a word is null."""
+    bits = reduce(lambda a, b: a + b, (F.bit_count(p.bitwiseXOR(q)) for p, q in zip(x, y, strict=True)))
     return F.coalesce((100 + percent) * bits <= (100 - percent) * sizes, F.lit(True))
 
 
+def _folds(p: str, q: str, percent: int) -> Column:
+    """_may_link of two aliased rows with folded sketches."""
+    words = ([F.col(f"{s}.{c}") for c in FOLDED] for s in (p, q))
+    return _may_link(*words, F.col(f"{p}.n") + F.col(f"{q}.n"), percent)
+
+
 def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
     """Those pairs (a, b) of nodes that reach the threshold.
 
@@ -215,7 +228,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, per
     """
     side = lambda s, c: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(c))
     near = cut(pairs.distinct()).join(side("a", "x"), "a").join(side("b", "y"), "b")
-    pairs = cut(near.filter(_may_link(F.col("x"), F.col("y"), F.col("n_a") + F.col("n_b"), percent)).select("a", "b"))
+    pairs = cut(near.filter(_may_link(*([F.get(c, F.lit(k)) for k in range(SKETCH)] for c in ("x", "y")), F.col("n_a") + F.col("n_b"), percent)).select("a", "b"))
     wanted = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
     sets = cut(_sets(docs, nodes.select("node", "key").join(wanted, "node"), width))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(
@@ -275,7 +288,7 @@ def all_equal(p: str, q: str, *columns: str) -> Column:
 
 
 def _across(entries: DataFrame, placed: DataFrame, own: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b): candidate pairs of nodes across components, from list entries (gram, band, grp, comp, n, place, sketch: of a lone node).
+    """(a, b): candidate pairs of nodes across components, from list entries (gram, band, grp, comp, n, place, folded sketch of a lone node).
 
     a is the smaller set, or the lesser node of equal ones; b stands in the same band or the next.
     """
@@ -293,7 +306,7 @@ def _across(entries: DataFrame, placed: DataFrame, own: DataFrame, nodes: DataFr
     left = F.least(F.col("p.n") - F.col("p.place"), F.col("q.n") - F.col("q.place"))
     ordered = (F.col("p.n") < F.col("q.n")) | ((F.col("p.n") == F.col("q.n")) & (F.col("p.comp") < F.col("q.comp")))
     fits = (100 * F.col("p.n") >= percent * F.col("q.n")) & ((100 + percent) * left >= percent * (F.col("p.n") + F.col("q.n")))
-    fits = fits & _may_link(F.col("p.sketch"), F.col("q.sketch"), F.col("p.n") + F.col("q.n"), percent)
+    fits = fits & _folds("p", "q", percent)
     same = (F.col("p.gram") == F.col("q.gram")) & (F.col("p.cell") == F.col("q.cell")) & (F.col("p.comp") != F.col("q.comp"))
     groups = p.join(q, same & ordered & fits).select(*(F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "pq" for c in ("grp", "comp"))).distinct()
     # Members of one group that the earlier rounds left in several components; many of them go by parts too.
@@ -305,17 +318,16 @@ def _across(entries: DataFrame, placed: DataFrame, own: DataFrame, nodes: DataFr
     within = few_halves.alias("p").join(few_halves.alias("q"), (F.col("p.grp") == F.col("q.grp")) & (F.col("p.comp") < F.col("q.comp")))
     within = within.select(*(F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "pq" for c in ("grp", "comp")))
     groups = cut(groups.unionByName(within))
-    side = lambda s, name: placed.select(F.col("grp").alias(f"grp_{s}"), F.col("comp").alias(f"comp_{s}"), F.col("node").alias(name), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
+    side = lambda s, name: placed.select(F.col("grp").alias(f"grp_{s}"), F.col("comp").alias(f"comp_{s}"), F.col("node").alias(name), "n", *FOLDED)
     first, second = groups.join(side("p", "a"), ["grp_p", "comp_p"]).alias("l"), side("q", "b").alias("r")
-    met = all_equal("l", "r", "grp_q", "comp_q") & _may_link(F.col("sketch_p"), F.col("sketch_q"), F.col("n_p") + F.col("n_q"), percent)
-    pairs = first.join(second, met).select("a", "b")
+    pairs = first.join(second, all_equal("l", "r", "grp_q", "comp_q") & _folds("l", "r", percent)).select("a", "b")
 
     # Long lists and groups: pairs that agree on a whole part.
     long_groups = mixed.filter("long_group").select("grp", "band")
 
     def asked(entry: DataFrame) -> DataFrame:
         found = entry.join(long, ["gram", "cell"]).select("grp", "comp", F.col("cell").alias("band")).distinct()
-        columns = ["node", "comp", "n", "band", "sketch"]
+        columns = ["node", "comp", "n", "band", *FOLDED]
         rows = found.join(placed, ["grp", "comp"]).select(*columns)
         return cut(rows.unionByName(placed.join(long_groups, "grp").select(*columns)).dropDuplicates(["node", "band"]))
 
@@ -324,7 +336,7 @@ def _across(entries: DataFrame, placed: DataFrame, own: DataFrame, nodes: DataFr
         wanted = sides[0].select("node", "band").union(sides[1].select("node", "band")).distinct()
         signs = cut(_parts(own, nodes.select("node", "key").join(wanted, "node"), width, percent))
         p, q = (part.join(signs, ["node", "band"]).alias(s) for part, s in zip(sides, "pq", strict=True))
-        same = all_equal("p", "q", "band", "part", "sign") & _may_link(F.col("p.sketch"), F.col("q.sketch"), F.col("p.n") + F.col("q.n"), percent)
+        same = all_equal("p", "q", "band", "part", "sign") & _folds("p", "q", percent)
         ordered = (F.col("p.n") < F.col("q.n")) | ((F.col("p.n") == F.col("q.n")) & (F.col("p.node") < F.col("q.node")))
         fits = (F.col("p.comp") != F.col("q.comp")) & (100 * F.col("p.n") >= percent * F.col("q.n"))
         pairs = pairs.unionByName(p.join(q, same & ordered & fits).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")))
@@ -339,7 +351,8 @@ def _labelled(docs: DataFrame, width: int, percent: int, id_col: str, text_col:
     rows = cut(_documents(own, width, percent, global_order(docs, width, text_col=text_col)).withColumn("grp", F.xxhash64("n", "prefix")))
     with_prefix = rows.filter("size(prefix) > 0")
     one = with_prefix.select("node", "key", "n", "grp", "sketch").dropDuplicates(["node"])
-    nodes = cut(one.withColumn("band", F.floor(F.log("n") / _band_width(percent)).cast("int")))
+    folds = {c: reduce(lambda a, b: a.bitwiseXOR(b), (F.get("sketch", F.lit(j)) for j in range(k, SKETCH, len(FOLDED)))) for k, c in enumerate(FOLDED)}
+    nodes = cut(one.withColumn("band", F.floor(F.log("n") / _band_width(percent)).cast("int")).withColumns(folds))
 
     each = with_prefix.select("grp", "n", "node", F.posexplode("prefix").alias("place", "gram"))
     lists = each.groupBy("gram", "grp").agg(F.min("node").alias("rep"), F.min("n").alias("n"), F.min("place").cast("long").alias("place"))
@@ -356,9 +369,9 @@ def _labelled(docs: DataFrame, width: int, percent: int, id_col: str, text_col:
 
     # Each component with several nodes of its lists.
     def entries_of(known: DataFrame) -> tuple[DataFrame, DataFrame]:
-        placed = cut(nodes.select("grp", "node", "n", "sketch").join(known, "node", "left").select("grp", "node", "n", "sketch", F.coalesce("label", "node").alias("comp")))
-        own_sketch = F.when(F.count("*") == 1, F.first("sketch"))
-        cells = cut(placed.groupBy("grp", "comp").agg(F.min("node").alias("rep"), own_sketch.alias("sketch")))
+        placed = cut(nodes.select("grp", "node", "n", *FOLDED).join(known, "node", "left").select("grp", "node", "n", *FOLDED, F.coalesce("label", "node").alias("comp")))
+        own_fold = (F.when(F.count("*") == 1, F.min(c)).alias(c) for c in FOLDED)
+        cells = cut(placed.groupBy("grp", "comp").agg(F.min("node").alias("rep"), *own_fold))
         return cut(lists.drop("rep").join(cells, "grp")), placed
 
     entries, placed = entries_of(known)
