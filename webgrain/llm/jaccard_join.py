@@ -292,23 +292,26 @@ def _across(entries: DataFrame, placed: DataFrame, own: DataFrame, nodes: DataFr
 
     a is the smaller set, or the lesser node of equal ones; b stands in the same band or the next.
     """
-    split = cut(entries.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("gram"))
-    entries = cut(entries.join(split, "gram"))
+    counted = entries.groupBy("gram", "band").agg(F.count("*").alias("k"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    met_by = F.explode(F.array(F.struct(F.col("band").alias("cell"), F.col("k").alias("nx")), F.struct((F.col("band") - 1).alias("cell"), F.lit(0).cast("long").alias("nx"))))
+    cells = counted.select("gram", "k", "low", "high", met_by.alias("c")).groupBy("gram", "c.cell").agg(F.sum("c.nx").alias("nx"), F.sum("k").alias("ny"), F.min("low").alias("low"), F.max("high").alias("high"))
+    parts = _parts_of(F.col("cell"), percent)
+    is_long = F.col("nx").cast("double") * F.col("ny") > BY_PARTS * (F.col("nx") + F.col("ny")) * parts
+    cells = cut(cells.filter("low < high AND nx > 0").select("gram", "cell", is_long.alias("long_list")))
     x = entries.withColumn("cell", F.col("band"))
     y = entries.withColumn("cell", F.explode(F.array(F.col("band"), F.col("band") - 1)))
-    cells = x.groupBy("gram", "cell").agg(F.count("*").alias("nx")).join(y.groupBy("gram", "cell").agg(F.count("*").alias("ny")), ["gram", "cell"])
-    parts = _parts_of(F.col("cell"), percent)
-    cells = cut(cells.select("gram", "cell", (F.col("nx").cast("double") * F.col("ny") > BY_PARTS * (F.col("nx") + F.col("ny")) * parts).alias("long_list")))
 
-    # Short lists: all pairs that size and position let pass.
+    # Short lists: all pairs that size, position and sketches let pass.
     short, long = cells.filter("NOT long_list").select("gram", "cell"), cells.filter("long_list").select("gram", "cell")
     p, q = x.join(short, ["gram", "cell"]).alias("p"), y.join(short, ["gram", "cell"]).alias("q")
     left = F.least(F.col("p.n") - F.col("p.place"), F.col("q.n") - F.col("q.place"))
     ordered = (F.col("p.n") < F.col("q.n")) | ((F.col("p.n") == F.col("q.n")) & (F.col("p.comp") < F.col("q.comp")))
     fits = (100 * F.col("p.n") >= percent * F.col("q.n")) & ((100 + percent) * left >= percent * (F.col("p.n") + F.col("q.n")))
-    fits = fits & _folds("p", "q", percent)
-    same = (F.col("p.gram") == F.col("q.gram")) & (F.col("p.cell") == F.col("q.cell")) & (F.col("p.comp") != F.col("q.comp"))
-    groups = p.join(q, same & ordered & fits).select(*(F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "pq" for c in ("grp", "comp"))).distinct()
+    fits = fits & _folds("p", "q", percent) & (F.col("p.comp") != F.col("q.comp"))
+    lone = F.col(f"p.{FOLDED[0]}").isNotNull() & F.col(f"q.{FOLDED[0]}").isNotNull()
+    met = p.join(q, all_equal("p", "q", "gram", "cell") & ordered & fits)
+    met = cut(met.select(lone.alias("lone"), *(F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "pq" for c in ("grp", "comp", "rep"))))
+    groups = met.filter("NOT lone").drop("lone", "rep_p", "rep_q").distinct()
     # Members of one group that the earlier rounds left in several components; many of them go by parts too.
     halves = placed.select("grp", "comp", "n").distinct()
     band = F.floor(F.log("n") / _band_width(percent)).cast("int")
@@ -317,10 +320,11 @@ def _across(entries: DataFrame, placed: DataFrame, own: DataFrame, nodes: DataFr
     few_halves = cut(halves.join(mixed.filter("NOT long_group").select("grp"), "grp"))
     within = few_halves.alias("p").join(few_halves.alias("q"), (F.col("p.grp") == F.col("q.grp")) & (F.col("p.comp") < F.col("q.comp")))
     within = within.select(*(F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "pq" for c in ("grp", "comp")))
-    groups = cut(groups.unionByName(within))
+    groups = cut(groups.unionByName(within.select(*groups.columns)))
     side = lambda s, name: placed.select(F.col("grp").alias(f"grp_{s}"), F.col("comp").alias(f"comp_{s}"), F.col("node").alias(name), "n", *FOLDED)
     first, second = groups.join(side("p", "a"), ["grp_p", "comp_p"]).alias("l"), side("q", "b").alias("r")
     pairs = first.join(second, all_equal("l", "r", "grp_q", "comp_q") & _folds("l", "r", percent)).select("a", "b")
+    pairs = pairs.unionByName(met.filter("lone").select(F.col("rep_p").alias("a"), F.col("rep_q").alias("b")))
 
     # Long lists and groups: pairs that agree on a whole part.
     long_groups = mixed.filter("long_group").select("grp", "band")
