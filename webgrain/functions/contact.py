@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from webgrain.functions.base import all_of, distinct_by, distinct_ignoring_case, trim
-from webgrain.functions.text import EMAIL
+from webgrain.functions import href
+from webgrain.functions.base import all_of, distinct_by, distinct_ignoring_case, filled, trim
+from webgrain.functions.text import EMAIL, is_json
 
 EMAIL_SHAPE = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
 
@@ -133,3 +134,28 @@ def is_profile_url(url: Column) -> Column:
 
 def profile_urls(urls: Column, most: int = 8) -> Column:
     return F.slice(distinct_by(F.filter(urls, is_profile_url), lambda u: F.regexp_replace(F.lower(u), r"[?#].*$|/+$", "")), 1, most)
+
+
+_LINK = "struct<url: string, href: string, label: string, platform: string>"
+
+
+def _links(cell: Column, label) -> Column:
+    """(label, url) of the items of a JSON list, texts or objects, whose address may be opened; label(item, url) names it."""
+    items = F.when(is_json(cell) & trim(cell).startswith("["), F.from_json(trim(cell), "array<string>"))
+
+    def read(x: Column) -> Column:
+        given = F.when(x.startswith("{"), F.from_json(x, _LINK))
+        return F.struct(given.alias("given"), href.safe(F.when(given.isNull(), x).otherwise(F.coalesce(given["url"], given["href"]))).alias("url"))
+
+    found = F.filter(F.transform(F.coalesce(items, F.array().cast("array<string>")), read), lambda v: v["url"].isNotNull())
+    return F.transform(found, lambda v: F.struct(label(v["given"], v["url"]).alias("label"), v["url"].alias("url")))
+
+
+def social_links(cell: Column) -> Column:
+    """(label, url) of a JSON list of social links; a label is its own, else its platform, else from the address. No JSON gives none."""
+    return _links(cell, lambda given, url: F.coalesce(filled(given["label"]), filled(given["platform"]), social_label(url)))
+
+
+def contact_links(cell: Column) -> Column:
+    """(label, url) of a JSON list of links; label is null where none is given. No JSON gives none."""
+    return _links(cell, lambda given, _: filled(given["label"]))
