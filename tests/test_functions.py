@@ -1,9 +1,11 @@
 """Column functions against values worked out by hand."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from webgrain.functions import color, contact, status, text, url
+from webgrain.plans import text_queries
 
 
 def values(spark, fn, inputs):
@@ -76,6 +78,22 @@ def test_contacts(spark):
     assert values(spark, contact.social_label, ["https://fb.com/x", "https://a.org"]) == ["Facebook", "Other"]
 
 
+def test_phones_of_other_countries_keep_their_code(spark):
+    # Ten digits with a + are no American number: the + names the country.
+    assert values(spark, contact.phone_display, ["+44 20 123456", "tel: +44 20  123456", "+1 555 010 9999", "20 4412 3456"]) == ["+44 20 123456", "+44 20 123456", "+1 (555) 010-9999", "(204) 412-3456"]
+
+
+@pytest.mark.parametrize("first", [0, 98, 998, 9998, 99998, 999998, 9999998, 10**9 - 2, 10**12])
+def test_contact_normalize_equals_its_sql_on_ids_of_any_length(spark, tmp_path, first):
+    folder = f"{tmp_path}/documents.parquet"
+    spark.range(first, first + 4).select(F.col("id").alias("doc_id"), F.lit("").alias("text")).write.parquet(folder)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/*.parquet')")
+    want = con.execute(f"SELECT doc_id, phones, emails FROM ({text_queries.SQL['contact_normalize']}) ORDER BY doc_id").fetchall()
+    got = text_queries.contact_normalize(spark, str(tmp_path)).select("doc_id", "phones", "emails").orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == want
+
+
 def test_colors(spark):
     assert values(spark, color.hex_code, ["#FFF", "color: #a1B2c3;", "abcdef", "#12", None]) == ["#ffffff", "#a1b2c3", "#abcdef", None, None]
     white = values(spark, lambda c: color.contrast_ratio(c, F.lit("#000000")), ["#ffffff"])[0]

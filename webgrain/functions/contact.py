@@ -47,12 +47,12 @@ def phone_digits(c: Column) -> Column:
 
 
 def phone_display(c: Column) -> Column:
-    """(aaa) bbb-cccc for 10 digits, +1 before that for 11 with a 1, else squeezed."""
+    """(aaa) bbb-cccc for 10 digits without a country's +, +1 before that for 11 with a 1, else squeezed."""
     t = trim(F.regexp_replace(trim(c), "^(?i)tel:", ""))
     d = phone_digits(t)
     ten = lambda at: F.concat(F.lit("("), F.substring(d, at, 3), F.lit(") "), F.substring(d, at + 3, 3), F.lit("-"), F.substring(d, at + 6, 4))
     return (
-        F.when(F.length(d) == 10, ten(1))
+        F.when((F.length(d) == 10) & ~t.startswith("+"), ten(1))
         .when((F.length(d) == 11) & d.startswith("1"), F.concat(F.lit("+1 "), ten(2)))
         .otherwise(trim(F.regexp_replace(t, r"\s+", " ")))
     )
