@@ -52,6 +52,21 @@ def test_business_name(spark):
     assert got == [("Given", "suggested"), ("Acme Tools", "title"), ("My Shop", "domain"), ("", "none"), ("McShop", "title")]
 
 
+def test_shared_work_is_done_once(spark):
+    """The same values as field by field; the shared cleaning stands once in the plan, and parts past the last kept item are not looked at."""
+    fields = ["services", "address", "phone", "email", "brandColors"]
+    cells = ["( , ) Home | 10 x 12;; aaaaaaab, (- big -) ...some text. More\xa0 text [;] a@b.co 555 010 9999", "", None, "printing, a, b, c, d", "x. ", "a;;b,, (c ) [d], e f , g.. h"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(cells)], "i int, x string")
+    both = df.select("i", cleanup.clean_fields(fields, F.col("x")).alias("v"), *(cleanup.clean_field(f, F.col("x")).alias(f) for f in fields)).collect()
+    assert all(r["v"][f] == r[f] for r in both for f in fields) and both[3]["services"] == ""
+    plan = cleanup_queries.extracted_value_cleanup(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"\.{2,}") == 2  # once in whole texts and once in parts
+
+
+def test_long_run_of_word_characters_without_an_address(spark):
+    assert values(spark, cleanup.clean_email, ["a" * 300_000, "b" * 300_000 + "@x", "c" * 9 + "@x, d.e@f-g.org."]) == ["", "", "d.e@f-g.org."]
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 @pytest.mark.parametrize("name", [*cleanup_queries.QUERIES, *file_queries.QUERIES])
 def test_query_equals_its_sql(spark, name):

@@ -10,6 +10,7 @@ from webgrain.functions.text import name_from_domain
 
 # The formats ask for these characters, words and bounds.
 NOISE = r"\s,;:·•|.\-"
+NOISE_CHARS = " \t\n\x0b\f\r,;:·•|.-"
 PUNCTUATION = r"[(){}\[\].,;:!?\-_|/\\·•]"
 SHORT_WORDS = ["ai", "ar", "vr", "tv", "uk", "us", "eu", "qr", "co", "id", "it", "hr", "pr", "ux", "ui", "3d", "2d", "4k", "8k", "5g", "4g"]
 NAVIGATION = r"(?i)^(home|menu|sign[-_ ]?in|sign[-_ ]?up|log[-_ ]?in|log[-_ ]?out|cart|account|search)$"
@@ -19,7 +20,7 @@ LIST_ITEMS, FIELD_ITEMS, ITEM_CHARS, NAME_CHARS = 8, 6, 64, 200
 
 def squeeze(c: Column) -> Column:
     """White space runs, no-break spaces included, as one space; none at the ends; null is ''."""
-    return F.trim(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"[\s\x{A0}]+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"[\s\x{A0}]{2,}+|[\s\x{A0}&&[^ ]]", " "))
 
 
 def without_noise(c: Column) -> Column:
@@ -35,83 +36,115 @@ def without_noise(c: Column) -> Column:
         (r"\(\)", " "),
         (r"(?<!\s)\s++([,;:.!?])", "$1"),
         (r"([,;])\1++", "$1"),
-        (r"^[\s,;:·•|.]++", ""),
-        (rf"(?<![{NOISE}])[{NOISE}]++$", ""),
     ]
     for pattern, new in steps:
         c = F.regexp_replace(c, pattern, new)
-    return squeeze(c)
+    return squeeze(F.rtrim(F.ltrim(c, F.lit(NOISE_CHARS.replace("-", ""))), F.lit(NOISE_CHARS)))
 
 
-def _count(c: Column, pattern: str) -> Column:
-    return F.regexp_count(c, F.lit(pattern))
+#: What without_noise changes, or what stands at the ends, matches this.
+MAY_CHANGE = rf"[()\[\]\t\n\x0B\f\r\x{{A0}}]|  |\.\.|[ ,;][,;:.!?]|^[{NOISE}]|[{NOISE}]$"
+
+
+def _tidy_part(part: Column) -> Column:
+    """A list's part without noise, at its ends either; most parts have none and stay as they are."""
+    bare = F.trim(F.regexp_replace(without_noise(part), rf"^[{NOISE}]+|[{NOISE}]+$", ""))
+    return F.when(part.rlike(MAY_CHANGE), bare).otherwise(part)
+
+
+def _count(c: Column, characters: str) -> Column:
+    """How many characters of a class the text has."""
+    return F.length(c) - F.length(F.regexp_replace(c, rf"{characters}++", ""))
 
 
 def is_meaningful(item: Column) -> Column:
     """Whether a list item says something: words or a size, not punctuation, repeats of one letter or navigation."""
 
     def check(t: Column) -> Column:
-        letters, digits, marks = _count(t, "[A-Za-z]"), _count(t, "[0-9]"), _count(t, PUNCTUATION)
-        lower = F.lower(t)
-        most = F.greatest(*(_count(lower, chr(k)) for k in range(ord("a"), ord("z") + 1)))
-        long_enough = (
-            t.rlike(r"[A-Za-z]{3,}|(?i)\b\d+\s*[x×]\s*\d+\b")
-            & ~((letters >= 6) & (most > 0.7 * letters))
-            & ~t.rlike(NAVIGATION)
-            & (F.length(t) <= ITEM_CHARS)
-        )
-        sound = (letters + digits > 0) & ((marks == 0) | (marks < letters + digits))
-        return sound & F.when(F.length(t) < 3, lower.isin(*SHORT_WORDS)).otherwise(long_enough)
+        counts = F.struct(_count(t, "[A-Za-z]").alias("letters"), _count(t, "[0-9]").alias("digits"), _count(t, PUNCTUATION).alias("marks"))
+        short = (F.length(t) < 3) & F.lower(t).isin(*SHORT_WORDS)
+        long_enough = F.length(t).between(3, ITEM_CHARS) & t.rlike(r"[A-Za-z]{3,}|(?i)\b\d+\s*[x×]\s*\d+\b") & ~t.rlike(NAVIGATION)
+        return (short | long_enough) & let(counts, lambda n: sound(t, n))
+
+    def sound(t: Column, n: Column) -> Column:
+        letters, others = n["letters"], n["letters"] + n["digits"]
+        most = let(F.lower(t), lambda x: F.length(x) - F.least(*(F.length(F.replace(x, F.lit(chr(k)), F.lit(""))) for k in range(ord("a"), ord("z") + 1))))
+        repeats = (F.length(t) >= 3) & (letters >= 6) & (most > 0.7 * letters)
+        return (others > 0) & ((n["marks"] == 0) | (n["marks"] < others)) & ~repeats
 
     return let(trim(item), check)
 
 
-def clean_list(c: Column, most: int = LIST_ITEMS) -> Column:
-    """The meaningful items of a list in prose, distinct whatever the case; '' if one of five or more is left."""
+def _listed(bare: Column, most: int) -> Column:
+    """clean_list of a text without noise. Parts are looked at in order, until nothing can change any more."""
 
-    def pick(parts: Column) -> Column:
-        def add(kept: Column, item: Column) -> Column:
-            known = F.exists(kept, lambda k: F.lower(k) == F.lower(item))
-            return F.when((F.size(kept) >= most) | known | ~is_meaningful(item), kept).otherwise(F.array_append(kept, item))
+    def add(seen: Column, part: Column) -> Column:
+        def with_item(item: Column) -> Column:
+            known = F.exists(seen["kept"], lambda k: F.lower(k) == F.lower(item))
+            stays = (F.size(seen["kept"]) >= most) | known | ~is_meaningful(item)
+            kept = F.when(stays, seen["kept"]).otherwise(F.array_append(seen["kept"], item))
+            return F.when(item == "", seen).otherwise(F.struct(kept.alias("kept"), (seen["parts"] + 1).alias("parts")))
 
-        return let(F.aggregate(parts, F.array().cast("array<string>"), add), lambda kept: joined(parts, kept))
+        done = (F.size(seen["kept"]) >= most) & ((seen["parts"] >= 5) | (F.size(seen["kept"]) > 1))
+        return F.when(done, seen).otherwise(let(_tidy_part(part), with_item))
 
-    def joined(parts: Column, kept: Column) -> Column:
-        return F.when((F.size(parts) >= 5) & (F.size(kept) == 1), "").otherwise(F.array_join(kept, ", "))
+    def joined(seen: Column) -> Column:
+        return F.when((seen["parts"] >= 5) & (F.size(seen["kept"]) == 1), "").otherwise(F.array_join(seen["kept"], ", "))
 
-    parts = F.split(without_noise(squeeze(c)), r"\s*[,;·•|]\s*")
-    bare = F.transform(parts, lambda p: F.trim(F.regexp_replace(without_noise(p), rf"^[{NOISE}]+|[{NOISE}]+$", "")))
-    return let(F.filter(bare, lambda p: p != ""), pick)
+    nothing = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("parts"))
+    return F.aggregate(F.split(bare, r"\s*[,;·•|]\s*"), nothing, add, joined)
 
 
-def clean_text(c: Column) -> Column:
-    """Free text without noise; '' if it has under three letters or is mostly punctuation."""
+def clean_list(c: Column, most: int = LIST_ITEMS) -> Column:
+    """The meaningful items of a list in prose, distinct whatever the case; '' if one of five or more is left."""
+    return let(without_noise(squeeze(c)), lambda bare: _listed(bare, most))
+
+
+def _prose(bare: Column) -> Column:
+    letters = _count(bare, "[A-Za-z]")
+    return F.when((letters >= 3) & (_count(bare, PUNCTUATION) <= 1.2 * letters), bare).otherwise("")
 
-    def check(t: Column) -> Column:
-        letters = _count(t, "[A-Za-z]")
-        return F.when((letters >= 3) & (_count(t, PUNCTUATION) <= 1.2 * letters), t).otherwise("")
 
-    return let(without_noise(squeeze(c)), check)
+def clean_text(c: Column) -> Column:
+    """Free text without noise; '' if it has under three letters or is mostly punctuation."""
+    return let(without_noise(squeeze(c)), _prose)
 
 
 def clean_phone(c: Column) -> Column:
     """Digits and what may stand between them; '' if there are under seven."""
-    t = squeeze(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?i)[^\d+()\-\s.,/ext]", ""))
-    return F.when(_count(t, r"\d") >= 7, t).otherwise("")
+    kept = squeeze(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^0123456789+()\- \t\n\x0B\f\r.,/extEXT]++", ""))
+    return let(kept, lambda t: F.when(_count(t, r"\d") >= 7, t).otherwise(""))
 
 
 def clean_email(c: Column) -> Column:
     """The first address, or ''."""
-    return F.regexp_extract(F.coalesce(c, F.lit("")), r"[\w.+\-]+@[\w\-]+\.[\w.\-]+", 0)
+    # A match begins where its run of characters does, so a long run without an @ costs its length.
+    return F.when(F.contains(c, F.lit("@")), F.regexp_extract(c, r"(?<![\w.+\-])[\w.+\-]++@[\w\-]+\.[\w.\-]+", 0)).otherwise("")
+
+
+_LISTS, _TEXTS, _OWN = ("services", "products"), ("social", "address", "logo"), {"phone": clean_phone, "email": clean_email}
+
+
+def clean_fields(fields: list[str], c: Column) -> Column:
+    """struct of a value as cleaned for each of the named fields; what they share is done once."""
+
+    def one(field: str, raw: Column, bare: Column) -> Column:
+        if field in _LISTS:
+            return _listed(bare, FIELD_ITEMS)
+        if field in _TEXTS:
+            return _prose(bare)
+        return {"brandColors": bare}[field] if field not in _OWN else _OWN[field](raw)
+
+    def every(raw: Column) -> Column:
+        bare = F.lit("") if set(fields) <= set(_OWN) else without_noise(squeeze(raw))
+        return let(bare, lambda b: F.struct(*(one(f, raw, b).alias(f) for f in fields)))
+
+    return let(c, every)
 
 
 def clean_field(field: str, c: Column) -> Column:
     """A value of the named field, cleaned as that field asks."""
-    if field in ("services", "products"):
-        return clean_list(c, FIELD_ITEMS)
-    if field in ("social", "address", "logo"):
-        return clean_text(c)
-    return {"phone": clean_phone, "email": clean_email, "brandColors": lambda x: without_noise(squeeze(x))}[field](c)
+    return clean_fields([field], c)[field]
 
 
 def domain_label(host: Column) -> Column:
