@@ -47,8 +47,11 @@ STEP = 1.5
 BITS_PER_MEMBER, PROBES = 10, 6
 #: Bits of a block: a member's bits all lie in one.
 BLOCK_BITS = 1 << 15
+_LOW = np.uint64(BLOCK_BITS - 1)
 #: Most bytes of a piece of the filter, and bytes of text that are scored at once.
 PIECE_BYTES, CHUNK_BYTES = 4 << 20, 4 << 20
+#: Addresses that are probed at once: what belongs to them stays in a core's cache.
+PROBED = 1 << 14
 #: Keys that a task gathers before it sends them to their pieces.
 PACK = 1 << 20
 #: The words whose exact counts are broadcast: 16 bytes each.
@@ -139,7 +142,7 @@ def _from_bytes(data: bytes) -> np.ndarray:
 
 
 def _member(address: np.ndarray, level: int) -> np.ndarray:
-    return _text.mix(address + _U(level) * _U(0x9E3779B97F4A7C15))
+    return _text.mix(address + _U(level * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
 
 
 class Shape(NamedTuple):
@@ -162,17 +165,35 @@ class Shape(NamedTuple):
             yield base + ((member + _U(probe) * ((member >> _U(17)) | _U(1))) & _U(BLOCK_BITS - 1)).astype(np.int64)
 
     def levels(self, bits: np.ndarray, address: np.ndarray, above: int = 0) -> np.ndarray:
-        """Levels that a piece (bits in bytes) holds for its addresses; those of a history lie above."""
-        level, live, k = np.zeros(address.size, dtype=np.uint8), np.arange(address.size), 0
-        while live.size and k < 255:
-            k += 1
-            found = np.ones(live.size, dtype=bool)
-            for at in self.bits(address[live], above + k):
-                found &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-            live = live[found]
-            level[live] = k
+        """Levels that a piece (a byte for each bit) holds for its addresses; those of a history lie above."""
+        level = np.zeros(address.size, dtype=np.uint8)
+        for start in range(0, address.size, PROBED):
+            own = address[start : start + PROBED]
+            base = self.block(own) % self.piece_blocks * BLOCK_BITS
+            live, k = np.arange(own.size), 0
+            while live.size and k < 255:
+                k += 1
+                held = self._holds(bits, base, own, above + k)
+                live, base, own = live[held], base[held], own[held]
+                level[start + live] = k
         return level
 
+    @staticmethod
+    def _holds(bits: np.ndarray, base: np.ndarray, address: np.ndarray, level: int) -> np.ndarray:
+        """Places of the addresses whose level is a member; where two probes refuse most, the others ask for the rest only."""
+        member = _member(address, level)
+        # Only the lowest bits of a position count, so sums of a few of them do for those of bits().
+        at, step = (member & _LOW).view(np.int64), ((member >> _U(17) | _U(1)) & _LOW).view(np.int64)
+        held, place = bits.take(base + at), None
+        for probe in range(1, PROBES):
+            at += step
+            at &= BLOCK_BITS - 1
+            held &= bits.take(base + at)
+            if probe == 1 and 2 * np.count_nonzero(held) < held.size:
+                place = np.flatnonzero(held)
+                base, at, step, held = base[place], at[place], step[place], held[place]
+        return np.flatnonzero(held) if place is None else place[held]
+
 
 class Filter(NamedTuple):
     """Pieces (piece, bits), and the least counts of words and pairs in them."""
@@ -184,11 +205,15 @@ class Filter(NamedTuple):
 
 
 def _by_piece(shape: Shape, address: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order that puts addresses by piece; the pieces, and where each begins and the last ends."""
-    piece = shape.block(address) // shape.piece_blocks
-    order = np.argsort(piece, kind="stable")
-    found, begins = np.unique(piece[order], return_index=True)
-    return order, found, np.append(begins, piece.size)
+    """The order that puts addresses by block, so by piece too; the pieces, and where each begins and the last ends."""
+    block = shape.block(address)
+    # In a piece by block, so that what is read and written one after the other lies together. Numbers of 16 bits are sorted by counting.
+    order = np.argsort(block.astype(np.uint16), kind="stable")
+    if shape.blocks > 1 << 16:
+        order = order[np.argsort((block >> 16).astype(np.uint16 if shape.blocks <= 1 << 32 else np.int64)[order], kind="stable")]
+    piece = (block // shape.piece_blocks)[order]
+    begins = np.flatnonzero(np.append(True, piece[1:] != piece[:-1])) if piece.size else np.zeros(0, dtype=np.int64)
+    return order, piece[begins], np.append(begins, piece.size)
 
 
 def _packed(counts: DataFrame, kind: int, least: int, shape: Shape) -> DataFrame:
@@ -349,12 +374,12 @@ def _answer(asks: DataFrame, f: Filter) -> DataFrame:
     held = f.pieces.select(F.lit(-1).cast("long").alias("chunk"), "piece", F.col("bits").alias("words"), F.lit(None).cast("binary").alias("pairs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits_of, bits = None, np.zeros(0, np.uint8)
+        bits_of, bits = None, np.zeros(0, dtype=bool)
         for batch in batches:
             out: list[tuple[int, int, bytes, bytes, bytes]] = []
             for chunk, piece, words, pairs in zip(*(batch.column(c) for c in ("chunk", "piece", "words", "pairs")), strict=True):
                 if chunk.as_py() < 0:
-                    bits_of, bits = piece.as_py(), np.frombuffer(words.as_py(), np.uint8)
+                    bits_of, bits = piece.as_py(), np.unpackbits(np.frombuffer(words.as_py(), np.uint8), bitorder="little").view(bool)
                     continue
                 sides = [_from_bytes(x.as_py()) for x in (words, pairs)]
                 asked = ((sides[0], 0), (sides[0], _REST_LEVEL), (sides[1], 0))
