@@ -61,3 +61,12 @@ def test_a_group_of_unlike_bodies_gives_few_pairs(spark, monkeypatch):
         assert all(r["component_id"] == r["doc_id"] for r in got)
         counts.append(seen[-1])
     assert counts[1] < 200 * 199 / 8, counts
+
+
+def test_lists_hold_only_rows_that_may_pair(spark):
+    """A row without another one of its n-gram near enough in size and place goes; members of a group are one row."""
+    rows = [(1, 11, 100, [5, 6]), (1, 10, 100, [5, 6]), (2, 20, 111, [5]), (3, 30, 124, [5, 7]), (4, 40, 300, [6, 7]), (5, 50, 200, [8]), (6, 60, 200, [8])]
+    rows += [(7, 70, 50, [90, 91, 92, 93, 9]), (8, 80, 55, [9])]  # four n-grams of 50 before the shared one leave too few for 55
+    nodes = spark.createDataFrame(rows, "grp long, node long, n long, prefix array<long>")
+    got = sorted(tuple(r) for r in jaccard_join._lists(nodes, 90).select("gram", "grp", "rep", "place").collect())
+    assert got == [(5, 1, 10, 0), (5, 2, 20, 0), (8, 5, 50, 0), (8, 6, 60, 0), (9, 8, 80, 0)]

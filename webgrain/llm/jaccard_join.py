@@ -36,7 +36,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webgrain.llm import _text
@@ -347,6 +347,23 @@ def _across(entries: DataFrame, placed: DataFrame, own: DataFrame, nodes: DataFr
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def _lists(nodes: DataFrame, percent: int) -> DataFrame:
+    """(gram, grp, rep, n, place, band) of the groups of nodes (grp, node, n, prefix): a row for each n-gram of a group's prefix.
+
+    Sets that link differ little in size, and meet at an n-gram with enough of both left behind it. So a row stays only if
+    another of its n-gram may be such a set: by size, that is the row before or after it, and no row meets all others.
+    """
+    # Members of a group have the same size and prefix: one of them speaks for all.
+    groups = nodes.groupBy("grp").agg(F.min("node").alias("rep"), F.min("n").alias("n"), F.first("prefix").alias("prefix"))
+    each = groups.select("grp", "rep", "n", F.posexplode("prefix").alias("place", "gram"))
+    each = each.select("gram", "grp", "rep", "n", F.col("place").cast("long").alias("place"), F.floor(F.log("n") / _band_width(percent)).cast("int").alias("band"))
+    by_size = Window.partitionBy("gram").orderBy("n")
+    met = each.withColumns({"below": F.lag("n").over(by_size), "over": F.lead("n").over(by_size)})
+    # The next larger set asks least of what is left; of smaller ones some may ask less than the nearest, so their sizes alone count.
+    larger = (100 + percent) * (F.col("n") - F.col("place")) >= percent * (F.col("n") + F.col("over"))
+    return met.filter((100 * F.col("below") >= percent * F.col("n")) | ((100 * F.col("n") >= percent * F.col("over")) & larger)).drop("below", "over")
+
+
 def _labelled(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """(id, key, n, comp, first) of each row: comp is null where the set is empty, else its component; first is the component's least id."""
     if not 0 < percent <= 100:
@@ -358,10 +375,7 @@ def _labelled(docs: DataFrame, width: int, percent: int, id_col: str, text_col:
     folds = {c: reduce(lambda a, b: a.bitwiseXOR(b), (F.get("sketch", F.lit(j)) for j in range(k, SKETCH, len(FOLDED)))) for k, c in enumerate(FOLDED)}
     nodes = cut(one.withColumn("band", F.floor(F.log("n") / _band_width(percent)).cast("int")).withColumns(folds))
 
-    each = with_prefix.select("grp", "n", "node", F.posexplode("prefix").alias("place", "gram"))
-    lists = each.groupBy("gram", "grp").agg(F.min("node").alias("rep"), F.min("n").alias("n"), F.min("place").cast("long").alias("place"))
-    shared = lists.groupBy("gram").agg(F.count("*").alias("in")).filter(F.col("in") > 1).select("gram")
-    lists = cut(lists.join(shared, "gram").withColumn("band", F.floor(F.log("n") / _band_width(percent)).cast("int")))
+    lists = cut(_lists(with_prefix.select("grp", "node", "n", "prefix"), percent))
 
     # Each group with the least node of its lists; each member with its group's.
     heads = cut(lists.groupBy("gram", "band").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).filter("head < last").select("gram", "band", "head"))
