@@ -164,9 +164,12 @@ def is_brand_like(segment: Column, label: Column) -> Column:
     return ~bad & (of_domain | segment.rlike(r"[A-Z][a-z]+[A-Z]|^[A-Z][a-zA-Z0-9&.'-]{1,40}$"))
 
 
-def brand_segments(title: Column, label: Column) -> Column:
+def brand_segments(title: Column, label: Column, once: bool = True) -> Column:
+    """The parts of a title that read like a name; with once, of parts that differ in case only the first is looked at."""
     parts = F.filter(F.transform(F.split(trim(title), r"\s*[|\-–—:]\s*"), trim), lambda p: p != "")
-    return F.filter(let(parts, lambda items: distinct_by(items, F.lower)), lambda p: is_brand_like(p, label))
+    if once:
+        parts = let(parts, lambda items: distinct_by(items, F.lower))
+    return F.filter(parts, lambda p: is_brand_like(p, label))
 
 
 #: Fixed value: the name that stands in a form that nobody has filled in.
@@ -180,20 +183,20 @@ def usable_suggestion(suggested: Column, intake: Column) -> Column:
     return F.when(echoed, "").otherwise(name)
 
 
-def resolved_name(suggested: Column, intake: Column, og_title: Column, title: Column, host: Column) -> Column:
-    """struct(name, source: claude, title, domain or none; inferred_from_domain) from a suggestion that is usable, the titles, the host."""
+def resolved_name(suggested: Column, intake: Column, og_title: Column, title: Column, host: Column, once: bool = True) -> Column:
+    """struct(name, source: claude, title, domain or none; inferred_from_domain) from a suggestion that is usable, the titles, the host; once as in brand_segments."""
 
     def label(b: Column) -> Column:
         source = F.when(b["source"] == "suggested", "claude").otherwise(b["source"])
         return F.struct(b["name"].alias("name"), source.alias("source"), (b["source"] == "domain").alias("inferred_from_domain"))
 
-    return let(business_name(usable_suggestion(suggested, intake), og_title, title, host), label)
+    return let(business_name(usable_suggestion(suggested, intake), og_title, title, host, once), label)
 
 
-def business_name(suggested: Column, og_title: Column, title: Column, host: Column) -> Column:
-    """struct(name, source): what was suggested, else the longest brand-like title part, else the domain's label."""
+def business_name(suggested: Column, og_title: Column, title: Column, host: Column, once: bool = True) -> Column:
+    """struct(name, source): what was suggested, else the longest brand-like title part, else the domain's label; once as in brand_segments."""
     label = domain_label(host)
-    parts = F.concat(brand_segments(og_title, label), brand_segments(title, label))
+    parts = F.concat(brand_segments(og_title, label, once), brand_segments(title, label, once))
     longest = F.aggregate(parts, F.lit(""), lambda best, p: F.when(F.length(p) > F.length(best), p).otherwise(best))
     named = F.array(
         *(
