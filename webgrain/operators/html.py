@@ -12,7 +12,8 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from html.entities import html5
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -48,10 +49,26 @@ RAW = {name: re.compile(rf"</{name}(?=[\s/>]|$)", re.IGNORECASE) for name in ("s
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>?|<[!?/][^>]*+>?|([^<]++|<)""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'<>]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
 _SPACE = re.compile(r"\s+")
+_REFERENCE = re.compile("&(?:#[0-9]+;|#[xX][0-9a-fA-F]+;|([A-Za-z][A-Za-z0-9]*)(;?))")
 
 
-def tokens(markup: str) -> Iterator[tuple[str, str, dict[str, str] | str]]:
-    """('open', name, attributes), ('close', name, ''), ('text', '', text) and ('raw', name, text of a script, style, title or textarea)."""
+def unescaped(text: str, bare: tuple[str, ...] | None = None) -> str:
+    """text with its character references read as the standard has it; bare, if given, holds the only names that need no semicolon."""
+    if bare is None or "&" not in text:
+        return entities.unescape(text)
+
+    def read(m: re.Match) -> str:
+        name = m[1]
+        if name is None or (m[2] and f"{name};" in html5):
+            return entities.unescape(m[0])
+        short = next((b for b in bare if name.startswith(b)), None)
+        return m[0] if short is None else entities.unescape(f"&{short};") + m[0][1 + len(short) :]
+
+    return _REFERENCE.sub(read, text)
+
+
+def tokens(markup: str, bare: tuple[str, ...] | None = None) -> Iterator[tuple[str, str, dict[str, str] | str]]:
+    """('open', name, attributes), ('close', name, ''), ('text', '', text) and ('raw', name, text of a script, style, title or textarea); bare as in unescaped."""
     at = 0
     while at < len(markup):
         found = _TOKEN.match(markup, at)
@@ -63,8 +80,8 @@ def tokens(markup: str) -> Iterator[tuple[str, str, dict[str, str] | str]]:
             yield "close", name.lower(), ""
         elif name:
             given: dict[str, str] = {}
-            for key, double, single, bare in _ATTRIBUTE.findall(inside):
-                given.setdefault(key.lower(), entities.unescape(double or single or bare))
+            for key, double, single, plainly in _ATTRIBUTE.findall(inside):
+                given.setdefault(key.lower(), unescaped(double or single or plainly, bare))
             name = name.lower()
             yield "open", name, given
             if name in RAW and not inside.endswith("/"):
@@ -74,8 +91,8 @@ def tokens(markup: str) -> Iterator[tuple[str, str, dict[str, str] | str]]:
                 at = upto
 
 
-def _squeezed(parts: list[str]) -> str:
-    return _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
+def _squeezed(parts: list[str], bare: tuple[str, ...] | None = None) -> str:
+    return _SPACE.sub(" ", unescaped("".join(parts), bare)).strip()
 
 
 def _text(value: object) -> str | None:
@@ -115,8 +132,8 @@ def linked_data(value: object) -> tuple[list[str], list[str], list[str], list[li
     return images, emails, phones, addresses
 
 
-def read_page(markup: str) -> dict[str, object]:
-    """The raw parts of a page."""
+def read_page(markup: str, bare: tuple[str, ...] | None = None) -> dict[str, object]:
+    """The raw parts of a page; bare as in unescaped."""
     out: dict[str, object] = {"title": "", "metas": [], "links": [], "anchors": [], "images": [], "data_images": [], "data_emails": [], "data_phones": [], "data_addresses": [], "footers": [], "has_body": False}
     text: list[str] = []
     body: list[str] = []
@@ -125,14 +142,14 @@ def read_page(markup: str) -> dict[str, object]:
     hidden = titled = in_body = 0
     every: list[str] = []
     feet: list[list[int]] = []  # where the texts of each footer begin and end in every
-    for kind, name, value in tokens(markup):
+    for kind, name, value in tokens(markup, bare):
         if kind == "text":
             every.append(value)
             if not hidden:
                 (body if in_body else text).append(value)
         elif kind == "raw":
             if name == "title" and not titled:
-                titled, out["title"] = 1, _squeezed([value])
+                titled, out["title"] = 1, _squeezed([value], bare)
             if name in ("title", "textarea") and not hidden:
                 (body if in_body else text).append(value)
             every.append(value)
@@ -177,11 +194,11 @@ def read_page(markup: str) -> dict[str, object]:
     held = 0
     for start, end in feet:
         if held < FOOTER_CHARS:  # what comes later would be cut
-            one = _squeezed(every[start : end if end >= 0 else None])
+            one = _squeezed(every[start : end if end >= 0 else None], bare)
             if len(one) >= FOOTER_LEAST:
                 out["footers"].append(one)
                 held += len(one)
-    out["text"] = _squeezed(body if out["has_body"] else text)
+    out["text"] = _squeezed(body if out["has_body"] else text, bare)
     out["data_addresses"] = [{"whole": a, "parts": None} if isinstance(a, str) else {"whole": None, "parts": a} for a in out["data_addresses"]]
     return out
 
@@ -203,14 +220,18 @@ _ARROW = pa.struct([
 ])
 
 
-@arrow_udf(from_arrow_type(_ARROW))
-def page_parts(markup: pa.Array) -> pa.Array:
-    """The raw parts of HTML texts; null as an empty page."""
-    rows = []
-    for page in markup.to_pylist():
-        read = read_page(page or "")
-        rows.append({f.name: read[f.name] for f in _ARROW})
-    return pa.array(rows, _ARROW)
+def page_reader(bare: tuple[str, ...] | None = None) -> Callable[[Column], Column]:
+    """The raw parts of HTML texts; null as an empty page; bare as in unescaped."""
+
+    @arrow_udf(from_arrow_type(_ARROW))
+    def page_parts(markup: pa.Array) -> pa.Array:
+        rows = []
+        for page in markup.to_pylist():
+            read = read_page(page or "", bare)
+            rows.append({f.name: read[f.name] for f in _ARROW})
+        return pa.array(rows, _ARROW)
+
+    return page_parts
 
 
 def meta_content(parts: Column, by: str, name: str) -> Column:
@@ -277,16 +298,17 @@ def logo_candidates(parts: Column, base: Column) -> Column:
     return first_by(F.filter(F.transform(listed, resolved), lambda x: x["url"].isNotNull()), lambda x: x["url"], LOGOS)
 
 
-def page_summaries(pages: DataFrame, url_col: str = "url", html_col: str = "html", type_col: str | None = None, chars: int = HOME_CHARS) -> DataFrame:
+def page_summaries(pages: DataFrame, url_col: str = "url", html_col: str = "html", type_col: str | None = None, chars: int = HOME_CHARS, bare: tuple[str, ...] | None = None) -> DataFrame:
     """pages with a summary in place of the markup: titles, descriptions, logo candidates, links, contacts, footer, visible text.
 
     A null or empty page has an empty summary, with the default icon where its address is
-    one. type_col, if given, names the page's type as its link told it. Columns of
-    pages named as those of the summary are replaced.
+    one. type_col, if given, names the page's type as its link told it. bare, if given, holds
+    the only names of characters that are read without a semicolon; else the standard tells.
+    Columns of pages named as those of the summary are replaced.
     """
     kept = [c for c in pages.columns if c != html_col]
     base = F.col(url_col)
-    read = pages.withColumn("_parts", page_parts(F.col(html_col)))
+    read = pages.withColumn("_parts", page_reader(bare)(F.col(html_col)))
     p = F.col("_parts")
     # An anchor is mail, a telephone number, or an address; only those of social hosts are kept.
     anchors = F.filter(p["anchors"], lambda a: a != "")
@@ -333,13 +355,14 @@ def site_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url")
     return home.select("site", F.col("home").alias("id"), F.lit(0).alias("place")).unionByName(ranked.filter(F.col("place") <= EXTRA_PAGES).select("site", "id", "place"))
 
 
-def assemble_sites(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def assemble_sites(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", bare: tuple[str, ...] | None = None) -> DataFrame:
     """One row for each host: its home page's titles, the lists of its pages united in order and capped, what the pages say of its depth.
 
     A page that mostly repeats the home page or an earlier page is read but leaves nothing.
+    bare as in page_summaries.
     """
     chosen = site_pages(pages, id_col, url_col)
-    read = page_summaries(pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).join(chosen, "id"))
+    read = page_summaries(pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).join(chosen, "id"), bare=bare)
     cut_text = F.when(F.col("place") == 0, F.col("visible_text")).otherwise(F.substring("visible_text", 1, EXTRA_CHARS))
     page = F.struct("place", "id", "url", "page_type", "title", "description", "og_title", "og_description", "logos", "mail_links", "tel_links", "socials_found", "emails", "phones", "addresses", "footer", cut_text.alias("visible_text"))
     sites = read.groupBy("site").agg(F.sort_array(F.collect_list(page)).alias("all"))  # four pages at most
