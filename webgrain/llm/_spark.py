@@ -30,8 +30,12 @@ def shared_folder(spark: SparkSession) -> str:
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back.
+#: For rows of megabytes: Parquet looks at the sizes of pages only after a hundred rows by default, and a read takes all rows of a row group at once.
+LARGE_ROWS = {"parquet.block.row.count.limit": "4", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "4"}
+
+
+def cut(df: DataFrame, options: dict[str, str] | None = None) -> DataFrame:
+    """Write df as Parquet (with the writer's options) into the shared folder and read it back.
 
     Later jobs then depend on replicated files and not on the lineage, so a
     lost executor costs no recomputation of what lies before the cut. Shuffle
@@ -42,7 +46,7 @@ def cut(df: DataFrame) -> DataFrame:
     before = spark.conf.get(_CLEAN_UP)
     spark.conf.set(_CLEAN_UP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.options(compression="zstd", **(options or {})).parquet(path)
     finally:
         spark.conf.set(_CLEAN_UP, before)
     out = spark.read.schema(df.schema).parquet(path)

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webgrain.llm import _text
-from webgrain.llm._spark import cut
+from webgrain.llm._spark import LARGE_ROWS, cut
 
 #: Words of a window; a shorter item is one window.
 WINDOW = 10
@@ -60,7 +60,7 @@ class Block(NamedTuple):
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Segments of the positional index of docs, lazily; store them before searching.
+    """Segments of the positional index of docs, lazily; store them before searching, in small row groups (LARGE_ROWS).
 
     Columns: segment, ids and n_words (arrays, by document), terms (sorted 64-bit
     hashes), ends (of each term's postings) and postings (document << 32 |
@@ -306,7 +306,7 @@ def find_contamination(
     """
     blocks = item_blocks(items, item_col, item_text_col, block_words)
     first, second = next(blocks, []), next(blocks, None)
-    index = cut(build_index(docs, id_col, text_col))
+    index = cut(build_index(docs, id_col, text_col), LARGE_ROWS)
     counts = cut(term_counts(index)) if second else term_counts(index)
     hits = []
     for block in itertools.chain([first] if first else [], [second] if second else [], blocks):
