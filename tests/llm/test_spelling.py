@@ -95,3 +95,13 @@ def test_odd_rows_and_parameters(spark):
     assert spelling.spelling_groups(words.limit(0)).count() == 0
     with pytest.raises(ValueError):
         spelling.spelling_groups(words, gain=1)
+
+
+def test_no_table_of_words_or_keys_is_broadcast(spark, monkeypatch):
+    plans, cut = [], spelling.cut
+    show = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df
+    monkeypatch.setattr(spelling, "cut", lambda df: cut(show(df)))
+    words = spark.createDataFrame([("hello", 9), ("hellp", 4), ("helpp", 1), ("h" * 70, 8), ("h" * 71, 2)], "word string, n long")
+    rows = {r["word"]: r["root"] for r in show(spelling.spelling_groups(words)).collect()}
+    assert rows == {"hello": "hello", "hellp": "hello", "helpp": "hello", "h" * 70: "h" * 70, "h" * 71: "h" * 70}
+    assert sum("SortMergeJoin" in p for p in plans) >= 3 and not any("Broadcast" in p for p in plans)

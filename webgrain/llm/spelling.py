@@ -119,15 +119,22 @@ def _emit(long_word: int):
     return run
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """df, to be joined by shuffle and sort. Spark sizes rows by the Parquet files they come from, which hold numbers in few bits, and takes
+    a row's keys for one row; by that it would send whole tables through the driver.
+    """
+    return df.hint("merge")
+
+
 def near_pairs(words: DataFrame, long_word: int = LONG_WORD) -> DataFrame:
     """(a, b: ids; a_n, b_n; a_word, b_word; a < b): all pairs of words (id, word, n) at distance one, each once."""
     keys = words.select("id", "n", "word").mapInArrow(_emit(long_word), "key long, id long, n long, word string")
     a, b = (keys.select("key", F.col("id").alias(s), F.col("n").alias(f"{s}_n"), F.col("word").alias(f"{s}_word")) for s in "ab")
-    met = a.join(b, "key").filter("a < b").drop("key")
+    met = a.join(_shuffled(b), "key").filter("a < b").drop("key")
     one = F.levenshtein("a_word", "b_word", 1) == 1
     short = met.filter("a_word IS NOT NULL AND b_word IS NOT NULL")
     names = [words.select(F.col("id").alias(s), F.col("word").alias(f"{s}_word")) for s in "ab"]
-    long = met.filter("a_word IS NULL OR b_word IS NULL").drop("a_word", "b_word").distinct().join(names[0], "a").join(names[1], "b")
+    long = met.filter("a_word IS NULL OR b_word IS NULL").drop("a_word", "b_word").distinct().join(_shuffled(names[0]), "a").join(_shuffled(names[1]), "b")
     return short.filter(one).unionByName(long.filter(one))
 
 
@@ -140,9 +147,9 @@ def _roots(forms: DataFrame) -> DataFrame:
     ahead = cut(forms.select("id", F.col("form").alias("root")))
     while True:
         steps = ahead.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        if ahead.join(steps, "root").limit(1).count() == 0:
+        if ahead.join(_shuffled(steps), "root").limit(1).count() == 0:
             return ahead
-        further = cut(ahead.join(steps, "root", "left").select("id", F.coalesce("next", "root").alias("root")))
+        further = cut(ahead.join(_shuffled(steps), "root", "left").select("id", F.coalesce("next", "root").alias("root")))
         drop(ahead)
         ahead = further
 
@@ -165,8 +172,9 @@ def spelling_groups(words: DataFrame, gain: int = 2) -> DataFrame:
     beside = F.explode(F.array(*(F.struct(F.col(x).alias("id"), F.struct((-F.col(f"{y}_n")).alias("less"), F.col(f"{y}_word").alias("word"), F.col(y).alias("id")).alias("other")) for x, y in sides)))
     best = pairs.select(beside.alias("side")).groupBy("side.id").agg(F.count("*").alias("n_near"), F.min("side.other").alias("best"))
     near = cut(best.select("id", "n_near", F.col("best.word").alias("form"), F.col("best.id").alias("form_id"), (-F.col("best.less")).alias("form_n")))
-    rows = known.join(near, "id", "left").withColumn("has", F.coalesce(F.col("form_n") >= gain * F.col("n"), F.lit(False)))
+    rows = known.join(_shuffled(near), "id", "left").withColumn("has", F.coalesce(F.col("form_n") >= gain * F.col("n"), F.lit(False)))
     rows = rows.select("id", "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), *(F.when(F.col("has"), F.col(c)).alias(c) for c in ("form", "form_n", "form_id")))
     roots = _roots(rows.filter("form_id IS NOT NULL").select("id", F.col("form_id").alias("form")))
-    ends = roots.join(known.select(F.col("id").alias("root"), F.col("word").alias("root_word")), "root").select("id", "root_word")
-    return rows.join(ends, "id", "left").select("word", "n", "n_near", "form", "form_n", F.coalesce("root_word", "word").alias("root"))
+    finals = known.select(F.col("id").alias("root"), F.col("word").alias("root_word"))
+    ends = roots.join(_shuffled(finals), "root").select("id", "root_word")
+    return rows.join(_shuffled(ends), "id", "left").select("word", "n", "n_near", "form", "form_n", F.coalesce("root_word", "word").alias("root"))
